@@ -41,11 +41,15 @@ def url_parts(url: Column) -> Column:
     return F.struct(scheme(url).alias("scheme"), netloc(url).alias("netloc"), path(url).alias("path"))
 
 
-def normalize_seed(url: Column) -> Column:
-    """Trim, add ``https://`` where no http scheme is given, drop closing slashes."""
+def with_scheme(url: Column) -> Column:
+    """Trim, and add ``https://`` where no http scheme is given."""
     trimmed = strip(url)
-    full = F.when(trimmed.rlike(r"^https?://"), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
-    return F.regexp_replace(full, r"/+\z", "")
+    return F.when(trimmed.rlike(r"^https?://"), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
+
+
+def normalize_seed(url: Column) -> Column:
+    """A full address without closing slashes."""
+    return F.regexp_replace(with_scheme(url), r"/+\z", "")
 
 
 def same_domain(url: Column, base: Column | str) -> Column:

@@ -54,3 +54,11 @@ def durable(df: DataFrame) -> DataFrame:
 def run_folder(spark: SparkSession, label: str) -> str:
     """A new folder for one run below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows as a Parquet table of this run, for results that are read more than once
+    by different columns."""
+    folder = run_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
