@@ -12,6 +12,7 @@ from shelfmark.operators import discovery as D
 from shelfmark.operators import fetchlog as L
 from shelfmark.operators import robots as RB
 from shelfmark.operators.spread import positions
+from shelfmark.session import durable
 
 LISTED = rf"""{SITE_URLS}, mapped AS (
   SELECT site, url, page_id, page_id // 1000 AS block, page_id // 1000000 AS idx FROM listed WHERE site NOT LIKE '%.net'
@@ -43,9 +44,8 @@ def declared(spark: SparkSession, sf: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     parsed = D.parse_sitemaps(I.sitemap_docs(spark, sf))
-    return parsed.filter(F.col("kind") == "sitemap").select(
-        F.col("sitemap_url").alias("parent"), F.col("loc").alias("child"), "pos"
-    )
+    children = parsed.filter(F.col("kind") == "sitemap")
+    return durable(children.select(F.col("sitemap_url").alias("parent"), F.col("loc").alias("child"), "pos"))
 
 
 def root_seeds(spark: SparkSession, sf: str) -> DataFrame:

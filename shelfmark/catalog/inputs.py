@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import urls as U
 from shelfmark.operators.spread import positions
-from shelfmark.sources.readers import read_pages
+from shelfmark.sources.readers import evened, read_pages
 
 FIRST, SECOND, THIRD = "2024-01-01 00:00:00", "2024-02-01 00:00:00", "2024-03-01 00:00:00"
 PER_SITEMAP, PER_INDEX = 1000, 1000
@@ -26,6 +26,14 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, f"{sf}/pages.parquet")
 
 
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return read_pages(spark, f"{sf}/pages.parquet", even=True)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return evened(table(spark, sf, "documents"), "doc_id")
+
+
 def host_root(url: Column) -> Column:
     return F.concat(F.lit("https://"), U.netloc(url))
 
@@ -167,7 +175,7 @@ def language_notebook(lang: Column) -> Column:
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as sources; the notebook is the language."""
     url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         (F.col("doc_id") + 1).alias("id"),
         language_notebook(F.col("lang")).alias("notebook_id"),
         url.alias("url"),

@@ -91,7 +91,7 @@ SELECT doc_id, (n // 500)::BIGINT AS chunk_no, string_agg(word, '' ORDER BY n) A
 FROM words GROUP BY doc_id, n // 500"""
 )
 def chunk_document(spark, sf):
-    return C.chunk_document(I.table(spark, sf, "documents").select("doc_id", "text"))
+    return C.chunk_document(I.documents(spark, sf).select("doc_id", "text"))
 
 
 @query(f"WITH {CHUNKS} SELECT notebook_id, chunk_no, n_tokens FROM chunks WHERE chunk_no < 100")

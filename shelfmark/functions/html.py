@@ -1,7 +1,7 @@
 """Title, language, links and Markdown text out of HTML, as built-in column expressions.
 
-Every step is one linear pass of a regular expression over the whole page, so a page job
-stays one code-generated stage without Python workers.
+Every step is one pass of a regular expression over the whole page, and every function
+computes its input once, so a page job is one narrow stage without Python workers.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import nonempty, or_empty, strip
+from shelfmark.functions.text import first_nonempty, once, or_empty, strip
 
 # Elements whose text never belongs to an article.
 RAW_TEXT_TAGS = ("script", "style", "noscript", "template", "iframe", "svg")
@@ -48,31 +48,17 @@ _BLANK = r"[ \t\n\r\f]"
 _ATTRS = rf"(?:{_BLANK}[^>]*)?"
 
 
-def _tag(names: str) -> str:
-    """Opening tag of one of the names; the name must end there."""
-    return rf"<(?:{names}){_ATTRS}/?>"
-
-
-def _element(names: tuple[str, ...], closing_at_end: bool) -> list[str]:
-    """One pattern per element with its content; raw text runs to the end if never closed."""
-    end = r"|\z" if closing_at_end else ""
-    return [rf"(?is)<{name}{_ATTRS}>.*?(?:</{name}{_BLANK}*>{end})" for name in names]
-
-
-def _chrome_div() -> str:
-    classes = "|".join(CHROME_CLASSES)
-    return (
-        rf'(?is)<div{_BLANK}[^>]*class="(?:[^">]*{_BLANK})?(?:{classes})(?:{_BLANK}[^">]*)?"[^>]*>'
-        r".*?</div[ \t\n\r\f]*>"
-    )
-
-
-DROPPED = (
-    [r"(?s)<!--.*?(?:-->|\z)"]
-    + _element(RAW_TEXT_TAGS, closing_at_end=True)
-    + _element(CHROME_TAGS, closing_at_end=False)
-    + [_chrome_div()]
+# Raw text ends at its own closing tag or, never closed, with the page. Comments and raw text
+# are found in one pass from the left, so that neither hides inside the other.
+RAW_TEXT = (
+    r"(?is)<!--.*?(?:-->|\z)|<(" + "|".join(RAW_TEXT_TAGS) + rf"){_ATTRS}>.*?(?:</\1{_BLANK}*>|\z)"
 )
+CHROME = (
+    r"(?is)<(" + "|".join(CHROME_TAGS) + rf"){_ATTRS}>.*?</\1{_BLANK}*>"
+    + rf'|<div{_BLANK}[^>]*class="(?:[^">]*{_BLANK})?(?:' + "|".join(CHROME_CLASSES)
+    + rf')(?:{_BLANK}[^">]*)?"[^>]*>.*?</div{_BLANK}*>'
+)
+PARAGRAPH = r"(?i)</h[1-6] *>|</?(?:" + "|".join(BLOCK_TAGS) + r")(?: [^>]*)?/?>"
 
 
 def _codepoint(hexa: Column) -> Column:
@@ -85,14 +71,18 @@ def _codepoint(hexa: Column) -> Column:
 
 def _decode_numeric(text: Column) -> Column:
     """Replace each distinct ``&#8217;`` or ``&#x2019;`` by its character."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)))
+    pattern = F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
 
     def replace_one(acc: Column, entity: Column) -> Column:
         digits = F.regexp_replace(entity, r"[&#xX;]", "")
         hexa = F.when(entity.rlike("[xX]"), digits).otherwise(F.conv(digits, 10, 16))
         return F.replace(acc, entity, F.coalesce(_codepoint(hexa), entity))
 
-    return F.when(text.contains("&#"), F.aggregate(found, text, replace_one)).otherwise(text)
+    def replace_all(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, pattern, F.lit(1)))
+        return F.when(t.contains("&#"), F.aggregate(found, t, replace_one)).otherwise(t)
+
+    return once(text, replace_all)
 
 
 def decode_entities(text: Column) -> Column:
@@ -114,15 +104,10 @@ def title_tag(html: Column) -> Column:
 def metadata_title(html: Column) -> Column:
     """``og:title``, else the first ``h1``, else ``title``; empty when there is none."""
     page = or_empty(html)
-    og = rf'(?is)<meta{_BLANK}[^>]*property="og:title"[^>]*content="([^"]*)"'
-    og_turned = rf'(?is)<meta{_BLANK}[^>]*content="([^"]*)"[^>]*property="og:title"'
-    heading = rf"(?is)<h1{_ATTRS}>(.*?)</h1"
-    return F.coalesce(
-        nonempty(_plain(F.regexp_extract(page, og, 1))),
-        nonempty(_plain(F.regexp_extract(page, og_turned, 1))),
-        nonempty(_plain(F.regexp_extract(page, heading, 1))),
-        nonempty(title_tag(page)),
-        F.lit(""),
+    og_tag = F.regexp_extract(page, rf'(?is)<meta{_BLANK}[^>]*property="og:title"[^>]*>', 0)
+    heading = F.regexp_extract(page, rf"(?is)<h1{_ATTRS}>(.*?)</h1", 1)
+    return first_nonempty(
+        _plain(F.regexp_extract(og_tag, r'(?is)content="([^"]*)"', 1)), _plain(heading), title_tag(page)
     )
 
 
@@ -137,25 +122,20 @@ def extract_language(html: Column) -> Column:
 def extract_markdown(html: Column) -> Column:
     """Main text as Markdown: page furniture dropped, headings, lists and tables kept,
     links flattened to their text, images gone."""
-    text = or_empty(html)
-    for pattern in DROPPED:
-        text = F.regexp_replace(text, pattern, " ")
+    text = F.regexp_replace(or_empty(html), RAW_TEXT, " ")
+    text = F.regexp_replace(text, CHROME, " ")
     text = F.regexp_replace(text, rf"{_BLANK}+", " ")
+    text = F.regexp_replace(text, r"(?i)<h([1-6])(?: [^>]*)?>", "<h$1>")
     for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?i){_tag(f'h{level}')}", "\n\n" + "#" * level + " ")
-    text = F.regexp_replace(text, r"(?i)</h[1-6] *>", "\n\n")
-    text = F.regexp_replace(text, rf"(?i){_tag('li')}", "\n- ")
-    text = F.regexp_replace(text, rf"(?i){_tag('tr')}", "\n")
-    text = F.regexp_replace(text, rf"(?i){_tag('td|th')}", " | ")
-    text = F.regexp_replace(text, rf"(?i){_tag('br')}", "\n")
-    blocks = "|".join(BLOCK_TAGS)
-    text = F.regexp_replace(text, rf"(?i){_tag(blocks)}|</(?:{blocks}) *>", "\n\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = decode_entities(text)
+        text = F.replace(text, F.lit(f"<h{level}>"), F.lit("\n\n" + "#" * level + " "))
+    text = F.regexp_replace(text, PARAGRAPH, "\n\n")
+    text = F.regexp_replace(text, r"(?i)<(?:br|tr)(?: [^>]*)?/?>", "\n")
+    text = F.regexp_replace(text, r"(?i)<li(?: [^>]*)?>", "\n- ")
+    text = F.regexp_replace(text, r"(?i)<t[dh](?: [^>]*)?>", " | ")
+    text = decode_entities(F.regexp_replace(text, r"<[^>]*>", ""))
     text = F.regexp_replace(text, r" +", " ")
     text = F.regexp_replace(text, r" ?\n ?", "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(text)
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def hrefs(html: Column) -> Column:

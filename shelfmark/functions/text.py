@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +30,20 @@ def literal(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def nonempty(col: Column) -> Column:
-    """NULL in place of the empty string, so that ``coalesce`` can go on."""
-    return F.nullif(col, F.lit(""))
+def once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(col)`` with ``col`` computed a single time however often ``use`` mentions it.
+
+    Long chains of regular expressions double their cost with every second mention that
+    Spark does not recognise as a common subexpression.
+    """
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
+def first_nonempty(*cols: Column) -> Column:
+    """The first text that is neither NULL nor empty, else the empty string."""
+    return F.coalesce(F.get(F.filter(F.array(*cols), lambda c: c != ""), F.lit(0)), F.lit(""))
 
 
 def percent_decode(col: Column) -> Column:
     """Percent-decoding that leaves ``+`` alone and keeps text it cannot decode."""
-    return F.coalesce(F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B"))), col)
+    return once(col, lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c))

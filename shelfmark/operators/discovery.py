@@ -100,12 +100,11 @@ def _order_key(pos) -> F.Column:
 def expand_frontier(seeds: DataFrame, edges: DataFrame, max_sitemaps: int | None = None) -> DataFrame:
     """All sitemaps reachable from the seeds, each once: ``site, sitemap_url, level, order_key``.
 
-    ``edges`` has ``parent, child, pos``. Each round joins the newest level with the edges and
-    drops what was visited before, so cycles end. ``(level, order_key)`` is breadth-first
+    ``edges`` has ``parent, child, pos`` and is read in each round: pass a stored table. A round
+    joins the newest level with the edges and drops what was visited before, so cycles end. ``(level, order_key)`` is breadth-first
     order. With ``max_sitemaps`` a site stops at exactly that many sitemaps. Levels are written
     to the shared folder; a lost executor costs a task, not the rounds before it.
     """
-    links = durable(edges.select("parent", "child", "pos"))
     level = (
         seeds.groupBy("site", "sitemap_url")
         .agg(F.min(_order_key(F.col("pos"))).alias("order_key"))
@@ -122,7 +121,7 @@ def expand_frontier(seeds: DataFrame, edges: DataFrame, max_sitemaps: int | None
         seen = reduce(DataFrame.unionByName, visited).select("site", "sitemap_url")
         parents = level.withColumnRenamed("sitemap_url", "parent")
         level = (
-            links.join(parents, "parent")
+            edges.select("parent", "child", "pos").join(parents, "parent")
             .groupBy("site", F.col("child").alias("sitemap_url"))
             .agg(
                 F.min(F.concat_ws(".", "order_key", _order_key(F.col("pos")))).alias("order_key"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import html as H
-from shelfmark.functions.text import is_blank, literal, nonempty, or_empty, strip
+from shelfmark.functions.text import first_nonempty, is_blank, literal, or_empty, strip
 from shelfmark.model import FAILED, SUCCESS
 
 NO_CONTENT = "extraction returned no content"
@@ -30,7 +30,7 @@ def extraction_status(df: DataFrame, profile: str = "cli") -> DataFrame:
 
 
 def title_or_url(title: Column, url: Column) -> Column:
-    return F.coalesce(nonempty(title), url)
+    return first_nonempty(title, url)
 
 
 def failure_rows(urls: DataFrame, resolved: DataFrame, scraped_at, profile: str = "cli") -> DataFrame:
@@ -51,11 +51,18 @@ def extract_pages(pages: DataFrame, scraped_at, profile: str = "cli") -> DataFra
     """Pages to page rows in one narrow stage without Python workers."""
     if profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
+    # A generator keeps later filters and projections from computing the text again.
     found = pages.select(
         "url",
-        H.metadata_title(F.col("html")).alias("title"),
-        H.extract_language(F.col("html")).alias("language"),
-        H.extract_markdown(F.col("html")).alias("content"),
+        F.inline(
+            F.array(
+                F.struct(
+                    H.metadata_title(F.col("html")).alias("title"),
+                    H.extract_language(F.col("html")).alias("language"),
+                    H.extract_markdown(F.col("html")).alias("content"),
+                )
+            )
+        ),
     )
     if profile == "api":
         found = found.withColumn("title", title_or_url(strip(F.col("title")), F.col("url")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import nonempty
+from shelfmark.functions.text import first_nonempty
 from shelfmark.model import FAILED, SUCCESS
 from shelfmark.operators.spread import positions, spread_lookup
 
@@ -47,7 +47,7 @@ def batch_progress(urls: DataFrame, size: int = IMPORT_BATCH) -> DataFrame:
 def display_status(sources: DataFrame) -> DataFrame:
     """Badge and shown title of each source."""
     badge = F.when(F.col("status") == SUCCESS, SAVED_LABEL).otherwise(FAILED_LABEL)
-    shown = F.coalesce(nonempty(F.col("title")), F.lit(UNTITLED_LABEL))
+    shown = first_nonempty(F.col("title"), F.lit(UNTITLED_LABEL))
     return sources.select("id", "url", badge.alias("badge"), shown.alias("shown_title"))
 
 

@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 from shelfmark.model import KB_TABLES, PAGES, PROGRESS_FILE
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages: ``page_id, url, html``."""
-    return spark.read.schema(PAGES).parquet(path)
+def evened(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` if its files give fewer partitions than there are cores.
+
+    Texts cost far more to work on than to move. Large inputs have more partitions than cores
+    and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_pages(spark: SparkSession, path: str, even: bool = False) -> DataFrame:
+    """Fetched pages: ``page_id, url, html``; ``even`` for work on the texts of few files."""
+    rows = spark.read.schema(PAGES).parquet(path)
+    return evened(rows, "page_id") if even else rows
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
