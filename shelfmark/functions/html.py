@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import first_nonempty, once, or_empty, strip
 
 # Elements whose text never belongs to an article.
-RAW_TEXT_TAGS = ("script", "style", "noscript", "template", "iframe", "svg")
+RAW_TEXT_TAGS = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg")
 CHROME_TAGS = ("head", "nav", "header", "footer", "aside", "form", "button", "select")
 CHROME_CLASSES = ("ad", "ads", "advert", "advertisement", "cookie-banner", "sidebar", "breadcrumb")
 BLOCK_TAGS = (

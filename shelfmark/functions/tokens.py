@@ -1,17 +1,42 @@
-"""Lossless tokens: a word with the white space before it; closing white space is its own token."""
+"""Lossless tokens: a word with the white space before it; closing white space is its own token.
+
+Quantifiers are possessive: they match in a loop, without backtracking or recursion, so the
+patterns hold for texts and windows of any size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[ \t\n\r\f]*[^ \t\n\r\f]+|[ \t\n\r\f]+"
+from shelfmark.functions.text import literal, once
+
+TOKEN = r"(?:[ \t\n\r\f]*+[^ \t\n\r\f]++|[ \t\n\r\f]++)"
 WINDOW = 500
+RUN = 32
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def token_count(text: Column) -> Column:
+    """Tokens of a text, counted in runs so that few strings are made."""
 
+    def count(runs: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        alone = F.size(F.regexp_extract_all(last, F.lit(TOKEN), F.lit(0)))
+        return F.when(F.size(runs) == 0, 0).otherwise((F.size(runs) - 1) * RUN + alone)
 
-def token_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TOKEN)).cast("bigint")
+    return once(windows(text, RUN), count).cast("bigint")
+
+
+def _run(size: Column | int) -> Column:
+    """Pattern of up to ``size`` tokens in a row."""
+    return F.concat(F.lit(TOKEN + "{1,"), literal(size).cast("string"), F.lit("}+"))
+
+
+def first_tokens(text: Column, count: Column | int) -> Column:
+    """The first ``count`` tokens of a text as they stand."""
+    return F.call_function("regexp_extract", text, _run(count), F.lit(0))
+
+
+def windows(text: Column, size: int = WINDOW) -> Column:
+    """The text cut after every ``size`` tokens; joined again the pieces give the text."""
+    return F.regexp_extract_all(text, F.lit(f"{TOKEN}{{1,{size}}}+"), F.lit(0))

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.tokens import WINDOW, token_count, tokens
+from shelfmark.functions.tokens import WINDOW, first_tokens, token_count, windows
 from shelfmark.operators.spread import running_offsets
 from shelfmark.operators.store import SEPARATOR
+from shelfmark.session import durable
 
 SEARCHED_CHUNKS = 100
 
 
-def _pieces(words: Column, start: Column, size: int) -> Column:
-    """Cut tokens that begin at place ``start`` of the notebook at the borders of its windows."""
-    last = start + F.size(words) - 1
-    windows = F.sequence(F.floor(start / size), F.floor(last / size))
-
-    def cut(c: Column) -> Column:
-        begin = F.greatest(c * size - start, F.lit(0))
-        end = F.least((c + 1) * size - start, F.size(words).cast("bigint"))
-        return F.struct(
-            c.alias("chunk_no"),
-            (start + begin).alias("place"),
-            (end - begin).alias("n"),
-            F.array_join(F.slice(words, (begin + 1).cast("int"), (end - begin).cast("int")), "").alias("piece"),
-        )
-
-    return F.transform(windows, cut)
-
-
 def chunk_notebook(corpus: DataFrame, size: int = WINDOW) -> DataFrame:
     """Windows over all texts of a notebook joined by the separator, so that a window may hold
     the end of one text and the start of the next: ``notebook_id, chunk_no, text, n_tokens``.
@@ -40,20 +23,30 @@ def chunk_notebook(corpus: DataFrame, size: int = WINDOW) -> DataFrame:
     """
     texts = corpus.filter(F.length("text") > 0)
     joined_text = F.concat(F.lit(SEPARATOR), F.col("text"))
-    counts = texts.select("notebook_id", "id", token_count(joined_text).alias("n"))
-    offsets = running_offsets(counts, ["notebook_id"], ["id"], F.col("n")).drop("n")
+    # Stored first, because the range partitioning of the offsets would count the texts twice.
+    counts = durable(texts.select("notebook_id", "id", token_count(joined_text).alias("n")))
+    offsets = running_offsets(counts, ["notebook_id"], ["id"], F.col("n"))
     # Every text but the first has the separator, one token, in front of it.
     first = F.col("offset") == 0
-    placed = texts.join(offsets, ["notebook_id", "id"]).select(
+    # Both sides grow with the texts, so neither is broadcast.
+    placed = texts.join(offsets.hint("merge"), ["notebook_id", "id"]).select(
         "notebook_id",
-        tokens(F.when(first, F.col("text")).otherwise(joined_text)).alias("words"),
-        F.when(first, F.lit(0)).otherwise(F.col("offset") - 1).cast("bigint").alias("start"),
+        F.when(first, F.col("text")).otherwise(joined_text).alias("text"),
+        F.when(first, F.lit(0)).otherwise(F.col("offset") - 1).alias("start"),
+        F.when(first, F.col("n") - 1).otherwise(F.col("n")).alias("n"),
     )
-    pieces = placed.select("notebook_id", F.inline(_pieces(F.col("words"), F.col("start"), size)))
-    in_order = F.array_sort(F.collect_list(F.struct("place", "piece")))
+    # The first piece fills up the window that the texts before have begun.
+    begun = placed.withColumn("head", first_tokens(F.col("text"), size - F.pmod(F.col("start"), F.lit(size))))
+    rest = F.substring(F.col("text"), F.length("head") + 1, F.length("text"))
+    pieces = begun.select(
+        "notebook_id", "start", "n", F.posexplode(F.concat(F.array("head"), windows(rest, size))).alias("i", "piece")
+    ).withColumn("chunk_no", F.floor(F.col("start") / size) + F.col("i"))
+    begin = F.greatest(F.col("start"), F.col("chunk_no") * size)
+    end = F.least(F.col("start") + F.col("n"), (F.col("chunk_no") + 1) * size)
+    in_order = F.array_sort(F.collect_list(F.struct("start", "piece")))
     return (
         pieces.groupBy("notebook_id", "chunk_no")
-        .agg(in_order.alias("parts"), F.sum("n").alias("n_tokens"))
+        .agg(in_order.alias("parts"), F.sum(end - begin).alias("n_tokens"))
         .select(
             "notebook_id",
             "chunk_no",
@@ -67,12 +60,10 @@ def chunk_document(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """Windows within each document, without a shuffle: the columns of ``docs`` but ``text``,
     and ``chunk_no, text, n_tokens``. A document without tokens has no window."""
     kept = [c for c in docs.columns if c != "text"]
-    cut = (
-        docs.select(*kept, tokens(F.col("text")).alias("_words"))
-        .filter(F.size("_words") > 0)
-        .select(*kept, F.inline(_pieces(F.col("_words"), F.lit(0).cast("bigint"), size)))
+    cut = docs.select(*kept, F.posexplode(windows(F.col("text"), size)).alias("chunk_no", "text"))
+    return cut.select(
+        *kept, F.col("chunk_no").cast("bigint").alias("chunk_no"), "text", token_count(F.col("text")).alias("n_tokens")
     )
-    return cut.select(*kept, "chunk_no", F.col("piece").alias("text"), F.col("n").alias("n_tokens"))
 
 
 def cap_chunks(chunks: DataFrame, limit: int | None = SEARCHED_CHUNKS) -> DataFrame:

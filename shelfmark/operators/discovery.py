@@ -183,8 +183,9 @@ def discovery_result(urls: DataFrame) -> DataFrame:
     Rows instead of one array per site, so that a site may be of any size.
     """
     distinct = urls.select(F.col("site").alias("base_url"), "url").distinct()
-    totals = distinct.groupBy("base_url").agg(F.count("*").alias("total_urls"))
     placed = positions(distinct, ["base_url"], ["url"])
+    # The last position is the total; it comes from the stored rows, not from the URLs again.
+    totals = placed.groupBy("base_url").agg(F.max("pos").alias("total_urls"))
     return spread_lookup(placed, totals, ["base_url"], spread_by=["url"]).select(
         "base_url", "total_urls", "pos", "url"
     )

@@ -33,12 +33,12 @@ def failed_sample(results: DataFrame, n: int = 10) -> DataFrame:
 
 def batch_progress(urls: DataFrame, size: int = IMPORT_BATCH) -> DataFrame:
     """Progress after each batch of ``size`` URLs of a site, in rounded percent."""
-    total = urls.groupBy("site").agg(F.count("*").alias("total"))
     batches = (
         positions(urls.select("site", "url"), ["site"], ["url"])
         .groupBy("site", F.ceil(F.col("pos") / size).alias("batch_no"))
         .agg(F.count("*").alias("n"), F.max("pos").alias("completed"))
     )
+    total = batches.groupBy("site").agg(F.max("completed").alias("total"))
     joined = spread_lookup(batches, total, ["site"], spread_by=["batch_no"])
     percent = F.floor(F.col("completed") / F.col("total") * 100 + 0.5)
     return joined.select("site", "batch_no", "n", "completed", "total", percent.alias("percent"))

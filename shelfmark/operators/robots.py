@@ -116,9 +116,10 @@ def agent_policy(robots: DataFrame, agent: str) -> DataFrame:
 
 
 def allowed_by(url: Column, policy: Column, rules: Column, on_missing: str) -> Column:
-    """The first rule, in file order, whose prefix the URL has; allowed when none has."""
+    """The first rule, in file order, whose prefix the URL has; allowed when none has.
+    Wildcards are literal text, also a lone ``*``."""
     target = F.regexp_replace(U.request_target(percent_decode(url)), r"[?#]+\z", "")
-    hits = F.filter(rules, lambda r: (r["prefix"] == "*") | target.startswith(r["prefix"]))
+    hits = F.filter(rules, lambda r: target.startswith(r["prefix"]))
     verdict = F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True))
     known = F.coalesce(policy, F.lit("unknown"))
     return (

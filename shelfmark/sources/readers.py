@@ -27,7 +27,7 @@ def read_pages(spark: SparkSession, path: str, even: bool = False) -> DataFrame:
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True)
 
 
 def _original_address(suffix: str = ""):
@@ -46,7 +46,7 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
-    """Stored robots files named ``<host>.txt``: ``host, status_code, body``."""
+    """Stored robots files, named by the percent-encoded host and ``.txt``: ``host, status_code, body``."""
     return _whole_files(spark, path).select(
         _original_address(r"\.txt").alias("host"), F.lit(200).alias("status_code"), F.col("value").alias("body")
     )

@@ -1,0 +1,245 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.functions import vectors as V
+from shelfmark.functions.tokens import first_tokens, token_count, windows
+from shelfmark.operators import chunks as C
+from shelfmark.operators import report as R
+from shelfmark.operators import retrieval as RT
+from shelfmark.operators import store as K
+from shelfmark.operators.spread import positions, running_offsets, spread_lookup
+from shelfmark.plans.notebooks import import_pages, question_contexts
+
+T0, T1, T2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00", "2024-03-01 00:00:00"
+SOURCES = "id bigint, notebook_id bigint, url string, title string, content string, status string, last_updated string"
+
+
+def sources(spark, *rows):
+    df = spark.createDataFrame(list(rows), SOURCES)
+    return df.withColumn("last_updated", F.col("last_updated").cast("timestamp"))
+
+
+def changes(spark, *rows):
+    return sources(spark, *[(0, *r) for r in rows]).drop("id")
+
+
+def test_running_offsets_with_a_hot_key(spark):
+    rng = random.Random(1)
+    rows = [("hot" if i % 3 else f"k{i % 50}", i, rng.randint(0, 9)) for i in range(3000)] + [(None, 5000 + i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint").repartition(16)
+    found = {(r.k, r.i): r.offset for r in running_offsets(df, ["k"], ["i"], F.col("v")).collect()}
+    total, wanted = {}, {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        wanted[k, i] = total.get(k, 0)
+        total[k] = total.get(k, 0) + v
+    assert found == wanted
+    ranged = spark.range(10_000).withColumn("k", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # A single key lies in many partitions.
+        parts = ranged.repartitionByRange("k", "id").select(F.spark_partition_id()).distinct().count()
+        places = positions(ranged, ["k"], ["id"])
+        assert parts > 1 and places.filter(F.col("pos") != F.col("id") + 1).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    everything = positions(ranged, [], ["id"]).filter(F.col("pos") != F.col("id") + 1)
+    assert everything.count() == 0
+
+
+def test_spread_lookup_equals_a_join(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 10).cast("string")).alias("k"), "id")
+    lookup = spark.createDataFrame([("hot", 1), ("4", 2)], "k string, v int")
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        mine = spread_lookup(rows, lookup, ["k"], how)
+        assert mine.exceptAll(rows.join(lookup, "k", how)).count() == 0
+        assert mine.count() == rows.join(lookup, "k", how).count()
+
+
+def test_upsert(spark):
+    current = sources(
+        spark, (1, 1, "a", "A", "old", "success", T0), (2, 1, "b", "B", "", "failed", T0), (7, 2, "a", "A", "other", "success", T0)
+    )
+    batch = changes(
+        spark, (1, "a", "A1", "mid", "success", T1), (1, "a", "", "", "failed", T2), (1, "b", "B2", "new", "success", T1),
+        (2, "c", "C", "c", "success", T1), (1, "c", "C", "c", "failed", T1), (2, "c", "C2", "c2", "success", T2),
+    )
+
+    def rows(keep):
+        out = K.upsert_sources(current, batch, keep).collect()
+        return {r.id: (r.notebook_id, r.url, r.title, r.content, r.status, r.last_updated.month) for r in out}
+
+    kept = rows(True)
+    assert kept == {
+        1: (1, "a", "A", "old", "success", 3), 2: (1, "b", "B2", "new", "success", 2), 7: (2, "a", "A", "other", "success", 1),
+        8: (1, "c", "C", "c", "failed", 2), 9: (2, "c", "C2", "c2", "success", 3),
+    }
+    assert rows(False)[1] == (1, "a", "", "", "failed", 3)
+
+
+def test_upsert_twice_is_upsert_once(spark):
+    batch = changes(spark, (1, "a", "A", "x", "success", T1), (1, "b", "B", "y", "failed", T1))
+    once = K.upsert_sources(sources(spark), batch)
+    again = K.upsert_sources(once, batch)
+    assert sorted(again.collect()) == sorted(once.collect()) and {r.id for r in once.collect()} == {1, 2}
+
+
+def test_notebooks_and_cascade(spark):
+    notebooks = spark.createDataFrame([(3, "x", T0)], "id bigint, name string, created_at string")
+    notebooks = notebooks.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    names = spark.createDataFrame([("b",), (" a ",), ("  ",)], "name string")
+    more = K.append_notebooks(notebooks, names, T1)
+    assert [(r.id, r.name) for r in K.list_notebooks(more).collect()] == [(5, "b"), (4, "a"), (3, "x")]
+    kept = sources(spark, (1, 3, "a", "", "", "success", T0), (2, 4, "b", "", "", "success", T0))
+    logs = spark.createDataFrame([(1, 3, "q"), (2, None, "q"), (3, 4, "q")], "id bigint, notebook_id bigint, query string")
+    left = K.delete_notebooks({"notebooks": more, "sources": kept, "chat_logs": logs}, spark.createDataFrame([(3,), (99,)], "id bigint"))
+    assert {n: sorted(r.id for r in df.collect()) for n, df in left.items()} == {"notebooks": [4, 5], "sources": [2], "chat_logs": [2, 3]}
+    counts = {r.notebook_id: r.n_sources for r in R.source_counts(kept, more).collect()}
+    assert counts == {3: 1, 4: 1, 5: 0}
+
+
+def test_source_views(spark):
+    rows = sources(spark, (1, 1, "a", "", "x", "success", T0), (2, 1, "b", "B", "", "failed", T1), (3, 2, "c", "C", "z", "success", T0))
+    assert [r.id for r in K.list_sources(rows, 1).collect()] == [2, 1]
+    keys = spark.createDataFrame([(1, 1), (3, 1), (9, 9)], "id bigint, notebook_id bigint")
+    assert [r.content for r in K.source_detail(rows, keys).collect()] == ["x"]
+    assert sorted(r.id for r in K.delete_sources(rows, keys).collect()) == [2, 3]
+    shown = {r.id: (r.badge, r.shown_title) for r in R.display_status(rows).collect()}
+    assert shown == {1: (R.SAVED_LABEL, R.UNTITLED_LABEL), 2: (R.FAILED_LABEL, "B"), 3: (R.SAVED_LABEL, "C")}
+    assert [r.text for r in K.notebook_corpus(rows).orderBy("id").collect()][0] == "Title: \nURL: a\nContent: x"
+
+
+def test_chats(spark):
+    batch = spark.createDataFrame([(1, 2, "later", "A2"), (1, 1, "first", "A1"), (2, 1, "first", "B1")], "notebook_id bigint, turn bigint, query string, answer string")
+    empty = spark.createDataFrame([], "id bigint, notebook_id bigint, query string, answer string, created_at timestamp")
+    logs = K.append_chats(empty, batch, T0, ["notebook_id", "turn"])
+    assert [(r.id, r.answer) for r in K.chat_history(logs, 1).collect()] == [(1, "A1"), (2, "A2")]
+
+
+def split(text):
+    import re
+
+    return re.findall(r"[ \t\n\r\f]*[^ \t\n\r\f]+|[ \t\n\r\f]+", text)
+
+
+TEXTS = ["", " ", "one", "one two  three \n", "\n\n a", "é 日本 😀 x", "w " * 1000, "x" * 5000, "a\n" * 33, "b " * 32]
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    rows = df.select("t", token_count(F.col("t")).alias("n"), windows(F.col("t"), 7).alias("w"), first_tokens(F.col("t"), 3).alias("f"))
+    for row in rows.collect():
+        wanted = split(row.t)
+        assert row.n == len(wanted)
+        assert row.w == ["".join(wanted[i : i + 7]) for i in range(0, len(wanted), 7)]
+        assert row.f == "".join(wanted[:3])
+
+
+def test_very_long_text(spark):
+    row = spark.range(1).select(F.repeat(F.lit("word "), 2_000_000).alias("t")).select(
+        token_count(F.col("t")).alias("n"), F.size(windows(F.col("t"), 100_000)).alias("w")
+    )
+    assert tuple(row.first()) == (2_000_001, 21)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 500])
+def test_notebook_windows_against_brute_force(spark, size):
+    rows = [(n, i, t) for n in (1, 2) for i, t in enumerate(TEXTS + ["tail\n "]) if not (n == 2 and i < 3)]
+    corpus = spark.createDataFrame(rows, "notebook_id bigint, id bigint, text string")
+    found = {}
+    for r in C.chunk_notebook(corpus, size).orderBy("chunk_no").collect():
+        found.setdefault(r.notebook_id, []).append((r.chunk_no, r.text, r.n_tokens))
+    for n in (1, 2):
+        words = []
+        for k, (_, _, text) in enumerate([r for r in rows if r[0] == n and r[2]]):
+            words += split(text if k == 0 else K.SEPARATOR + text)
+        wanted = [words[i : i + size] for i in range(0, len(words), size)]
+        assert found[n] == [(i, "".join(w), len(w)) for i, w in enumerate(wanted)]
+
+
+def test_document_windows(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id bigint, text string")
+    found = {}
+    for r in C.chunk_document(docs, 10).orderBy("id", "chunk_no").collect():
+        found.setdefault(r.id, []).append(r.text)
+    assert {i: "".join(found.get(i, [])) for i in range(len(TEXTS))} == dict(enumerate(TEXTS))
+    capped = C.cap_chunks(C.chunk_document(docs, 10), 2)
+    assert capped.filter("chunk_no >= 2").count() == 0 and C.cap_chunks(docs, None) is docs
+
+
+def test_cosine(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
+    found = [r[0] for r in df.select(V.cosine(F.col("a"), F.col("b"))).collect()]
+    assert found[0] == pytest.approx(2**-0.5) and found[1] is None
+
+
+def test_tile_top_k_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(RT, "TILE_BYTES", 4 * 8 * 16)
+    rng = np.random.default_rng(3)
+    groups = [1 if i % 3 else i % 7 for i in range(400)]
+    vecs = rng.integers(-2, 3, (400, 8)).astype(np.float32)
+    vecs[5] = 0
+    asked = rng.integers(-2, 3, (40, 8)).astype(np.float32)
+    schema = "group bigint, id bigint, vec array<float>"
+    vectors = spark.createDataFrame([(g, i, v.tolist()) for i, (g, v) in enumerate(zip(groups, vecs))] + [(1, 999, None)], schema)
+    queries = spark.createDataFrame([(i % 3, i, v.tolist()) for i, v in enumerate(asked)], schema)
+    found = {}
+    for r in RT.tile_top_k(queries, vectors.repartition(5), 4).orderBy("query_id", "rank").collect():
+        found.setdefault((r.group, r.query_id), []).append((r.id, r.similarity))
+    for i, q in enumerate(asked):
+        ranked = []
+        for j, (g, v) in enumerate(zip(groups, vecs)):
+            if g == i % 3:
+                length = np.sqrt((q.astype(float) ** 2).sum()) * np.sqrt((v.astype(float) ** 2).sum())
+                s = None if length == 0 else float(np.sign(q @ v) * np.floor(abs(float(q @ v)) / length * 1e6 + 0.5) / 1e6)
+                ranked.append((s is None, -(s or 0), j, s))
+        assert found[i % 3, i] == [(j, pytest.approx(s) if s is not None else None) for _, _, j, s in sorted(ranked, key=lambda r: r[:3])[:4]]
+
+
+def test_hashed_vectors(spark):
+    df = spark.createDataFrame([("a b a",), (None,), ("",)], "t string").coalesce(1)
+    sums = [sum(r.v) for r in df.select(RT.embed(F.col("t")).alias("v")).collect()]
+    assert sums == [3.0, 0.0, 0.0]
+
+
+def test_own_encoder_gets_batches(spark):
+    def encode(texts):
+        import numpy as np
+
+        assert len(texts) <= 2
+        return np.array([[len(t), len(texts)] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(5)], "i int, t string").coalesce(1)
+    found = {r.i: r.v for r in df.select("i", RT.embed(F.col("t"), encode, batch=2).alias("v")).collect()}
+    assert found == {0: [0, 2], 1: [1, 2], 2: [2, 2], 3: [3, 2], 4: [4, 1]}
+
+
+def test_question_contexts(spark):
+    rows = sources(
+        spark, (1, 1, "u1", "Cats", "cats purr and cats sleep", "success", T0), (2, 1, "u2", "Dogs", "dogs bark", "success", T0),
+        (3, 2, "u3", "None", "", "failed", T0),
+    )
+    queries = spark.createDataFrame([(1, 1, "cats purr"), (2, 2, "anything"), (3, 3, "nobody")], "notebook_id bigint, query_id bigint, query string")
+    prompts, answers = question_contexts(rows, queries, k=1, size=8)
+    only = prompts.collect()
+    assert len(only) == 1 and "cats purr" in only[0].context and "dogs" not in only[0].context
+    assert only[0].prompt == RT.PROMPT.format(context=only[0].context, query="cats purr")
+    assert {(r.query_id, r.answer) for r in answers.collect()} == {(2, RT.EMPTY_ANSWER), (3, RT.EMPTY_ANSWER)}
+
+
+def test_import_pages(spark):
+    pages = spark.createDataFrame(
+        [(1, "a.org/x/", "<h1>T</h1><p>x</p>"), (2, " https://a.org/x/", "<h1>T</h1><p>x</p>"), (1, "https://a.org/y", "")],
+        "notebook_id bigint, url string, html string",
+    )
+    found = import_pages(sources(spark), pages, T1)
+    again = import_pages(found, pages, T1)
+    assert sorted(again.collect()) == sorted(found.collect())
+    assert {(r.notebook_id, r.url, r.title, r.status) for r in found.collect()} == {
+        (1, "https://a.org/x/", "T", "success"), (2, "https://a.org/x/", "T", "success"),
+        (1, "https://a.org/y", "https://a.org/y", "failed"),
+    }
