@@ -121,7 +121,7 @@ def expand_frontier(seeds: DataFrame, edges: DataFrame, max_sitemaps: int | None
         seen = reduce(DataFrame.unionByName, visited).select("site", "sitemap_url")
         parents = level.withColumnRenamed("sitemap_url", "parent")
         level = (
-            edges.select("parent", "child", "pos").join(parents, "parent")
+            spread_lookup(edges.select("parent", "child", "pos"), parents, ["parent"], "inner", ["child"])
             .groupBy("site", F.col("child").alias("sitemap_url"))
             .agg(
                 F.min(F.concat_ws(".", "order_key", _order_key(F.col("pos")))).alias("order_key"),
@@ -148,7 +148,8 @@ def frontier_pages(visited: DataFrame, parsed: DataFrame) -> DataFrame:
     place = F.concat_ws(
         "/", _order_key(F.col("level")), "order_key", _order_key(F.col("pos"))
     )
-    return pages.join(visited, "sitemap_url").select("site", F.col("loc").alias("url"), place.alias("pos"))
+    placed = spread_lookup(pages, visited, ["sitemap_url"], "inner", ["pos"])
+    return placed.select("site", F.col("loc").alias("url"), place.alias("pos"))
 
 
 def extract_links(pages: DataFrame, strict: bool = True) -> DataFrame:

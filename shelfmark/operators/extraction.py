@@ -33,16 +33,15 @@ def title_or_url(title: Column, url: Column) -> Column:
     return first_nonempty(title, url)
 
 
-def failure_rows(urls: DataFrame, resolved: DataFrame, scraped_at, profile: str = "cli") -> DataFrame:
-    """A page row for every URL whose fetch failed. A URL with no log entry did not fail."""
-    failed = resolved.filter(F.col("status") == FAILED).select("url", "error")
-    return urls.select("url").join(failed, "url").select(
+def failure_rows(resolved: DataFrame, scraped_at, profile: str = "cli") -> DataFrame:
+    """A page row without text for every fetch that failed."""
+    return resolved.filter(F.col("status") == FAILED).select(
         "url",
         F.lit("").alias("title"),
         F.lit("").alias("language"),
         F.lit("").alias("content"),
         literal(scraped_at).cast("timestamp").alias("scraped_at"),
-        F.lit(FAILED).alias("status"),
+        "status",
         (F.col("error") if profile == "cli" else F.lit("")).alias("error"),
     )
 
@@ -78,22 +77,20 @@ def build_page_results(
     resolved: DataFrame | None = None,
     drop_repeats: bool = False,
 ) -> DataFrame:
-    """Page rows of all pages; failed fetches are rows too.
+    """Page rows of all pages. ``resolved`` holds the fetches of this run: those that failed
+    become rows too, whether or not there is a page for them.
 
     With ``drop_repeats`` segments that occur again and again over the pages go first, and a
-    page left without text has failed.
+    page left without text has failed. Pages are extracted where they lie; only page rows, not
+    the HTML, meet the failures.
     """
-    if resolved is None:
-        fetched = pages
-    else:
-        failed = resolved.filter(F.col("status") == FAILED).select("url")
-        fetched = pages.join(failed, "url", "left_anti")
-    rows = extract_pages(fetched, scraped_at, profile)
+    rows = extract_pages(pages, scraped_at, profile)
     if drop_repeats:
         rows = extraction_status(drop_repeated_segments(rows, "url", "content", separator="\n\n"), profile)
-    if resolved is not None:
-        rows = rows.unionByName(failure_rows(pages, resolved, scraped_at, profile))
-    return rows
+    if resolved is None:
+        return rows
+    lost = failure_rows(resolved, scraped_at, profile)
+    return rows.join(lost.select("url"), "url", "left_anti").unionByName(lost)
 
 
 def drop_repeated_segments(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import or_empty
 from shelfmark.functions.urls import url_slug
 from shelfmark.model import SUCCESS
+from shelfmark.operators.spread import spread_lookup
 
 RECORD_FIELDS = ("url", "title", "language", "scraped_at", "content")
 
@@ -35,7 +36,7 @@ def slug_members(df: DataFrame) -> DataFrame:
     """The URLs, one per row, behind each slug that several URLs share."""
     slugs = df.select(url_slug(F.col("url")).alias("slug"), "url")
     shared = slugs.groupBy("slug").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    return slugs.join(shared, "slug").select("slug", "n", "url")
+    return spread_lookup(slugs, shared, ["slug"], how="inner", spread_by=["url"]).select("slug", "n", "url")
 
 
 def to_markdown(results: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFr
                     }
                 )
 
-    asked = _tiles(queries.repartitionByRange("group", "id")).select(
+    asked = _tiles(queries).select(
         "group", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")
     )
     pairs = (
@@ -165,7 +165,9 @@ def retrieve(
     ``queries`` has ``notebook_id, query_id, query``. Windows that already carry a ``vec`` are
     not embedded again; store them once and ask often.
     """
-    asked = queries.select(
+    # Sorted out by notebook first, so that tiles are full, and embedded once afterwards.
+    ranged = queries.repartitionByRange("notebook_id", "query_id")
+    asked = ranged.select(
         F.col("notebook_id").alias("group"), F.col("query_id").alias("id"), embed(F.col("query"), encoder).alias("vec")
     )
     vec = F.col("vec") if "vec" in chunks.columns else embed(F.col("text"), encoder)
@@ -174,9 +176,9 @@ def retrieve(
         F.col("group").alias("notebook_id"), "query_id", "rank", F.col("id").alias("chunk_no"), "similarity"
     )
     window = ["notebook_id", "chunk_no"]
-    # A window may be the best for any share of the questions, but few windows are used at all.
+    # A window may be among the best for any share of the questions.
     used = chunks.select(*window, "text").join(best.select(*window).distinct(), window, "left_semi")
-    return spread_lookup(best, used, window, how="inner", spread_by=["query_id"]).select(
+    return spread_lookup(best, used, window, how="inner", spread_by=["query_id"], salts=4).select(
         "notebook_id", "query_id", "rank", "chunk_no", "similarity", "text"
     )
 

@@ -60,11 +60,13 @@ def spread_lookup(
     spread_by: list[str] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join to a table with at most one row per key.
+    """Join to a table with one or few rows per key, where a key may own any share of ``rows``.
 
     Each key of ``rows`` is cut into ``salts`` parts by a hash of ``spread_by`` and the lookup
-    row is repeated for each part, so that a large key is joined by many tasks. The hash is
-    fixed by the row, so a task that is run again gives the same parts.
+    rows are repeated for each part, so that a large key is joined by many tasks; no later
+    grouping by the key relies on the partitions of the join, which leaves adaptive execution
+    free to split parts that are still too large. The hash is fixed by the row, so a task that
+    is run again gives the same parts.
     """
     by = spread_by or [c for c in rows.columns if c not in on]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))

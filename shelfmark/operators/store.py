@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import is_blank, literal, or_empty, strip
 from shelfmark.model import FAILED, SUCCESS
-from shelfmark.operators.spread import positions
+from shelfmark.operators.spread import positions, spread_lookup
 
 # Fixed value: what stands between two sources, and between two windows of a context.
 SEPARATOR = "\n\n---\n\n"
@@ -89,11 +89,12 @@ def delete_sources(sources: DataFrame, keys: DataFrame) -> DataFrame:
 
 def delete_notebooks(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Notebooks go with their sources and chat logs. ``ids`` has a column ``id``."""
-    gone = ids.select(F.col("id").alias("_gone")).distinct()
+    gone = ids.select("id").distinct()
 
     def without(table: str, column: str) -> DataFrame:
         rows = tables[table]
-        return rows.join(gone, rows[column].eqNullSafe(gone["_gone"]), "left_anti")
+        left = spread_lookup(rows, gone.withColumnRenamed("id", column), [column], "left_anti", ["id"])
+        return left.select(rows.columns)
 
     return {
         "notebooks": without("notebooks", "id"),

@@ -38,7 +38,9 @@ def run_crawl(
     classified = classify_urls(urls, config, robots)
     kept = kept_urls(classified)
     pending = pending_urls(kept, progress)
-    resolved = None if attempts is None else resolve_fetch(attempts)
+    resolved = None
+    if attempts is not None:
+        resolved = resolve_fetch(attempts.join(pending.select("url"), "url", "left_semi"))
     wanted = pages.join(pending.select("url"), "url", "left_semi")
     # Extraction is the costly step and has five readers.
     results = stored(build_page_results(wanted, scraped_at, resolved=resolved, drop_repeats=drop_repeats), "results")

@@ -30,6 +30,7 @@ def import_pages(
     # A URL may be in several notebooks; it is extracted once.
     distinct = addressed.groupBy("url").agg(F.max("html").alias("html"))
     rows = build_page_results(distinct, scraped_at, profile="api", resolved=resolved)
+    # A failed fetch is the business of the notebooks that asked for the page.
     batch = notebooks.join(rows, "url").select(
         "notebook_id", "url", "title", "content", "status",
         literal(scraped_at).cast("timestamp").alias("last_updated"),
