@@ -2,47 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.tokens import WINDOW, first_tokens, token_count, windows
-from shelfmark.operators.spread import running_offsets
+from shelfmark.functions.tokens import WINDOW, Codec, codec_count, codec_cut, cut, token_count, windows
+from shelfmark.operators.spread import running_offsets, spread_lookup
 from shelfmark.operators.store import SEPARATOR
 from shelfmark.session import durable
 
 SEARCHED_CHUNKS = 100
 
 
-def chunk_notebook(corpus: DataFrame, size: int = WINDOW) -> DataFrame:
+def chunk_notebook(
+    corpus: DataFrame, size: int = WINDOW, load_codec: Callable[[], Codec] | None = None
+) -> DataFrame:
     """Windows over all texts of a notebook joined by the separator, so that a window may hold
     the end of one text and the start of the next: ``notebook_id, chunk_no, text, n_tokens``.
 
     Each text learns how many tokens lie before it, from counts alone; it is then cut in place,
     and only the pieces of one window, at most ``size`` tokens, come together again. No task
-    ever holds a notebook.
+    ever holds a notebook. Tokens are words, or those of a model whose codec ``load_codec``
+    returns.
     """
+
+    def count(text: Column) -> Column:
+        return codec_count(text, load_codec) if load_codec else token_count(text)
+
     texts = corpus.filter(F.length("text") > 0)
     joined_text = F.concat(F.lit(SEPARATOR), F.col("text"))
     # Stored first, because the range partitioning of the offsets would count the texts twice.
-    counts = durable(texts.select("notebook_id", "id", token_count(joined_text).alias("n")))
-    offsets = running_offsets(counts, ["notebook_id"], ["id"], F.col("n"))
-    # Every text but the first has the separator, one token, in front of it.
+    counts = durable(
+        texts.select("notebook_id", "id", count(F.col("text")).alias("alone"), count(joined_text).alias("n"))
+    )
+    # All but the first text of a notebook have the separator in front; all offsets but the
+    # first are too large by what the separator of the first would have added.
+    surplus = counts.groupBy("notebook_id").agg(F.min_by(F.col("n") - F.col("alone"), "id").alias("surplus"))
+    offsets = spread_lookup(
+        running_offsets(counts, ["notebook_id"], ["id"], F.col("n")), surplus, ["notebook_id"], spread_by=["id"]
+    )
     first = F.col("offset") == 0
     # Both sides grow with the texts, so neither is broadcast.
     placed = texts.join(offsets.hint("merge"), ["notebook_id", "id"]).select(
         "notebook_id",
         F.when(first, F.col("text")).otherwise(joined_text).alias("text"),
-        F.when(first, F.lit(0)).otherwise(F.col("offset") - 1).alias("start"),
-        F.when(first, F.col("n") - 1).otherwise(F.col("n")).alias("n"),
+        F.when(first, F.lit(0)).otherwise(F.col("offset") - F.col("surplus")).alias("start"),
+        F.when(first, F.col("alone")).otherwise(F.col("n")).alias("n"),
+    )
+    text, start = F.col("text"), F.col("start")
+    cut_text = codec_cut(text, start, load_codec, size) if load_codec else cut(text, start, size)
+    pieces = placed.select("notebook_id", "start", "n", cut_text.alias("pieces")).select(
+        "notebook_id", "start", "n", F.posexplode("pieces").alias("i", "piece")
     )
-    # The first piece fills up the window that the texts before have begun.
-    begun = placed.withColumn("head", first_tokens(F.col("text"), size - F.pmod(F.col("start"), F.lit(size))))
-    rest = F.substring(F.col("text"), F.length("head") + 1, F.length("text"))
-    pieces = begun.select(
-        "notebook_id", "start", "n", F.posexplode(F.concat(F.array("head"), windows(rest, size))).alias("i", "piece")
-    ).withColumn("chunk_no", F.floor(F.col("start") / size) + F.col("i"))
-    begin = F.greatest(F.col("start"), F.col("chunk_no") * size)
-    end = F.least(F.col("start") + F.col("n"), (F.col("chunk_no") + 1) * size)
+    pieces = pieces.withColumn("chunk_no", F.floor(start / size) + F.col("i"))
+    begin = F.greatest(start, F.col("chunk_no") * size)
+    end = F.least(start + F.col("n"), (F.col("chunk_no") + 1) * size)
     in_order = F.array_sort(F.collect_list(F.struct("start", "piece")))
     return (
         pieces.groupBy("notebook_id", "chunk_no")

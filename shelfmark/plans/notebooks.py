@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import literal
-from shelfmark.functions.tokens import WINDOW
+from shelfmark.functions.tokens import WINDOW, Codec
 from shelfmark.functions.urls import with_scheme
 from shelfmark.operators.chunks import SEARCHED_CHUNKS, cap_chunks, chunk_notebook
 from shelfmark.operators.extraction import build_page_results
@@ -24,13 +26,15 @@ def import_pages(
     resolved: DataFrame | None = None,
     keep_on_fail: bool = True,
 ) -> DataFrame:
-    """``pages(notebook_id, url, html)`` extracted and upserted into ``current``."""
+    """``pages(notebook_id, url, html)`` extracted and upserted into ``current``.
+
+    ``html`` is NULL where the fetch failed.
+    """
     addressed = pages.withColumn("url", with_scheme(F.col("url")))
     notebooks = addressed.select("notebook_id", "url").distinct()
     # A URL may be in several notebooks; it is extracted once.
     distinct = addressed.groupBy("url").agg(F.max("html").alias("html"))
     rows = build_page_results(distinct, scraped_at, profile="api", resolved=resolved)
-    # A failed fetch is the business of the notebooks that asked for the page.
     batch = notebooks.join(rows, "url").select(
         "notebook_id", "url", "title", "content", "status",
         literal(scraped_at).cast("timestamp").alias("last_updated"),
@@ -39,10 +43,14 @@ def import_pages(
 
 
 def chunk_table(
-    sources: DataFrame, size: int = WINDOW, cap: int | None = SEARCHED_CHUNKS, encoder: Encoder | None = None
+    sources: DataFrame,
+    size: int = WINDOW,
+    cap: int | None = SEARCHED_CHUNKS,
+    encoder: Encoder | None = None,
+    load_codec: Callable[[], Codec] | None = None,
 ) -> DataFrame:
     """Windows with vectors, written once, to be asked many times."""
-    chunks = cap_chunks(chunk_notebook(notebook_corpus(sources), size), cap)
+    chunks = cap_chunks(chunk_notebook(notebook_corpus(sources), size, load_codec), cap)
     return stored(chunks.withColumn("vec", embed(F.col("text"), encoder)), "chunks")
 
 
@@ -53,8 +61,9 @@ def question_contexts(
     size: int = WINDOW,
     cap: int | None = SEARCHED_CHUNKS,
     encoder: Encoder | None = None,
+    load_codec: Callable[[], Codec] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Prompts for the questions whose notebook has text, and fixed answers for the others."""
-    chunks = chunk_table(sources, size, cap, encoder)
+    chunks = chunk_table(sources, size, cap, encoder, load_codec)
     prompts = assemble_prompt(assemble_context(retrieve(queries, chunks, k, encoder)), queries)
     return prompts, guard_empty(queries, notebook_corpus(sources))

@@ -161,6 +161,29 @@ def test_notebook_windows_against_brute_force(spark, size):
         assert found[n] == [(i, "".join(w), len(w)) for i, w in enumerate(wanted)]
 
 
+def load_bytes_codec():
+    """A codec of a model library whose tokens are bytes and a few pairs of them."""
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"wo": 256, b" w": 257, b"--": 258, b"\n\n": 259}
+    return tiktoken.Encoding("bytes", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("size", [1, 4, 50])
+def test_codec_windows_equal_those_of_the_joined_text(spark, size):
+    texts = ["two words", "é日本😀", "--", "word " * 40 + "end", "x"]
+    rows = [(n, i, t) for n in (1, 2) for i, t in enumerate(texts) if not (n == 2 and i == 0)]
+    corpus = spark.createDataFrame(rows, "notebook_id bigint, id bigint, text string")
+    found = {}
+    for r in C.chunk_notebook(corpus, size, load_bytes_codec).orderBy("chunk_no").collect():
+        found.setdefault(r.notebook_id, []).append((r.text, r.n_tokens))
+    codec = load_bytes_codec()
+    for n in (1, 2):
+        tokens = codec.encode(K.SEPARATOR.join(t for m, _, t in rows if m == n))
+        wanted = [tokens[i : i + size] for i in range(0, len(tokens), size)]
+        assert found[n] == [(codec.decode(w), len(w)) for w in wanted]
+
+
 def test_document_windows(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "id bigint, text string")
     found = {}
