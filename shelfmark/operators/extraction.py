@@ -89,8 +89,11 @@ def build_page_results(
         rows = extraction_status(drop_repeated_segments(rows, "url", "content", separator="\n\n"), profile)
     if resolved is None:
         return rows
-    lost = failure_rows(resolved, scraped_at, profile)
-    return rows.join(lost.select("url"), "url", "left_anti").unionByName(lost)
+    columns = [c for c in rows.columns if c != "url"]
+    found = rows.select("url", F.struct(*columns).alias("_found"))
+    lost = failure_rows(resolved, scraped_at, profile).select("url", F.struct(*columns).alias("_lost"))
+    merged = found.join(lost, "url", "full_outer")
+    return merged.select("url", F.coalesce("_lost", "_found").alias("_row")).select("url", "_row.*")
 
 
 def drop_repeated_segments(

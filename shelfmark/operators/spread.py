@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +10,6 @@ from shelfmark.session import durable
 SALTS = 16
 
 
-def _same_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
-
-
 def running_offsets(
     df: DataFrame, keys: list[str], order: list[str], value: Column | None = None, out: str = "offset"
 ) -> DataFrame:
@@ -28,23 +22,21 @@ def running_offsets(
     once to the shared folder so that both uses see the same partitions.
     """
     amount = F.lit(1).cast("bigint") if value is None else value.cast("bigint")
+    # As one struct, keys that are NULL are equal to each other in groups and joins alike.
+    key = F.struct(*keys) if keys else F.lit(0)
     ranged = durable(
-        df.withColumn("_amount", amount)
+        df.withColumn("_key", key)
+        .withColumn("_amount", amount)
         .repartitionByRange(*[F.col(c) for c in [*keys, *order]])
         .withColumn("_part", F.spark_partition_id())
     )
-    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_amount").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_part").alias("_kp"),
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
-    )
-    pairs = [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_part", "_kp")]
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(before, _same_keys(ranged, before, pairs))
+    totals = ranged.groupBy("_key", "_part").agg(F.sum("_amount").alias("_total"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_key", "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    # Join and window share one partitioning, by key and part, which is even for any key.
+    inside = Window.partitionBy("_key", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.col("_before") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))
-    return joined.withColumn(out, offset).select(*df.columns, out)
+    return ranged.join(before, ["_key", "_part"]).withColumn(out, offset).select(*df.columns, out)
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
