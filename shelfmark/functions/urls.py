@@ -9,6 +9,7 @@ from shelfmark.functions.text import literal, strip
 
 # Scheme, authority, path, query and fragment as in RFC 3986, appendix B.
 URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+# The form of a language prefix and the longest slug.
 LANG_PREFIX = r"^/([a-z]{2})(?:[_-][a-zA-Z]{2,4})?/"
 SLUG_LENGTH = 200
 

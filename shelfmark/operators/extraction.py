@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import html as H
 from shelfmark.functions.text import first_nonempty, is_blank, literal, or_empty, strip
 from shelfmark.model import FAILED, SUCCESS
+from shelfmark.session import stored
 
 NO_CONTENT = "extraction returned no content"
 PROFILES = ("cli", "api")
@@ -81,11 +82,13 @@ def build_page_results(
     become rows too, whether or not there is a page for them.
 
     With ``drop_repeats`` segments that occur again and again over the pages go first, and a
-    page left without text has failed. Pages are extracted where they lie; only page rows, not
-    the HTML, meet the failures.
+    page left without text has failed; page rows are stored on the way, because the hashes and
+    the texts are read from them. Pages are extracted where they lie; only page rows, not the
+    HTML, meet the failures.
     """
     rows = extract_pages(pages, scraped_at, profile)
     if drop_repeats:
+        rows = stored(rows, "extracted")
         rows = extraction_status(drop_repeated_segments(rows, "url", "content", separator="\n\n"), profile)
     if resolved is None:
         return rows

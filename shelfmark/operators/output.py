@@ -14,10 +14,12 @@ RECORD_FIELDS = ("url", "title", "language", "scraped_at", "content")
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with offset; microseconds only where there are any."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
-    fine = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
-    return F.when(F.pmod(F.unix_micros(ts), F.lit(1_000_000)) == 0, whole).otherwise(fine)
+    """ISO-8601 text in UTC, whatever the session's zone; microseconds only where there are any."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    fine = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(F.pmod(F.unix_micros(ts), F.lit(1_000_000)) == 0, whole).otherwise(fine)
+    return F.concat(text, F.lit("+00:00"))
 
 
 def slug_groups(df: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def run_crawl(
     progress: DataFrame,
     robots: DataFrame | None = None,
     attempts: DataFrame | None = None,
-    drop_repeats: bool = False,
+    drop_repeats: bool = True,
 ) -> CrawlRun:
     """Results of one run. ``urls`` were discovered, ``pages`` hold what was fetched."""
     classified = classify_urls(urls, config, robots)
