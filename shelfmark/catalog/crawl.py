@@ -49,8 +49,10 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def root_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    nothing = spark.createDataFrame([], "site string, sitemap_url string, pos bigint")
-    return D.seed_sitemaps(I.sites(spark, sf), nothing)
+    """Every site at its usual place, as if no robots file declared anything."""
+    sites = I.sites(spark, sf)
+    nothing = sites.select("site", F.col("site").alias("sitemap_url"), F.lit(0).alias("pos")).filter("false")
+    return D.seed_sitemaps(sites, nothing)
 
 
 @query(

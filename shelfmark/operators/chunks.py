@@ -27,15 +27,16 @@ def chunk_notebook(
     returns.
     """
 
-    def count(text: Column) -> Column:
-        return codec_count(text, load_codec) if load_codec else token_count(text)
-
     texts = corpus.filter(F.length("text") > 0)
     joined_text = F.concat(F.lit(SEPARATOR), F.col("text"))
+    if load_codec:
+        alone, together = codec_count(F.col("text"), load_codec), codec_count(joined_text, load_codec)
+    else:
+        # The separator is one word, and the white space at its end belongs to the next.
+        alone, together = token_count(F.col("text")), F.col("alone") + 1
     # Stored first, because the range partitioning of the offsets would count the texts twice.
-    counts = durable(
-        texts.select("notebook_id", "id", count(F.col("text")).alias("alone"), count(joined_text).alias("n"))
-    )
+    counted = texts.withColumn("alone", alone).withColumn("n", together)
+    counts = durable(counted.select("notebook_id", "id", "alone", "n"))
     # All but the first text of a notebook have the separator in front; all offsets but the
     # first are too large by what the separator of the first would have added.
     surplus = counts.groupBy("notebook_id").agg(F.min_by(F.col("n") - F.col("alone"), "id").alias("surplus"))
