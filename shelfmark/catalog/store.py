@@ -10,7 +10,7 @@ from shelfmark.catalog.registry import query
 from shelfmark.operators import report as R
 from shelfmark.operators import store as K
 from shelfmark.session import run_folder
-from shelfmark.sources.readers import read_kb, read_pages
+from shelfmark.sources.readers import read_kb, read_pages, write_kb
 
 NOTEBOOK = "CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END::BIGINT"
 
@@ -200,5 +200,5 @@ def pages_scan(spark: SparkSession, sf: str) -> DataFrame:
 def kb_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Sources written as a knowledge table and read back with its fixed schema."""
     folder = run_folder(spark, "kb")
-    I.sources(spark, sf).write.parquet(f"{folder}/sources")
+    write_kb(I.sources(spark, sf), folder, "sources")
     return day(read_kb(spark, folder, "sources"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.model import CrawlConfig
 from shelfmark.operators.extraction import build_page_results
@@ -13,6 +13,7 @@ from shelfmark.operators.filters import classify_urls, filter_stats, kept_urls,
 from shelfmark.operators.output import merge_progress, progress_of, write_jsonl, write_markdown
 from shelfmark.operators.report import failed_sample, run_summary
 from shelfmark.session import stored
+from shelfmark.sources.versions import read_latest, write_version
 
 
 @dataclass
@@ -58,4 +59,9 @@ def write_run(run: CrawlRun, path: str) -> None:
     root = path.rstrip("/")
     write_markdown(run.results, f"{root}/pages")
     write_jsonl(run.results, f"{root}/combined")
-    run.progress.write.mode("overwrite").parquet(f"{root}/progress")
+    write_version(run.progress, f"{root}/progress")
+
+
+def saved_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The checkpoint that the last run below ``path`` left; no rows before the first run."""
+    return read_latest(spark, f"{path.rstrip('/')}/progress", "url string, status string")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.model import KB_TABLES, PAGES, PROGRESS_FILE
+from shelfmark.sources.versions import read_latest, write_version
 
 
 def evened(df: DataFrame, key: str) -> DataFrame:
@@ -62,5 +63,12 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_kb(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One of the tables ``notebooks``, ``sources`` and ``chat_logs``."""
-    return spark.read.schema(KB_TABLES[table]).parquet(f"{path.rstrip('/')}/{table}")
+    """The newest version of one of the tables ``notebooks``, ``sources`` and ``chat_logs``."""
+    return read_latest(spark, f"{path.rstrip('/')}/{table}", KB_TABLES[table])
+
+
+def write_kb(df: DataFrame, path: str, table: str) -> int:
+    """The next version of a table; rows keep the order and types of its schema."""
+    schema = KB_TABLES[table]
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    return write_version(rows, f"{path.rstrip('/')}/{table}")

@@ -1,0 +1,37 @@
+"""Tables kept as numbered versions, so that a table can be read while its next state is written."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+def _folder(path: str, version: int) -> str:
+    return f"{path.rstrip('/')}/version={version}"
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version whose write was completed; only folder names are looked at."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+    numbers = [int(re.search(r"/version=(\d+)/_SUCCESS$", str(f.getPath())).group(1)) for f in found]
+    return max(numbers, default=None)
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Write the next version. What an earlier attempt left without finishing is replaced."""
+    last = latest_version(df.sparkSession, path)
+    version = 0 if last is None else last + 1
+    df.write.mode("overwrite").parquet(_folder(path, version))
+    return version
+
+
+def read_latest(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The newest version; no rows where nothing was written yet."""
+    last = latest_version(spark, path)
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_folder(path, last))

@@ -3,9 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.model import PAGE_RESULTS, CrawlConfig
-from shelfmark.operators.store import upsert_sources
-from shelfmark.plans.crawl import run_crawl, write_run
-from shelfmark.sources.readers import read_kb
+from shelfmark.operators.store import append_notebooks, upsert_sources
+from shelfmark.plans.crawl import run_crawl, saved_progress, write_run
+from shelfmark.sources.readers import read_kb, write_kb
 from shelfmark.streaming import jobs as S
 
 NOW = "2024-05-06 07:08:09"
@@ -96,13 +96,29 @@ def test_crawl_run(spark, tmp_path):
     assert run.stats.first().asDict() == {"n_domain": 1, "n_robots": 0, "n_lang": 1, "n_path": 0, "n_remaining": 3}
     assert tuple(run.summary.first()) == (2, 1, 1, 1)
     assert [r.url for r in run.failures.collect()] == ["https://a.org/en/2"]
+    assert saved_progress(spark, str(tmp_path)).count() == 0
     write_run(run, str(tmp_path))
-    progress = {r.url: r.status for r in spark.read.parquet(str(tmp_path / "progress")).collect()}
-    assert progress == {"https://a.org/en/1": "success", "https://a.org/en/2": "failed", "https://a.org/en/5": "failed"}
-    assert spark.read.json(str(tmp_path / "combined")).count() == 1
+    saved = saved_progress(spark, str(tmp_path))
+    assert {r.url: r.status for r in saved.collect()} == {
+        "https://a.org/en/1": "success", "https://a.org/en/2": "failed", "https://a.org/en/5": "failed",
+    }
+    again = run_crawl(urls, pages, CrawlConfig("https://a.org"), NOW, saved)
+    assert tuple(again.summary.first()) == (1, 1, 0, 3)
+    write_run(again, str(tmp_path))
+    assert saved_progress(spark, str(tmp_path)).count() == 4
+    assert spark.read.json(str(tmp_path / "combined")).count() == 2
 
 
 def test_tables_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, "n")], "id bigint, name string").withColumn("created_at", F.lit(NOW).cast("timestamp"))
-    rows.write.parquet(str(tmp_path / "notebooks"))
-    assert read_kb(spark, str(tmp_path), "notebooks").first().name == "n"
+    folder = str(tmp_path)
+    assert read_kb(spark, folder, "notebooks").count() == 0
+    assert write_kb(rows, folder, "notebooks") == 0
+    more = append_notebooks(read_kb(spark, folder, "notebooks"), spark.createDataFrame([("m",)], "name string"), NOW)
+    assert write_kb(more, folder, "notebooks") == 1
+    # A version without its mark was never finished.
+    rows.write.parquet(f"{folder}/notebooks/version=2")
+    (tmp_path / "notebooks" / "version=2" / "_SUCCESS").unlink()
+    assert {r.name for r in read_kb(spark, folder, "notebooks").collect()} == {"n", "m"}
+    assert write_kb(rows, folder, "notebooks") == 2
+    assert [r.name for r in read_kb(spark, folder, "notebooks").collect()] == ["n"]
