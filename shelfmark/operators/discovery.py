@@ -13,7 +13,7 @@ from shelfmark.functions.text import or_empty, strip
 from shelfmark.model import SITEMAP_XML
 from shelfmark.operators.robots import robots_sitemaps
 from shelfmark.operators.spread import positions, spread_lookup
-from shelfmark.session import durable
+from shelfmark.session import durable, stored
 
 # The sitemap namespace and the usual places of a sitemap.
 SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -215,7 +215,8 @@ def discover(
         F.col("sitemap_url").alias("parent"), F.col("loc").alias("child"), "pos"
     )
     visited = expand_frontier(seed_sitemaps(sites, own, mode), edges, max_sitemaps)
-    listed = frontier_pages(visited, parsed)
+    # Read three times: which sites have none, the rows, and which sites still have none.
+    listed = stored(frontier_pages(visited, parsed), "listed")
     lacking = sites.join(listed.select("site").distinct(), "site", "left_anti")
     links = extract_links(lacking.join(home_pages, "site"), strict).select(
         "site", F.col("link").alias("url"), _order_key(F.col("pos")).alias("pos")
