@@ -206,8 +206,9 @@ def predicted(docs: DataFrame, model: Model, out: str = "lang_pred", score: str
             )
 
     guess = F.pandas_udf(run, "l string, s double")
-    whole = docs.select(*[F.col(f"`{c}`") for c in kept], guess(text_of()).alias("_guess"))
-    return whole.select(*[F.col(f"`{c}`") for c in kept], F.col("_guess.l").alias(out), F.col("_guess.s").alias(score))
+    [both] = fresh(docs, "guess")
+    whole = docs.select(*[F.col(f"`{c}`") for c in kept], guess(text_of()).alias(both))
+    return whole.select(*[F.col(f"`{c}`") for c in kept], F.col(f"{both}.l").alias(out), F.col(f"{both}.s").alias(score))
 
 
 def languages_of(docs: DataFrame) -> DataFrame:
