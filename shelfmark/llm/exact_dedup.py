@@ -97,7 +97,10 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """
     rows = stored(identities(docs, block_chars), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    groups = rows.groupBy("level", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
+    # Stored, so that the join deals out a large group anew instead of reading the partitions of the groups.
+    groups = stored(
+        rows.groupBy("level", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "groups"
+    )
     return rows.join(groups, ["level", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256",
