@@ -5,6 +5,11 @@ Each class has ``HASHES`` MinHash values. Classes that agree on one of the bands
 (at similarity 0.8 a pair is missed by all bands with chance 5e-7). Candidates are compared value by value, in
 steps; after each step a pair is dropped if the posterior probability that its similarity reaches the
 threshold is below the tolerance. What is left is verified on the whole shingle sets.
+
+A group of g near copies has about g * g / 2 links, which never become rows. Classes that meet in a band bucket
+of more than ``SMALL_BUCKET`` classes form a block; a block is cut into tiles of bounded size, and a task that
+compares two tiles returns a row for each class: how many it is linked with and whom it hangs together with.
+Only pairs from small buckets that are not in one block become rows, a bounded number for each class.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 48, 6
 HASHES = BANDS * BAND_ROWS
 STEP = 32
+#: Buckets of more classes than this are compared in tiles; bounds of a tile in classes and in shingles.
+SMALL_BUCKET, TILE_CLASSES, TILE_CODES = 16, 512, 500_000
 TOLERANCE = 1e-6
 CHUNK_CHARS = 2_000_000
 _WORDS = re.compile(WORD)
@@ -140,12 +147,73 @@ def set_classes(rows: DataFrame) -> DataFrame:
     )
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: classes that agree on a band and whose sizes allow the threshold, each pair once."""
-    keyed = sets.select("set_id", "n", F.explode("bands").alias("band"))
-    other = keyed.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), "band")
-    close = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (F.col("set_id") < F.col("b"))
-    return keyed.join(other, "band").filter(close).select(F.col("set_id").alias("a"), "b").distinct()
+def bucket_members(sets: DataFrame) -> DataFrame:
+    """``band, set_id, n, size, center``: the classes in band buckets of two and more, with the bucket's size
+    and smallest class."""
+    keyed = sets.select(F.explode("bands").alias("band"), "set_id", "n")
+    shared = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("set_id").alias("center")).filter("size > 1")
+    return stored(keyed.join(stored(shared, "buckets"), "band"), "bucket-members")
+
+
+def candidates(members: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: classes that agree in a small bucket and whose sizes allow the threshold, each pair once,
+    without the pairs inside a block."""
+    small = members.filter(F.col("size") <= SMALL_BUCKET).select("band", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
+    other = small.toDF("band", "b", "n_b")
+    close = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.col("a") < F.col("b"))
+    pairs = small.join(other, "band").filter(close).select("a", "b").distinct()
+    return (
+        pairs.join(blocks.toDF("a", "block_a"), "a", "left")
+        .join(blocks.toDF("b", "block_b"), "b", "left")
+        .filter("block_a is null or block_b is null or block_a <> block_b")
+        .select("a", "b")
+    )
+
+
+def tiled(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``block, low, high, tile, set_id``: each class of a block in its tile, once for every pair of tiles."""
+    sized = blocks.toDF("set_id", "block").join(sets.select("set_id", "n"), "set_id")
+    tiles = sized.groupBy("block").agg(
+        F.ceil(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") / TILE_CODES)).cast("int").alias("tiles")
+    )
+    placed = sized.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "set_id"
+    )
+
+
+def compared_tiles(rows: pd.DataFrame, limits: list[tuple[int, int]], threshold: float) -> pd.DataFrame:
+    """``set_id, linked, root``: for the classes of two tiles (or of one, against itself) the number of
+    documents in linked classes, and the smallest class they hang together with through these links."""
+    low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+    rows = rows.sort_values("set_id", kind="stable")
+    ids, copies, tile = rows["set_id"].to_numpy(), rows["copies"].to_numpy(), rows["tile"].to_numpy()
+    sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, HASHES)
+    sizes = np.array([len(c) for c in rows["codes"]], dtype=np.int64)
+    _, codes = np.unique(np.concatenate(list(rows["codes"])), return_inverse=True)
+    ends = np.cumsum(sizes)
+    linked, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+    flags = np.zeros(int(codes.max()) + 1, dtype=np.int32)
+    for a in np.flatnonzero(tile == low).tolist():
+        partners = np.flatnonzero(tile == high)
+        if low == high:
+            partners = partners[partners > a]
+        close = np.minimum(sizes[partners], sizes[a]) >= threshold * np.maximum(sizes[partners], sizes[a])
+        partners = partners[close]
+        partners = partners[likely(sketch[a:a + 1], sketch[partners], limits)]
+        if not len(partners):
+            continue
+        flags[codes[ends[a] - sizes[a]:ends[a]]] = 1
+        sums = np.concatenate([[0], np.cumsum(flags[codes], dtype=np.int64)])
+        both = sums[ends[partners]] - sums[ends[partners] - sizes[partners]]
+        flags[codes[ends[a] - sizes[a]:ends[a]]] = 0
+        partners = partners[both >= threshold * (sizes[a] + sizes[partners] - both)]
+        linked[a] += copies[partners].sum()
+        linked[partners] += copies[a]
+        joined = np.unique(root[np.append(partners, a)])
+        if len(joined) > 1:
+            root[np.isin(root, joined)] = joined[0]
+    return pd.DataFrame({"set_id": ids, "linked": linked, "root": ids[root]})
 
 
 def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -167,33 +235,28 @@ def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
     return out
 
 
+def likely(x: np.ndarray, y: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
+    """Places of the rows of ``y`` that are left when compared with ``x`` (a row each, or one for all): compare
+    the next values, drop the unlikely pairs, go on."""
+    alive, agreed, done = np.arange(len(y)), np.zeros(len(y), dtype=np.int64), 0
+    for n, least in limits:
+        own = x[:, done:n] if len(x) == 1 else x[alive, done:n]
+        agreed = agreed + (own == y[alive, done:n]).sum(axis=1)
+        left = agreed >= least
+        alive, agreed, done = alive[left], agreed[left], n
+    return alive
+
+
 def pruned(batches: Iterator[pd.DataFrame], limits: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
-    """Compare the next values of the pairs that are left, drop the unlikely ones, go on."""
     for batch in batches:
         for start in range(0, len(batch), 8192):
             part = batch.iloc[start:start + 8192]
             x, y = (np.frombuffer(b"".join(part[c]), dtype=np.uint8).reshape(-1, HASHES) for c in ("x", "y"))
-            alive, agreed, done = np.arange(len(part)), np.zeros(len(part), dtype=np.int64), 0
-            for n, least in limits:
-                agreed = agreed + (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
-                likely = agreed >= least
-                alive, agreed, done = alive[likely], agreed[likely], n
-            yield part.iloc[alive][["a", "b"]]
+            yield part.iloc[likely(x, y, limits)][["a", "b"]]
 
 
-def links(docs: DataFrame, sets: DataFrame, threshold: float, tolerance: float, words: int) -> DataFrame:
-    """``a, b``: all pairs of classes whose shingle sets reach the threshold, found, pruned and verified."""
-    limits = least_matches(threshold, tolerance)
-    sketch = sets.select("set_id", "sketch")
-    likely = stored(
-        candidates(sets, threshold)
-        .join(sketch.toDF("a", "x"), "a")
-        .join(sketch.toDF("b", "y"), "b")
-        .mapInPandas(lambda batches: pruned(batches, limits), "a bigint, b bigint"),
-        "likely-pairs",
-    )
-    # Only classes with a likely partner are read again for their whole sets.
-    ids = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def whole_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``set_id, codes``: the shingle sets of the given classes, from the whole text of their first document."""
     reps = ids.join(sets.select("set_id", "doc_id", "tkey"), "set_id").select(
         "set_id", F.col("doc_id").alias("rep_id"), F.col("tkey").alias("rep_key")
     )
@@ -206,16 +269,52 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, tolerance: float,
             yield pd.DataFrame({"set_id": batch["set_id"].array, "codes": pd.Series(codes, dtype=object).array})
 
     codes = found.select("set_id", "text").mapInPandas(whole, "set_id bigint, codes array<bigint>")
-    wholes = stored(codes, "candidate-sets")
+    # A first document that is repeated gives its set as often.
+    return stored(codes.dropDuplicates(["set_id"]), "candidate-sets")
+
+
+def links(
+    docs: DataFrame, sets: DataFrame, threshold: float, tolerance: float, words: int
+) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: edges that connect all linked classes; ``set_id, linked``: the number of documents in the other
+    classes each is linked with. All links are found, pruned and verified; those inside blocks stay in tasks."""
+    limits = least_matches(threshold, tolerance)
+    sketch = sets.select("set_id", "sketch")
+    members = bucket_members(sets)
+    stars = members.filter(F.col("size") > SMALL_BUCKET).filter("set_id <> center").select("center", "set_id").distinct()
+    blocks = components(stored(stars.toDF("a", "b"), "stars"))
+    pairs = stored(
+        candidates(members, blocks, threshold)
+        .join(sketch.toDF("a", "x"), "a")
+        .join(sketch.toDF("b", "y"), "b")
+        .mapInPandas(lambda batches: pruned(batches, limits), "a bigint, b bigint"),
+        "likely-pairs",
+    )
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(blocks.select("node")).distinct()
+    wholes = whole_sets(docs, sets, ids, words)
     both = F.size(F.array_intersect("x", "y"))
-    return stored(
-        likely.join(wholes.toDF("a", "x"), "a")
+    verified = stored(
+        pairs.join(wholes.toDF("a", "x"), "a")
         .join(wholes.toDF("b", "y"), "b")
         .filter(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
-        .distinct(),
+        .select("a", "b"),
         "links",
     )
+    kernel = (
+        tiled(sets, blocks)
+        .join(sets.select("set_id", "copies", "sketch"), "set_id")
+        .join(wholes, "set_id")
+        .groupBy("block", "low", "high")
+        .applyInPandas(lambda rows: compared_tiles(rows, limits, threshold), "set_id bigint, linked bigint, root bigint")
+    )
+    inside = stored(kernel, "block-links")
+    copies = sets.select(F.col("set_id").alias("v"), "copies")
+    degree = verified.union(verified.select("b", "a")).toDF("set_id", "v").join(copies, "v").select(
+        "set_id", F.col("copies").alias("linked")
+    )
+    edges = verified.union(inside.filter("root <> set_id").select("root", "set_id").distinct())
+    counted = inside.select("set_id", "linked").union(degree.select("set_id", "linked"))
+    return stored(edges, "link-edges"), counted.groupBy("set_id").agg(F.sum("linked").alias("linked"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -252,18 +351,14 @@ def near_duplicates(
     """
     rows = sketches(docs, words)
     sets = set_classes(rows)
-    pairs = links(docs, sets, threshold, tolerance, words)
-    label = components(pairs)
-    copies = sets.select(F.col("set_id").alias("v"), "copies")
-    degree = (
-        pairs.union(pairs.select("b", "a")).toDF("u", "v").join(copies, "v").groupBy("u").agg(F.sum("copies").alias("linked"))
-    )
+    edges, degree = links(docs, sets, threshold, tolerance, words)
+    label = components(edges)
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey")
     labelled = (
         sets.select("set_id", "set_key", "copies", "doc_id", "tkey")
         .join(label, F.col("set_id") == F.col("node"), "left")
         .withColumn("label", F.coalesce("label", "set_id"))
-        .join(degree, F.col("set_id") == F.col("u"), "left")
+        .join(degree, "set_id", "left")
     )
     reps = labelled.groupBy("label").agg(F.min(first).alias("rep"))
     classes = labelled.join(reps, "label").select(

@@ -115,6 +115,20 @@ def near_rows(seed=5, families=25):
     return rows
 
 
+def test_large_groups_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(jaccard_join, "TILE_CLASSES", 7)
+    base = [f"w{i}" for i in range(120)]
+    rng, rows = random.Random(9), near_rows(3, 12)
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(120)] = f"c{rng.randrange(9)}"
+        rows.append((len(rows), " ".join(words), "en", "s", 0))
+    found = jaccard_join.near_duplicates(docs_of(spark, rows))
+    assert collected(found, "doc_id", "class_id", "n_links") == plain(brute_links(rows))
+
+
 @pytest.mark.parametrize("rows", [AWKWARD, near_rows(), near_rows(11, 40)])
 def test_near_duplicates_match_brute_force(spark, rows):
     found = jaccard_join.near_duplicates(docs_of(spark, rows))
