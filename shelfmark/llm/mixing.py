@@ -67,25 +67,25 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], most_rounds: int = MO
     total = cells.agg(F.sum("weight")).first()[0]
     if not total:
         return cells
-    goals = {}
     for dim, target in targets.items():
         there = target.join(cells.select(dim).distinct(), dim, "left_semi")
         whole = there.agg(F.sum("target")).first()[0]
-        goals[dim] = stored(there.select(dim, (F.col("target") / whole * total).alias("goal")), "goals")
+        cells = cells.join(there.select(dim, (F.col("target") / whole * total).alias(f"goal_{dim}")), dim)
+    cells = stored(cells, "cells")
     for _ in range(most_rounds):
-        off = []
-        for dim, goal in goals.items():
+        for dim in targets:
             sums = cells.groupBy(dim).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(goal, dim).select(dim, F.try_divide("goal", "sum").alias("factor"))
-            cells = cells.join(factor, dim).withColumn("weight", F.coalesce(F.col("weight") * F.col("factor"), F.lit(0.0)))
-            off.append(f"off_{dim}")
-            cells = cells.withColumn(off[-1], F.abs(F.coalesce("factor", F.lit(1.0)) - 1)).drop("factor")
+            factor = F.coalesce(F.try_divide(f"goal_{dim}", "sum"), F.lit(1.0))
+            cells = cells.join(sums, dim).withColumns(
+                {"weight": F.col("weight") * factor, f"off_{dim}": F.abs(factor - 1)}
+            ).drop("sum")
+        off = [f"off_{dim}" for dim in targets]
         cells = stored(cells, "cells")
-        worst = cells.agg(F.max(F.greatest(*off)) if len(off) > 1 else F.max(off[0])).first()[0]
+        worst = cells.agg(*[F.max(c) for c in off]).first()
         cells = cells.drop(*off)
-        if worst <= close:
+        if max(worst) <= close:
             break
-    return cells
+    return cells.drop(*[f"goal_{dim}" for dim in targets])
 
 
 def with_probability(cells: DataFrame, budget_share: float) -> DataFrame:
