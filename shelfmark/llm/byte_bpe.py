@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm.common import text_of
 
@@ -151,6 +154,11 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers, without special tokens."""
+        ids, borders = self.encode_all(texts)
+        return [ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text begins and the last one ends."""
         if self.split is None:
             self.split = regex.compile(self.pattern)
         pieces = [self.split.findall(t) for t in texts]
@@ -185,8 +193,7 @@ class Codec:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = pool[np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(total)]
-        borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return [ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         tokens = self.tokens
@@ -197,16 +204,17 @@ def load_codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def chunks(texts: list[str], most_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of whole documents of about ``most_chars`` characters; a longer text is a range of its own."""
-    start = chars = 0
-    for i, text in enumerate(texts):
-        if chars and chars + len(text) > most_chars:
-            yield start, i
-            start, chars = i, 0
-        chars += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, most_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of whole documents of about ``most_chars`` bytes with their texts; a longer text is a range of
+    its own. Only one range at a time becomes Python strings."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).tolist()
+    start = size = 0
+    for i, own in enumerate([*sizes, most_chars + 1]):
+        if i == len(sizes) or size and size + own > most_chars:
+            if i > start:
+                yield start, i, texts.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += own
 
 
 def encoded(docs: DataFrame, codec: Codec, column: str = "text", out: str = "ids") -> DataFrame:
@@ -216,15 +224,19 @@ def encoded(docs: DataFrame, codec: Codec, column: str = "text", out: str = "ids
     ``out`` is replaced; repeated rows are encoded each; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codec)
-    kept = [c for c in docs.columns if c.lower() not in (column.lower(), out.lower())]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in (column.lower(), out.lower())]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            texts = texts.tolist()
-            yield pd.Series([ids.astype(np.int32) for a, b in chunks(texts) for ids in shared.value.encode(texts[a:b])], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, texts in slices(batch.column(batch.num_columns - 1)):
+                ids, borders = shared.value.encode_all(texts)
+                lists = pa.ListArray.from_arrays(borders.astype(np.int32), ids.view(np.int32))
+                others = [c.slice(start, stop - start) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*others, lists], names=[*batch.schema.names[:-1], out])
 
-    ids = F.pandas_udf(run, "array<int>")
-    return docs.select(*[F.col(f"`{c}`") for c in kept], ids(text_of(column)).alias(out))
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], text_of(column).alias(column))
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, schema)
 
 
 def decoded(tokens: DataFrame, codec: Codec, column: str = "ids", out: str = "bytes") -> DataFrame:
@@ -246,22 +258,22 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     32-bit numbers and the bytes that decoding them gives, as digests. NULL texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(codec)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, names = shared.value, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         for batch in batches:
-            texts, rows = batch["text"].tolist(), []
-            for a, b in chunks(texts):
-                for ids in codec.encode(texts[a:b]):
-                    little = ids.astype("<u4").tobytes()
-                    rows.append((len(ids), hashlib.sha256(little).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
-
-    # The id travels as text, so that ids of any type and NULL come back unchanged.
-    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
-    made = plain.mapInPandas(run, "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+            for start, stop, texts in slices(batch.column(1)):
+                own = codec.encode(texts)
+                columns = [
+                    batch.column(0).slice(start, stop - start),
+                    pa.array([len(ids) for ids in own], pa.int64()),
+                    pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in own], pa.string()),
+                    pa.array([hashlib.sha256(codec.decode(ids)).hexdigest() for ids in own], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    digests = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([docs.schema["doc_id"], *digests])
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
 def token_rows(docs: DataFrame, codec: Codec) -> DataFrame:
