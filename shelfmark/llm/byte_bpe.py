@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import text_of
+from shelfmark.llm.common import small_batches, text_of
 
 #: Pre-tokens whose merged ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Characters of text that are split at a time, whole documents; bounds the memory of a task.
 CHUNK_CHARS = 2_000_000
 
@@ -112,7 +112,7 @@ class Codec:
         self.ids = np.array(self.whole_ids, dtype=np.uint32)
         self.index = PerfectHash(list(self.whole)) if len(self.whole) else None
         self.split = None
-        self.remembered: dict[str, list[int]] = {}
+        self.remembered: dict[str, bytes] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"split": None, "remembered": {}}
@@ -166,7 +166,6 @@ class Codec:
         flat = np.empty(int(counts.sum()), dtype=object)
         flat[:] = [x for p in pieces for x in p]
         codes, words = pd.factorize(flat)
-        found: list[list[int] | None] = [None] * len(words)
         lengths = np.ones(len(words), dtype=np.int64)
         first = np.zeros(len(words), dtype=np.uint32)
         if len(words) and self.index is not None:
@@ -177,18 +176,18 @@ class Codec:
             known = np.zeros(len(words), dtype=bool)
         if len(self.remembered) > REMEMBERED:
             self.remembered = {}
-        for i in np.flatnonzero(~known).tolist():
-            word = words[i]
+        merged = []
+        for word in words[~known]:
             ids = self.remembered.get(word)
             if ids is None:
-                ids = self.remembered[word] = self.merged(word.encode())
-            found[i], lengths[i] = ids, len(ids)
+                ids = self.remembered[word] = np.array(self.merged(word.encode()), dtype=np.uint32).tobytes()
+            merged.append(ids)
+        lengths[~known] = [len(ids) // 4 for ids in merged]
         # All words' ids in one array, then gathered in the order of the texts.
         starts = np.concatenate([[0], np.cumsum(lengths)])
         pool = np.zeros(int(starts[-1]), dtype=np.uint32)
         pool[starts[:-1][known]] = first[known]
-        for i in np.flatnonzero(~known).tolist():
-            pool[starts[i]:starts[i + 1]] = found[i]
+        pool[np.repeat(~known, lengths)] = np.frombuffer(b"".join(merged), dtype=np.uint32)
         sizes = lengths[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -224,6 +223,7 @@ def encoded(docs: DataFrame, codec: Codec, column: str = "text", out: str = "ids
     ``out`` is replaced; repeated rows are encoded each; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codec)
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name.lower() not in (column.lower(), out.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +257,7 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row: the ids as little-endian unsigned
     32-bit numbers and the bytes that decoding them gives, as digests. NULL texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(codec)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, names = shared.value, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import small_batches
+
 # Elements of HTML by their part in a page.
 NO_TEXT = "script style noscript template textarea title iframe object svg math select button canvas audio video".split()
 ASIDE = "nav header footer aside form menu dialog head fieldset".split()
@@ -270,6 +272,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.Series([main_text(page, tree) for page in batch], dtype=object)
 
+    small_batches(pages.sparkSession)
     extract = F.pandas_udf(run, "string")
     rows = pages.select("page_id", "url", extract(F.coalesce("html", F.lit(""))).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WORD, rows_by_key, text_key, text_of
+from shelfmark.llm.common import WORD, rows_by_key, small_batches, text_key, text_of
 from shelfmark.session import stored
 
 SHINGLE_WORDS = 5
@@ -349,6 +349,7 @@ def near_duplicates(
     than any other. Rows that repeat id and text are copies of each other. An empty table gives no rows; other
     columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = sketches(docs, words)
     sets = set_classes(rows)
     edges, degree = links(docs, sets, threshold, tolerance, words)

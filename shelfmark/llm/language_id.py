@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fresh, text_of
+from shelfmark.llm.common import fresh, small_batches, text_of
 from shelfmark.session import stored
 
 #: Bounds of the model: labelled documents of a language that it is fitted on, words and n-grams it keeps.
@@ -189,6 +189,7 @@ def predicted(docs: DataFrame, model: Model, out: str = "lang_pred", score: str
     with equal sums the first by name. Columns of those two names are replaced; repeated rows get a result each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in (out.lower(), score.lower())]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
