@@ -178,10 +178,10 @@ SELECT site AS base_url, count(*) OVER (PARTITION BY site) AS total_urls,
        row_number() OVER (PARTITION BY site ORDER BY url) AS pos, url FROM every"""
 )
 def discover_sorted(spark, sf):
-    """Discovery for the notebook import: usual places always tried, at most 30 sitemaps a site."""
+    """Discovery for the notebook import: usual places always tried."""
     found = D.discover(
         I.sites(spark, sf), I.robots(spark, sf), I.sitemap_docs(spark, sf), I.home_pages(spark, sf),
-        mode="always", max_sitemaps=30, include_base=True,
+        mode="always", include_base=True,
     )
     return D.discovery_result(found)
 

@@ -65,7 +65,7 @@ dots AS (
 )"""
 
 
-CAPPED = scored("chunk_no < 100")
+RANKED = scored("true")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,26 +142,26 @@ def cosine_top_k(spark, sf):
     return best.select(F.col("group").alias("label"), "rank", F.col("id").alias("vec_id"), "similarity")
 
 
-@query(f"WITH {CAPPED} SELECT notebook_id, query_id, rank, chunk_no, similarity, text FROM best")
+@query(f"WITH {RANKED} SELECT notebook_id, query_id, rank, chunk_no, similarity, text FROM best")
 def retrieve_context(spark, sf):
-    """The five best of the first hundred windows of each notebook for each benchmark text."""
+    """The five best windows of each notebook for each benchmark text."""
     return R.retrieve(I.questions(spark, sf), chunk_table(I.sources(spark, sf)))
 
 
 @query(f"WITH {scored('true')} SELECT notebook_id, query_id, rank, chunk_no, similarity FROM best")
 def retrieve_batch(spark, sf):
-    """The same over all windows."""
-    best = R.retrieve(I.questions(spark, sf), chunk_table(I.sources(spark, sf), cap=None))
+    """The same without the texts."""
+    best = R.retrieve(I.questions(spark, sf), chunk_table(I.sources(spark, sf)))
     return best.drop("text")
 
 
-@query(f"WITH {CAPPED} SELECT notebook_id, query_id, context FROM contexts")
+@query(f"WITH {RANKED} SELECT notebook_id, query_id, context FROM contexts")
 def assemble_context(spark, sf):
     return contexts(spark, sf)
 
 
 @query(
-    f"""WITH {CAPPED}
+    f"""WITH {RANKED}
 SELECT notebook_id, c.query_id, '{R.PROMPT.split("{context}")[0]}' || context
        || '{R.PROMPT.split("{context}")[1].split("{query}")[0]}' || b.text
        || '{R.PROMPT.split("{query}")[1]}' AS prompt

@@ -28,19 +28,22 @@ changes AS (
 ), newest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY notebook_id, url ORDER BY last_updated DESC) AS n FROM changes)
   WHERE n = 1
+), good AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY notebook_id, url ORDER BY last_updated DESC) AS n FROM changes WHERE status <> 'failed'
+  ) WHERE n = 1
 ), added AS (
   SELECT n.*, (SELECT max(id) FROM sources) + row_number() OVER (ORDER BY n.notebook_id, n.url) AS id
   FROM newest n WHERE (n.notebook_id, n.url) NOT IN (SELECT (notebook_id, url) FROM sources)
 )"""
 
 
-def upserted(replaced: str) -> str:
+def upserted(values: str) -> str:
     return f"""WITH {CHANGES}
-SELECT s.id, s.notebook_id, s.url, CASE WHEN {replaced} THEN n.title ELSE s.title END AS title,
-       CASE WHEN {replaced} THEN n.content ELSE s.content END AS content,
-       CASE WHEN {replaced} THEN n.status ELSE s.status END AS status,
-       coalesce(n.last_updated, s.last_updated) AS last_updated
+SELECT s.id, s.notebook_id, s.url, coalesce(v.title, s.title) AS title, coalesce(v.content, s.content) AS content,
+       coalesce(v.status, s.status) AS status, coalesce(n.last_updated, s.last_updated) AS last_updated
 FROM sources s LEFT JOIN newest n ON n.notebook_id = s.notebook_id AND n.url = s.url
+LEFT JOIN {values} v ON v.notebook_id = s.notebook_id AND v.url = s.url
 UNION ALL SELECT id, notebook_id, url, title, content, status, last_updated FROM added"""
 
 
@@ -85,13 +88,13 @@ def list_notebooks(spark, sf):
     return day(K.list_notebooks(I.notebooks(spark, sf)), "created_at")
 
 
-@query(upserted("n.url IS NOT NULL"))
+@query(upserted("newest"))
 def upsert_sources(spark, sf):
     """A failed refetch blanks the text."""
     return day(K.upsert_sources(I.sources(spark, sf), I.source_changes(spark, sf), keep_on_fail=False))
 
 
-@query(upserted("n.url IS NOT NULL AND n.status <> 'failed'"))
+@query(upserted("good"))
 def upsert_keep_on_fail(spark, sf):
     """A failed refetch leaves the text that was there."""
     return day(K.upsert_sources(I.sources(spark, sf), I.source_changes(spark, sf)))
@@ -181,7 +184,7 @@ def source_counts(spark, sf):
 
 
 @query(
-    f"""{upserted("n.url IS NOT NULL").replace("SELECT s.id,", "SELECT * FROM (SELECT s.id,", 1)})"""
+    f"""{upserted("newest").replace("SELECT s.id,", "SELECT * FROM (SELECT s.id,", 1)})"""
     .replace("WITH", "WITH final AS (WITH", 1)
     + """) SELECT id, url, CASE status WHEN 'success' THEN 'TERSIMPAN' ELSE 'GAGAL' END AS badge,
        CASE title WHEN '' THEN 'Dokumen Tanpa Judul' ELSE title END AS shown_title FROM final"""

@@ -94,7 +94,8 @@ def sitemap_stats(docs: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def _order_key(pos) -> F.Column:
-    return F.lpad(pos.cast("string"), 12, "0")
+    """Text of fixed width in the order of any BIGINT, negative ones included."""
+    return F.lpad(F.hex(pos.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
 
 
 def expand_frontier(seeds: DataFrame, edges: DataFrame, max_sitemaps: int | None = None) -> DataFrame:

@@ -47,13 +47,14 @@ def failure_rows(resolved: DataFrame, scraped_at, profile: str = "cli") -> DataF
     )
 
 
-def extract_pages(pages: DataFrame, scraped_at, profile: str = "cli") -> DataFrame:
-    """Pages to page rows in one narrow stage without Python workers."""
+def extract_pages(pages: DataFrame, scraped_at, profile: str = "cli", keep: list[str] | None = None) -> DataFrame:
+    """Pages to page rows in one narrow stage without Python workers; columns named in ``keep`` stay too."""
     if profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
     # A generator keeps later filters and projections from computing the text again.
     found = pages.select(
         "url",
+        *(keep or []),
         F.inline(
             F.array(
                 F.struct(
@@ -68,7 +69,7 @@ def extract_pages(pages: DataFrame, scraped_at, profile: str = "cli") -> DataFra
         found = found.withColumn("title", title_or_url(strip(F.col("title")), F.col("url")))
     return extraction_status(
         found.withColumn("scraped_at", literal(scraped_at).cast("timestamp")), profile
-    ).select("url", "title", "language", "content", "scraped_at", "status", "error")
+    ).select("url", "title", "language", "content", "scraped_at", "status", "error", *(keep or []))
 
 
 def build_page_results(
@@ -92,11 +93,9 @@ def build_page_results(
         rows = extraction_status(drop_repeated_segments(rows, "url", "content", separator="\n\n"), profile)
     if resolved is None:
         return rows
-    columns = [c for c in rows.columns if c != "url"]
-    found = rows.select("url", F.struct(*columns).alias("_found"))
-    lost = failure_rows(resolved, scraped_at, profile).select("url", F.struct(*columns).alias("_lost"))
-    merged = found.join(lost, "url", "full_outer")
-    return merged.select("url", F.coalesce("_lost", "_found").alias("_row")).select("url", "_row.*")
+    # An anti join, so that Spark can broadcast the few failures and the texts stay where they are.
+    lost = failure_rows(resolved, scraped_at, profile).select(rows.columns)
+    return rows.join(lost.select("url"), "url", "left_anti").unionByName(lost)
 
 
 def drop_repeated_segments(
@@ -109,30 +108,33 @@ def drop_repeated_segments(
 ) -> DataFrame:
     """Keep the first ``max_rep`` copies, in order of key and place, of each long segment.
 
-    Only hash, key and place are shuffled, not the text, and the bound on the row number lets
-    every map task drop surplus copies first: a segment that makes up a third of all rows
-    costs ``max_rep`` rows per map task. ``key`` is unique.
+    Segments are counted by hash, key and place, and the bound on the row number lets every map
+    task drop surplus copies first: a segment that makes up a third of all rows costs
+    ``max_rep`` rows per map task. The texts then meet their kept places in one join. Rows with
+    one key and different texts are told apart by a hash of the text; rows that repeat both
+    get the same result.
     """
     segments = F.split(F.col(text), separator)
+    df = df.withColumn("_text", F.xxhash64(F.col(text)))
     long_ones = (
-        df.select(key, F.posexplode(segments).alias("_pos", "_segment"))
+        df.select(key, "_text", F.posexplode(segments).alias("_pos", "_segment"))
         .filter(F.length("_segment") >= min_len)
-        .select(key, "_pos", F.unhex(F.md5("_segment")).alias("_hash"))
+        .select(key, "_text", "_pos", F.unhex(F.md5("_segment")).alias("_hash"))
     )
-    copy_no = F.row_number().over(Window.partitionBy("_hash").orderBy(key, "_pos"))
+    copy_no = F.row_number().over(Window.partitionBy("_hash").orderBy(key, "_text", "_pos"))
     kept = (
         long_ones.withColumn("_copy", copy_no)
         .filter(F.col("_copy") <= max_rep)
-        .groupBy(key)
-        .agg(F.collect_list("_pos").alias("_kept"))
+        .groupBy(key, "_text")
+        .agg(F.collect_set("_pos").alias("_kept"))
     )
     short = F.filter(
         F.transform(segments, lambda s, i: F.when(F.length(s) < min_len, i)), lambda i: i.isNotNull()
     )
     places = F.array_sort(F.concat(short, F.coalesce("_kept", F.array().cast("array<int>"))))
     rebuilt = F.array_join(F.transform(places, lambda i: F.get(segments, i)), separator)
-    joined = df.join(kept, key, "left")
-    return joined.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in df.columns])
+    joined = df.join(kept, [key, "_text"], "left")
+    return joined.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in df.columns if c != "_text"])
 
 
 def repeated_segments(

@@ -23,7 +23,7 @@ def _lines(robots: DataFrame) -> DataFrame:
 
 def robots_sitemaps(robots: DataFrame, keep_empty: bool = False) -> DataFrame:
     """``Sitemap:`` directives in file order: ``host, pos, sitemap_url``."""
-    declared = _lines(robots).filter(F.lower(strip(F.col("line"))).startswith("sitemap:"))
+    declared = _lines(one_file(robots)).filter(F.lower(strip(F.col("line"))).startswith("sitemap:"))
     found = declared.select(
         "host",
         F.col("line_no").cast("bigint").alias("pos"),
@@ -32,6 +32,14 @@ def robots_sitemaps(robots: DataFrame, keep_empty: bool = False) -> DataFrame:
     return found if keep_empty else found.filter(F.col("sitemap_url") != "")
 
 
+def one_file(robots: DataFrame) -> DataFrame:
+    """One robots file per host: the newest by ``fetched_at`` where there is such a column, else the one that
+    sorts last by status and body."""
+    order = [c for c in ("fetched_at", "status_code", "body") if c in robots.columns]
+    last = F.max(F.struct(*order)).alias("_file")
+    return robots.groupBy("host").agg(last).select("host", "_file.*")
+
+
 def robots_groups(robots: DataFrame) -> DataFrame:
     """Groups in file order: ``host, group_no, agents, rules``.
 
@@ -47,7 +55,7 @@ def robots_groups(robots: DataFrame) -> DataFrame:
         .when(name.isin("allow", "disallow", "crawl-delay", "request-rate"), "rule")
     )
     events = (
-        _lines(robots)
+        _lines(one_file(robots))
         .select("host", "line_no", kind.alias("kind"), name.alias("name"), value.alias("value"))
         .filter(F.col("kind").isNotNull())
     )
@@ -97,6 +105,7 @@ def agent_policy(robots: DataFrame, agent: str) -> DataFrame:
     be read (401, 403) denies all, other client errors allow all, and a server error leaves
     the host ``unknown``.
     """
+    robots = one_file(robots)
     token = agent.split("/")[0].lower()
     groups = robots_groups(robots).withColumn("any_agent", F.array_contains("agents", "*"))
     named = F.exists("agents", lambda a: F.lit(token).contains(a))

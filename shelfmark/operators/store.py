@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,37 +35,55 @@ def list_notebooks(notebooks: DataFrame) -> DataFrame:
     return notebooks.orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def latest_changes(batch: DataFrame) -> DataFrame:
-    """One row per notebook and URL: the newest; at the same time a success beats a failure."""
-    newest = F.max(F.struct("last_updated", "status", "title", "content"))
-    return batch.groupBy(*SOURCE_KEY).agg(newest.alias("_new")).select(
-        *SOURCE_KEY, "_new.title", "_new.content", "_new.status", "_new.last_updated"
+def decisive_changes(batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The changes of a batch that later ones cannot do without: for each notebook and URL the newest, and the
+    newest that is no failure. At the same time a success is newer than a failure."""
+    change = F.struct(*(order or []), "last_updated", "status", "title", "content")
+    both = batch.groupBy(*SOURCE_KEY).agg(
+        F.max(change).alias("_newest"), F.max(F.when(F.col("status") != FAILED, change)).alias("_good")
     )
+    rows = F.array_compact(F.array_distinct(F.array("_newest", "_good")))
+    return both.select(*SOURCE_KEY, F.explode(rows).alias("_row")).select(*SOURCE_KEY, "_row.*")
 
 
-def upsert_sources(current: DataFrame, batch: DataFrame, keep_on_fail: bool = True) -> DataFrame:
+def upsert_sources(
+    current: DataFrame, batch: DataFrame, keep_on_fail: bool = True, order: list[str] | None = None
+) -> DataFrame:
     """The next version of ``current``: known sources change and keep their id, others are added.
 
-    With ``keep_on_fail`` a failed refetch does not blank text that was fetched before.
+    The result is that of the changes applied one by one in the order of ``order`` (none by default) and time,
+    however they are cut into batches. With ``keep_on_fail`` a failed refetch does not blank text that was
+    fetched before. New sources are numbered by the first of ``order`` and the key.
     """
-    changes = latest_changes(batch)
-    new = changes.select(*SOURCE_KEY, *[F.col(c).alias(f"_{c}") for c in ("title", "content", "status", "last_updated")])
-    changed = F.col("_status").isNotNull()
-    if keep_on_fail:
-        holds_text = (F.col("status") == SUCCESS) & ~is_blank(F.col("content"))
-        replaced = changed & ~((F.col("_status") == FAILED) & holds_text)
-    else:
-        replaced = changed
-    updated = current.join(new, SOURCE_KEY, "left").select(
+    order = order or []
+    change = F.struct(*order, "last_updated", "status", "title", "content")
+    changes = batch.groupBy(*SOURCE_KEY).agg(
+        F.max(change).alias("_newest"), F.max(F.when(F.col("status") != FAILED, change)).alias("_good"),
+        *[F.min(c).alias("_first") for c in order[:1]],
+    )
+
+    def holds_text(row: str) -> Column:
+        return (F.col(f"{row}status") == SUCCESS) & ~is_blank(F.col(f"{row}content"))
+
+    # What is left after a success: its text, or, if it had none, the failure that came later.
+    left = F.when(holds_text("_good."), F.col("_good")).otherwise(F.col("_newest")) if keep_on_fail else F.col("_newest")
+    changes = changes.withColumn("_left", F.coalesce(left, F.col("_newest")))
+    changed = F.col("_newest").isNotNull()
+    kept = F.col("_good").isNull() & F.coalesce(holds_text(""), F.lit(False)) if keep_on_fail else F.lit(False)
+    updated = current.join(changes, SOURCE_KEY, "left").select(
         "id",
         *SOURCE_KEY,
-        *[F.when(replaced, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "content", "status")],
-        F.when(changed, F.col("_last_updated")).otherwise(F.col("last_updated")).alias("last_updated"),
+        *[F.when(changed & ~kept, F.col(f"_left.{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "content", "status")],
+        F.when(changed, F.col("_newest.last_updated")).otherwise(F.col("last_updated")).alias("last_updated"),
     )
     unknown = changes.join(current.select(*SOURCE_KEY), SOURCE_KEY, "left_anti")
     # Ids are dealt over the narrow keys; texts join them afterwards.
-    ids = _next_ids(unknown.select(*SOURCE_KEY), SOURCE_KEY, current)
-    return updated.unionByName(ids.join(changes, SOURCE_KEY).select(updated.columns))
+    numbering = [*(["_first"] if order else []), *SOURCE_KEY]
+    ids = _next_ids(unknown.select(*numbering), numbering, current).select("id", *SOURCE_KEY)
+    added = ids.join(changes, SOURCE_KEY).select(
+        "id", *SOURCE_KEY, "_left.title", "_left.content", "_left.status", "_newest.last_updated"
+    )
+    return updated.unionByName(added)
 
 
 def list_sources(sources: DataFrame, notebook_id: int | Column | None = None) -> DataFrame:
@@ -114,9 +134,11 @@ def notebook_corpus(sources: DataFrame) -> DataFrame:
 
 
 def append_chats(logs: DataFrame, batch: DataFrame, created_at, order: list[str]) -> DataFrame:
-    """``logs`` and the new questions with answers, numbered by ``order``, unique in ``batch``."""
-    keys = _next_ids(batch.select(*order), order, logs)
-    added = keys.join(batch, order).withColumn("created_at", literal(created_at).cast("timestamp"))
+    """``logs`` and the new questions with answers, numbered by ``order``, unique in ``batch``; a chat
+    without notebook is one like any other."""
+    keys = _next_ids(batch.select(*order), order, logs).withColumnsRenamed({c: f"_{c}" for c in order})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order])
+    added = keys.join(batch, same).withColumn("created_at", literal(created_at).cast("timestamp"))
     return logs.unionByName(added.select(logs.columns))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import literal
 from shelfmark.functions.tokens import WINDOW, Codec
 from shelfmark.functions.urls import with_scheme
-from shelfmark.operators.chunks import SEARCHED_CHUNKS, cap_chunks, chunk_notebook
-from shelfmark.operators.extraction import build_page_results
+from shelfmark.operators.chunks import cap_chunks, chunk_notebook
+from shelfmark.operators.extraction import extract_pages, failure_rows
 from shelfmark.operators.retrieval import (
     TOP_K, Encoder, assemble_context, assemble_prompt, embed, guard_empty, retrieve,
 )
@@ -28,14 +28,18 @@ def import_pages(
 ) -> DataFrame:
     """``pages(notebook_id, url, html)`` extracted and upserted into ``current``.
 
-    ``html`` is NULL where the fetch failed.
+    ``html`` is NULL where the fetch failed; such a source has an empty title. Pages are extracted where they
+    lie, and only the stored page rows move: the HTML never does.
     """
     addressed = pages.withColumn("url", with_scheme(F.col("url")))
-    notebooks = addressed.select("notebook_id", "url").distinct()
-    # A URL may be in several notebooks; it is extracted once.
-    distinct = addressed.groupBy("url").agg(F.max("html").alias("html"))
-    rows = build_page_results(distinct, scraped_at, profile="api", resolved=resolved)
-    batch = notebooks.join(rows, "url").select(
+    rows = extract_pages(addressed, scraped_at, "api", keep=["notebook_id", "html"])
+    rows = rows.withColumn("title", F.when(F.col("html").isNull(), "").otherwise(F.col("title")))
+    rows = stored(rows.drop("html"), "imported")
+    if resolved is not None:
+        lost = failure_rows(resolved, scraped_at, "api")
+        failed = rows.select("notebook_id", "url").distinct().join(lost, "url")
+        rows = rows.join(lost.select("url"), "url", "left_anti").unionByName(failed.select(rows.columns))
+    batch = rows.select(
         "notebook_id", "url", "title", "content", "status",
         literal(scraped_at).cast("timestamp").alias("last_updated"),
     )
@@ -45,11 +49,11 @@ def import_pages(
 def chunk_table(
     sources: DataFrame,
     size: int = WINDOW,
-    cap: int | None = SEARCHED_CHUNKS,
+    cap: int | None = None,
     encoder: Encoder | None = None,
     load_codec: Callable[[], Codec] | None = None,
 ) -> DataFrame:
-    """Windows with vectors, written once, to be asked many times."""
+    """Windows with vectors, written once, to be asked many times; all of them unless a ``cap`` is wanted."""
     chunks = cap_chunks(chunk_notebook(notebook_corpus(sources), size, load_codec), cap)
     return stored(chunks.withColumn("vec", embed(F.col("text"), encoder)), "chunks")
 
@@ -59,7 +63,7 @@ def question_contexts(
     queries: DataFrame,
     k: int = TOP_K,
     size: int = WINDOW,
-    cap: int | None = SEARCHED_CHUNKS,
+    cap: int | None = None,
     encoder: Encoder | None = None,
     load_codec: Callable[[], Codec] | None = None,
 ) -> tuple[DataFrame, DataFrame]:

@@ -11,14 +11,14 @@ from shelfmark.model import KB_TABLES, PAGES, PROGRESS_FILE
 from shelfmark.sources.versions import read_latest, write_version
 
 
-def evened(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt out by ``key`` if its files give fewer partitions than there are cores.
+INPUT_PARTITIONS = "spark.shelfmark.inputPartitions"
 
-    Texts cost far more to work on than to move. Large inputs have more partitions than cores
-    and are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+def evened(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` over as many partitions as the session's ``spark.shelfmark.inputPartitions``
+    says, for texts in few files; as its files lie without that setting."""
+    partitions = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(partitions), key) if partitions else df
 
 
 def read_pages(spark: SparkSession, path: str, even: bool = False) -> DataFrame:

@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import is_blank
-from shelfmark.model import PAGES, SUCCESS
+from shelfmark.model import KB_TABLES, PAGES
 from shelfmark.operators.extraction import extract_pages
-from shelfmark.operators.spread import positions
-from shelfmark.operators.store import SOURCE_KEY, latest_changes
+from shelfmark.operators.store import decisive_changes, upsert_sources
 
 FILES_PER_TRIGGER = 100
 
@@ -51,36 +49,26 @@ def _batch_folder(path: str, batch_id: int) -> str:
 
 
 def stream_upsert(changes: DataFrame, path: str, checkpoint: str) -> None:
-    """Log the newest change per source of every micro-batch below ``path``.
+    """Log the decisive changes per source of every micro-batch below ``path``.
 
     A batch costs its own size, never that of the table; ``current_sources`` reads the result.
     """
 
     def log(batch: DataFrame, batch_id: int) -> None:
-        latest_changes(batch).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+        decisive_changes(batch).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
 
     _run(changes.writeStream.foreachBatch(log), checkpoint)
 
 
-def current_sources(spark: SparkSession, path: str, keep_on_fail: bool = True) -> DataFrame:
-    """Sources after all logged batches, as if each had been upserted in turn."""
+def current_sources(
+    spark: SparkSession, path: str, keep_on_fail: bool = True, base: DataFrame | None = None
+) -> DataFrame:
+    """Sources after all logged batches, as if each had been upserted in turn into ``base``, whose sources keep
+    their ids (into an empty table if there is none)."""
     log = spark.read.schema(CHANGES).parquet(path)
-    change = F.struct("batch_id", "last_updated", "status", "title", "content")
-    newest = F.max(change)
-    if keep_on_fail:
-        good = (F.col("status") == SUCCESS) & ~is_blank(F.col("content"))
-        newest = F.coalesce(F.max(F.when(good, change)), newest)
-    resolved = log.groupBy(*SOURCE_KEY).agg(
-        newest.alias("_kept"),
-        F.max(F.struct("batch_id", "last_updated")).alias("_last"),
-        F.min("batch_id").alias("_first"),
-    )
-    ids = positions(
-        log.groupBy(*SOURCE_KEY).agg(F.min("batch_id").alias("_first")), [], ["_first", *SOURCE_KEY], out="id"
-    )
-    return resolved.join(ids.drop("_first"), SOURCE_KEY).select(
-        "id", *SOURCE_KEY, "_kept.title", "_kept.content", "_kept.status", "_last.last_updated"
-    )
+    if base is None:
+        base = spark.createDataFrame([], KB_TABLES["sources"])
+    return upsert_sources(base, log, keep_on_fail, order=["batch_id"])
 
 
 def stream_dedup(urls: DataFrame, out: str, checkpoint: str, event_time: str | None = None, delay: str = "1 day") -> None:

@@ -75,7 +75,7 @@ def test_upsert(spark):
 
     kept = rows(True)
     assert kept == {
-        1: (1, "a", "A", "old", "success", 3), 2: (1, "b", "B2", "new", "success", 2), 7: (2, "a", "A", "other", "success", 1),
+        1: (1, "a", "A1", "mid", "success", 3), 2: (1, "b", "B2", "new", "success", 2), 7: (2, "a", "A", "other", "success", 1),
         8: (1, "c", "C", "c", "failed", 2), 9: (2, "c", "C2", "c2", "success", 3),
     }
     assert rows(False)[1] == (1, "a", "", "", "failed", 3)
@@ -266,3 +266,54 @@ def test_import_pages(spark):
         (1, "https://a.org/x/", "T", "success"), (2, "https://a.org/x/", "T", "success"),
         (1, "https://a.org/y", "https://a.org/y", "failed"),
     }
+
+
+def test_upsert_does_not_depend_on_batch_borders(spark):
+    """Any cut of a list of changes gives what applying them one by one gives."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        rows = [
+            (1, f"u{rng.randrange(4)}", f"t{i}", rng.choice(["", " ", f"c{i}"]), rng.choice(["success", "success", "failed"]),
+             f"2024-01-01 00:00:{i:02d}") for i in range(14)
+        ]
+        start = sources(spark, (5, 1, "u0", "A", "old", "success", T0))
+        held = {("u0"): ["A", "old", "success", None]}
+        for _, url, title, content, status, at in rows:
+            old = held.get(url)
+            if old and status == "failed" and old[2] == "success" and old[1].strip():
+                old[3] = at
+            else:
+                held[url] = [title, content, status, at]
+        wanted = {(u, t, c, s) for u, (t, c, s, _) in held.items()}
+        for cuts in ([], [7], sorted(rng.sample(range(1, 14), 2))):
+            now = start
+            for a, b in zip([0, *cuts], [*cuts, 14], strict=True):
+                now = K.upsert_sources(now, changes(spark, *rows[a:b]))
+            assert {(r.url, r.title, r.content, r.status) for r in now.collect()} == wanted
+            assert [r.id for r in now.filter("url = 'u0'").collect()] == [5]
+
+
+def test_chats_without_notebook_stay(spark):
+    logs = spark.createDataFrame([], "id bigint, notebook_id bigint, query string, answer string, created_at timestamp")
+    batch = spark.createDataFrame([(None, 1, "q", "a"), (3, 1, "r", "b")], "notebook_id bigint, turn bigint, query string, answer string")
+    rows = K.append_chats(logs, batch, T0, ["notebook_id", "turn"]).collect()
+    assert sorted((r.id, r.notebook_id, r.query) for r in rows) == [(1, None, "q"), (2, 3, "r")]
+
+
+def test_all_windows_are_searched_by_default(spark):
+    from shelfmark.plans.notebooks import chunk_table
+
+    text = " ".join(f"w{i}" for i in range(1500))
+    table = chunk_table(sources(spark, (1, 1, "a", "A", text, "success", T0)), size=10)
+    assert table.count() > 150
+
+
+def test_import_of_failed_and_repeated_pages(spark):
+    from shelfmark.plans.notebooks import import_pages
+
+    page = "<html><head><title>T</title></head><body><article><p>Some text of the page.</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "https://a/x", page), (2, "https://a/x", page), (1, "https://a/y", None)], "notebook_id bigint, url string, html string")
+    rows = {(r.notebook_id, r.url): (r.title, r.status) for r in import_pages(sources(spark), pages, T0).collect()}
+    assert rows == {(1, "https://a/x"): ("T", "success"), (2, "https://a/x"): ("T", "success"), (1, "https://a/y"): ("", "failed")}

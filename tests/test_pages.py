@@ -218,3 +218,12 @@ def test_reports(spark):
     urls = spark.createDataFrame([("s", f"u{i:02}") for i in range(20)], "site string, url string")
     batches = R.batch_progress(urls).orderBy("batch_no").collect()
     assert [(r.n, r.completed, r.percent) for r in batches] == [(6, 6, 30), (6, 12, 60), (6, 18, 90), (2, 20, 100)]
+
+
+def test_repeated_keys_keep_their_own_texts(spark):
+    a, b = "first long line of a page", "second long line of a page"
+    rows = spark.createDataFrame([("u", f"{a}\nx"), ("u", f"{b}\n{a}"), ("v", a), ("w", a)], "url string, content string")
+    found = X.drop_repeated_segments(rows, "url", "content", max_rep=2, min_len=10)
+    assert sorted((r.url, r.content) for r in found.collect()) in (
+        [("u", f"{a}\nx"), ("u", f"{b}\n{a}"), ("v", ""), ("w", "")],
+    )

@@ -96,3 +96,14 @@ def test_selection(spark):
     assert {(r.n_listed, r.n_selected, r.can_import) for r in none} == {(30, 0, False)}
     assert X.import_list(X.select_preset(urls, "all")).count() == 60
     assert X.search_urls(urls, "").count() == 60
+
+
+def test_two_files_of_a_host_are_not_merged(spark):
+    from shelfmark.operators.robots import robots_allowed as allowed
+
+    files = spark.createDataFrame(
+        [("a.com", 200, "User-agent: *\nDisallow: /x", "2024-01-01"), ("a.com", 200, "User-agent: *\nDisallow: /y", "2024-01-02")],
+        "host string, status_code int, body string, fetched_at string",
+    )
+    urls = spark.createDataFrame([("https://a.com/x",), ("https://a.com/y",)], "url string")
+    assert sorted(tuple(r) for r in allowed(urls, files, "bot").collect()) == [("https://a.com/x", True), ("https://a.com/y", False)]
