@@ -176,10 +176,14 @@ def chat_history(spark, sf):
     return day(K.chat_history(logs), "created_at")
 
 
-@query(f"WITH {SOURCES} SELECT notebook_id, count(*) AS n_sources FROM sources GROUP BY 1 UNION ALL SELECT 5, 0")
+@query(
+    f"""WITH {SOURCES}
+SELECT c.id AS notebook_id, count(s.id) AS n_sources FROM (SELECT DISTINCT conv_id AS id FROM conversations) c
+LEFT JOIN sources s ON s.notebook_id = c.id GROUP BY 1"""
+)
 def source_counts(spark, sf):
-    numbers = F.explode(F.array(*[F.lit(n).cast("bigint") for n in range(1, 6)]))
-    notebooks = I.table(spark, sf, "documents").select(numbers.alias("id")).distinct()
+    """Conversations as notebooks; most have no sources."""
+    notebooks = I.table(spark, sf, "conversations").select(F.col("conv_id").alias("id")).distinct()
     return R.source_counts(I.sources(spark, sf), notebooks)
 
 

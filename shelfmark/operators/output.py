@@ -57,13 +57,13 @@ def to_markdown(results: DataFrame) -> DataFrame:
     return results.select(F.concat(url_slug(F.col("url")), F.lit(".md")).alias("filename"), body.alias("body"))
 
 
-def write_markdown(results: DataFrame, path: str, as_files: bool = False) -> None:
+def write_markdown(results: DataFrame, path: str, as_files: bool = False, mode: str = "append") -> None:
     """Texts of the successful pages, as a Parquet table or, for small exports, one folder each."""
     texts = to_markdown(results.filter(F.col("status") == SUCCESS))
     if as_files:
-        texts.select("filename", F.col("body").alias("value")).write.mode("append").partitionBy("filename").text(path)
+        texts.select("filename", F.col("body").alias("value")).write.mode(mode).partitionBy("filename").text(path)
     else:
-        texts.write.mode("append").parquet(path)
+        texts.write.mode(mode).parquet(path)
 
 
 def _record(results: DataFrame) -> list[Column]:
@@ -76,10 +76,10 @@ def to_json_record(results: DataFrame) -> DataFrame:
     return results.select("url", F.to_json(F.struct(*_record(results)), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_jsonl(results: DataFrame, path: str) -> None:
-    """Append the successful pages as JSON lines."""
+def write_jsonl(results: DataFrame, path: str, mode: str = "append") -> None:
+    """The successful pages as JSON lines."""
     done = results.filter(F.col("status") == SUCCESS)
-    done.select(*_record(done)).write.mode("append").option("ignoreNullFields", False).json(path)
+    done.select(*_record(done)).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def merge_progress(old: DataFrame, new: DataFrame) -> DataFrame:

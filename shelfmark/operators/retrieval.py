@@ -35,28 +35,34 @@ TILE_BYTES = 1 << 20
 TILE = "group bigint, ids array<bigint>, matrix binary"
 
 
-def hashed_encoder(dims: int = DIMS) -> Encoder:
-    """Counts of words by hash bucket; stands in for a model and needs no download."""
+def hashed_counts(text: Column, dims: int = DIMS) -> Column:
+    """Counts of words by hash bucket; stands in for a model and needs no download.
 
-    def encode(texts: list[str]) -> np.ndarray:
-        import hashlib
-        import re
+    Words and buckets are found by built-in functions; only bucket numbers reach Python, which counts a whole
+    batch at once.
+    """
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
+    buckets = F.transform(
+        words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
+    )
 
-        buckets: dict[str, int] = {}
-        out = np.zeros((len(texts), dims), dtype=np.float32)
-        for row, text in enumerate(texts):
-            for word in re.findall(r"[^ \t\n\r\f]+", text):
-                if word not in buckets:
-                    buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
-                out[row, buckets[word]] += 1
-        return out
+    @F.pandas_udf("array<float>")
+    def counts(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in series:
+            sizes = np.array([len(r) for r in rows], dtype=np.int64)
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64)
+            cells = np.repeat(np.arange(len(rows)) * dims, sizes) + flat
+            matrix = np.bincount(cells, minlength=len(rows) * dims).reshape(len(rows), dims)
+            yield pd.Series(list(matrix.astype(np.float32)), dtype=object)
 
-    return encode
+    return counts(buckets)
 
 
 def embed(text: Column, encoder: Encoder | None = None, batch: int = EMBED_BATCH) -> Column:
-    """A vector per text. ``encoder`` maps a list of texts to a matrix, ``batch`` at a time."""
-    encode = encoder or hashed_encoder()
+    """A vector per text. ``encoder`` maps a list of texts to a matrix, ``batch`` at a time; without one, word
+    counts by hash bucket."""
+    if encoder is None:
+        return hashed_counts(text)
 
     @F.pandas_udf("array<float>")
     def vectors(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -64,7 +70,7 @@ def embed(text: Column, encoder: Encoder | None = None, batch: int = EMBED_BATCH
             values = texts.fillna("").tolist()
             rows = []
             for start in range(0, len(values), batch):
-                rows.extend(encode(values[start : start + batch]))
+                rows.extend(encoder(values[start : start + batch]))
             yield pd.Series(rows, dtype=object)
 
     return vectors(text)
@@ -191,9 +197,11 @@ def assemble_context(retrieved: DataFrame, separator: str = SEPARATOR) -> DataFr
     )
 
 
-def assemble_prompt(contexts: DataFrame, queries: DataFrame, template: str = PROMPT) -> DataFrame:
-    """``template`` with ``{context}`` and ``{query}`` filled in."""
-    before, rest = template.split("{context}")
+def assemble_prompt(
+    contexts: DataFrame, queries: DataFrame, template: str = PROMPT, system: str = ""
+) -> DataFrame:
+    """``template`` with ``{context}`` and ``{query}`` filled in, after the text ``system`` if there is one."""
+    before, rest = (f"{system}\n\n" if system else "") + template.split("{context}")[0], template.split("{context}")[1]
     between, after = rest.split("{query}")
     prompt = F.concat(F.lit(before), F.col("context"), F.lit(between), F.col("query"), F.lit(after))
     return contexts.join(queries, ["notebook_id", "query_id"]).select(

@@ -13,7 +13,7 @@ from shelfmark.operators.filters import classify_urls, filter_stats, kept_urls,
 from shelfmark.operators.output import merge_progress, progress_of, write_jsonl, write_markdown
 from shelfmark.operators.report import failed_sample, run_summary
 from shelfmark.session import stored
-from shelfmark.sources.versions import read_latest, write_version
+from shelfmark.sources.versions import latest_version, read_latest, write_version
 
 
 @dataclass
@@ -55,10 +55,16 @@ def run_crawl(
 
 
 def write_run(run: CrawlRun, path: str) -> None:
-    """Markdown, JSON lines and the next checkpoint of a run below ``path``."""
+    """Markdown, JSON lines and the next checkpoint of a run below ``path``.
+
+    Each run has a folder of its own, which it overwrites, and the checkpoint comes last: a run that was
+    interrupted and is started again leaves each page once.
+    """
     root = path.rstrip("/")
-    write_markdown(run.results, f"{root}/pages")
-    write_jsonl(run.results, f"{root}/combined")
+    last = latest_version(run.results.sparkSession, f"{root}/progress")
+    number = 0 if last is None else last + 1
+    write_markdown(run.results, f"{root}/pages/run={number}", mode="overwrite")
+    write_jsonl(run.results, f"{root}/combined/run={number}", mode="overwrite")
     write_version(run.progress, f"{root}/progress")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.model import PAGE_RESULTS, CrawlConfig
 from shelfmark.operators.store import append_notebooks, upsert_sources
+from shelfmark.operators.output import write_markdown
 from shelfmark.plans.crawl import run_crawl, saved_progress, write_run
 from shelfmark.sources.readers import read_kb, write_kb
 from shelfmark.streaming import jobs as S
@@ -97,7 +98,10 @@ def test_crawl_run(spark, tmp_path):
     assert tuple(run.summary.first()) == (2, 1, 1, 1)
     assert [r.url for r in run.failures.collect()] == ["https://a.org/en/2"]
     assert saved_progress(spark, str(tmp_path)).count() == 0
+    # A run that was interrupted before its checkpoint leaves nothing behind when it is started again.
+    write_markdown(run.results, str(tmp_path / "pages" / "run=0"))
     write_run(run, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "pages")).count() == 1
     saved = saved_progress(spark, str(tmp_path))
     assert {r.url: r.status for r in saved.collect()} == {
         "https://a.org/en/1": "success", "https://a.org/en/2": "failed", "https://a.org/en/5": "failed",
