@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from shelfmark.llm.common import small_batches, text_of
 
 #: Pre-tokens whose merged ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 #: Characters of text that are split at a time, whole documents; bounds the memory of a task.
 CHUNK_CHARS = 2_000_000
 
