@@ -1,11 +1,12 @@
 """Removal of repeated runs of lines by winnowing.
 
 Every line with a word has a 64-bit hash. In each window of consecutive lines the smallest hash (the
-rightmost of equal ones) is selected; lines of at least ``LONG_WORDS`` words are windows of their own. Two
-texts that share a run of ``WINDOW`` lines, or one long line, therefore share a selected fingerprint. Each
-occurrence of a fingerprint is joined with its first occurrence in document order, pairs on the same
-diagonal become one alignment, and along it the match is extended both ways, line by line. The later run is
-deleted if it holds ``WINDOW`` lines or a long line. The first occurrence of a line is never deleted.
+rightmost of equal ones) is selected; lines of at least ``LONG_WORDS`` words are windows of their own. The
+fingerprint is that place, keyed by all lines of its window, so that a line which is common on its own does
+not hide a longer repeat. Each occurrence of a fingerprint is joined with its first occurrence in document
+order, pairs on the same diagonal become one alignment, and along it the match is extended both ways, line by
+line. The later run is deleted if it holds ``WINDOW`` lines or a long line. So every run of ``WINDOW`` lines
+that came before anywhere goes, and the first occurrence of a line is never deleted.
 """
 
 from __future__ import annotations
@@ -45,14 +46,22 @@ def hashed_lines(docs: DataFrame, long_words: int) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, window: int) -> DataFrame:
-    """``doc_id, tkey, h, pos``: the selected lines of every document, each once."""
+    """``doc_id, tkey, h, pos``: for every window the hash of its lines and the place selected in it."""
     places = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), (-i).alias("back")))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("hashes") - window + 1, F.lit(1)))
-    rows = lines.filter(F.size("hashes") > 0).withColumn("places", places)
-    minima = F.transform(starts, lambda s: F.array_min(F.slice(F.col("places"), s, F.lit(window))))
+    starts = F.sequence(F.lit(1), F.size("hashes") - window + 1)
+    rows = lines.withColumn("places", places).withColumn(
+        "starts", F.when(F.size("hashes") >= window, starts).otherwise(F.array().cast("array<int>"))
+    )
+    minima = F.transform(
+        "starts",
+        lambda s: F.struct(
+            F.xxhash64(F.slice("hashes", s, F.lit(window))).alias("h"),
+            F.array_min(F.slice("places", s, F.lit(window)))["back"].alias("back"),
+        ),
+    )
     long = F.filter(F.col("places"), lambda x, i: F.col("long")[i])
-    return rows.select("doc_id", "tkey", F.explode(F.array_distinct(F.concat(minima, long))).alias("x")).select(
-        "doc_id", "tkey", F.col("x.h").alias("h"), (-F.col("x.back")).alias("pos")
+    return rows.select("doc_id", "tkey", F.inline(F.concat(minima, long))).select(
+        "doc_id", "tkey", "h", (-F.col("back")).alias("pos")
     )
 
 

@@ -215,6 +215,23 @@ def test_line_dedup_of_random_texts(spark):
             assert "\n".join(run) not in found[d].text
 
 
+def test_every_repeated_window_of_lines_goes(spark):
+    """Of few different lines, most are common on their own; exactly the windows that came before are gone."""
+    rng = random.Random(11)
+    rows = [(i, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 14))), "", "", 0) for i in range(120)]
+    seen, expected = set(), {}
+    for doc_id, text, *_ in rows:
+        lines = text.split("\n")
+        gone = set()
+        for i in range(len(lines) - 2):
+            if tuple(lines[i:i + 3]) in seen:
+                gone |= {i, i + 1, i + 2}
+            seen.add(tuple(lines[i:i + 3]))
+        expected[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    found = line_dedup.drop_repeated_lines(docs_of(spark, rows)).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in found} == expected
+
+
 def test_line_dedup_takes_awkward_rows(spark):
     found = line_dedup.drop_repeated_lines(docs_of(spark))
     assert found.count() == len(AWKWARD)
