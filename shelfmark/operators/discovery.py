@@ -102,8 +102,8 @@ def expand_frontier(seeds: DataFrame, edges: DataFrame, max_sitemaps: int | None
     """All sitemaps reachable from the seeds, each once: ``site, sitemap_url, level, order_key``.
 
     ``edges`` has ``parent, child, pos`` and is read in each round: pass a stored table. A round
-    joins the newest level with the edges and drops what was visited before, so cycles end. ``(level, order_key)`` is breadth-first
-    order. With ``max_sitemaps`` a site stops at exactly that many sitemaps. Levels are written
+    joins the newest level with the edges and drops what was visited before, so cycles end.
+    ``(level, order_key)`` is breadth-first order. With ``max_sitemaps`` a site stops at exactly that many sitemaps. Levels are written
     to the shared folder; a lost executor costs a task, not the rounds before it.
     """
     level = (
@@ -211,9 +211,12 @@ def discover(
     declared = robots_sitemaps(robots, keep_empty=mode == "if_none")
     by_host = sites.withColumn("host", U.netloc(F.col("site")))
     own = by_host.join(declared, "host").select("site", "sitemap_url", "pos")
-    parsed = durable(parse_sitemaps(sitemap_docs))
-    edges = parsed.filter(F.col("kind") == "sitemap").select(
-        F.col("sitemap_url").alias("parent"), F.col("loc").alias("child"), "pos"
+    parsed = stored(parse_sitemaps(sitemap_docs), "sitemap-entries")
+    # The few entries of index files lie apart, so that no round reads the pages again.
+    edges = durable(
+        parsed.filter(F.col("kind") == "sitemap").select(
+            F.col("sitemap_url").alias("parent"), F.col("loc").alias("child"), "pos"
+        )
     )
     visited = expand_frontier(seed_sitemaps(sites, own, mode), edges, max_sitemaps)
     # Read three times: which sites have none, the rows, and which sites still have none.

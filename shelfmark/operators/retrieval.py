@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import is_blank
-from shelfmark.operators.spread import SALTS, spread_lookup
+from shelfmark.operators.spread import spread_lookup
 from shelfmark.operators.store import SEPARATOR
+from shelfmark.session import stored
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -31,7 +32,10 @@ EMPTY_ANSWER = (
     "pengetahuan terlebih dahulu."
 )
 
+# A pair of tiles has at most TILE_ROWS ** 2 similarities; a task starts with TILES_A_SALT tiles of vectors.
 TILE_BYTES = 1 << 20
+TILE_ROWS = 1024
+TILES_A_SALT = 16
 TILE = "group bigint, ids array<bigint>, matrix binary"
 
 
@@ -77,8 +81,8 @@ def embed(text: Column, encoder: Encoder | None = None, batch: int = EMBED_BATCH
 
 
 def _tiles(vectors: DataFrame) -> DataFrame:
-    """Vectors of one group packed into matrices of at most ``TILE_BYTES``, batch by batch."""
-    limit = TILE_BYTES
+    """Vectors of one group packed into matrices of at most ``TILE_BYTES`` and ``TILE_ROWS``, batch by batch."""
+    limit, most_rows = TILE_BYTES, TILE_ROWS
 
     def pack(batches):
         import numpy as np
@@ -86,7 +90,7 @@ def _tiles(vectors: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for group, part in pdf.groupby("group", sort=False):
-                size = max(1, limit // max(1, 4 * len(part["vec"].iloc[0])))
+                size = min(most_rows, max(1, limit // max(1, 4 * len(part["vec"].iloc[0]))))
                 for start in range(0, len(part), size):
                     rows = part.iloc[start : start + size]
                     matrix = np.stack(rows["vec"].to_list()).astype(np.float32)
@@ -103,8 +107,9 @@ def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFr
 
     Both sides have ``group, id, vec``. Vectors are packed into tiles where they lie; a tile of
     queries meets a tile of vectors as two matrices, and only its ``k`` best per query leave the
-    task. Nothing is collected, and a group of any size is many tiles, spread by a salt. Ties
-    keep the order of ``id``; a vector without length has no similarity and comes last.
+    task. Nothing is collected. The salts of a group follow from its number of tiles: a small group
+    meets one copy of its queries, a large one is spread over as many tasks as it needs. Ties keep
+    the order of ``id``; a vector without length has no similarity and comes last.
     """
     digits = 10**DIGITS
 
@@ -125,11 +130,11 @@ def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFr
                 similarity = np.sign(exact) * np.floor(np.abs(exact) * digits + 0.5) / digits
                 ranked = np.where(np.isfinite(similarity), similarity, -np.inf)
                 keep = min(k, len(v_ids))
-                picked = []
-                for line in ranked:
-                    candidates = np.flatnonzero(line >= np.partition(line, -keep)[-keep])
-                    picked.append(candidates[np.lexsort((v_ids[candidates], -line[candidates]))[:keep]])
-                best = np.concatenate(picked)
+                least = np.partition(ranked, -keep, axis=1)[:, -keep]
+                line, column = np.nonzero(ranked >= least[:, None])
+                order = np.lexsort((v_ids[column], -ranked[line, column], line))
+                starts = np.searchsorted(line, np.arange(len(q_ids)))
+                best = column[order[(starts[:, None] + np.arange(keep)).ravel()]]
                 asked_by = np.repeat(np.arange(len(q_ids)), keep)
                 yield pd.DataFrame(
                     {
@@ -143,14 +148,13 @@ def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFr
     asked = _tiles(queries).select(
         "group", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")
     )
-    pairs = (
-        _tiles(vectors)
-        .withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
-        .join(
-            asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
-            ["group", "salt"],
-        )
+    tiles = stored(_tiles(vectors), "tiles")
+    salts = tiles.groupBy("group").agg(F.ceil(F.count("*") / TILES_A_SALT).alias("salts"))
+    salted = spread_lookup(tiles, salts, ["group"], "inner", ["ids"]).withColumn(
+        "salt", F.pmod(F.xxhash64("ids"), F.col("salts"))
     )
+    repeated = asked.join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    pairs = salted.drop("salts").join(repeated.drop("salts"), ["group", "salt"])
     scored = pairs.select("group", "ids", "matrix", "q_ids", "q_matrix").mapInPandas(
         score, "group bigint, query_id bigint, id bigint, similarity double"
     )

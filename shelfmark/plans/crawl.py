@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.model import CrawlConfig
+from shelfmark.operators.discovery import discover
 from shelfmark.operators.extraction import build_page_results
 from shelfmark.operators.fetchlog import resolve_fetch
 from shelfmark.operators.filters import classify_urls, filter_stats, kept_urls, pending_urls, skipped_count
@@ -54,6 +56,28 @@ def run_crawl(
     )
 
 
+def crawl_sites(
+    sites: DataFrame,
+    robots: DataFrame,
+    sitemap_docs: DataFrame,
+    home_pages: DataFrame,
+    pages: DataFrame,
+    config: CrawlConfig,
+    scraped_at,
+    progress: DataFrame,
+    attempts: DataFrame | None = None,
+    mode: str = "if_none",
+    drop_repeats: bool = True,
+) -> CrawlRun:
+    """From sites to results: their addresses are discovered, and each is filtered by its own site.
+
+    The addresses are stored once, since statistics, filters and counts all read them.
+    """
+    found = discover(sites, robots, sitemap_docs, home_pages, mode)
+    urls = stored(found.select(F.col("site").alias("base_url"), "url"), "discovered")
+    return run_crawl(urls, pages, config, scraped_at, progress, robots, attempts, drop_repeats)
+
+
 def write_run(run: CrawlRun, path: str) -> None:
     """Markdown, JSON lines and the next checkpoint of a run below ``path``.
 

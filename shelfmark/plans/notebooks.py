@@ -11,7 +11,7 @@ from shelfmark.functions.text import literal
 from shelfmark.functions.tokens import WINDOW, Codec
 from shelfmark.functions.urls import with_scheme
 from shelfmark.operators.chunks import cap_chunks, chunk_notebook
-from shelfmark.operators.extraction import extract_pages, failure_rows
+from shelfmark.operators.extraction import drop_repeated_segments, extract_pages, extraction_status, failure_rows
 from shelfmark.operators.retrieval import (
     TOP_K, Encoder, assemble_context, assemble_prompt, embed, guard_empty, retrieve,
 )
@@ -25,16 +25,20 @@ def import_pages(
     scraped_at,
     resolved: DataFrame | None = None,
     keep_on_fail: bool = True,
+    drop_repeats: bool = True,
 ) -> DataFrame:
     """``pages(notebook_id, url, html)`` extracted and upserted into ``current``.
 
     ``html`` is NULL where the fetch failed; such a source has an empty title. Pages are extracted where they
-    lie, and only the stored page rows move: the HTML never does.
+    lie, and only the stored page rows move: the HTML never does. With ``drop_repeats`` segments that occur
+    again and again over the pages go, as in a crawl run, and a page left without text has failed.
     """
     addressed = pages.withColumn("url", with_scheme(F.col("url")))
     rows = extract_pages(addressed, scraped_at, "api", keep=["notebook_id", "html"])
     rows = rows.withColumn("title", F.when(F.col("html").isNull(), "").otherwise(F.col("title")))
     rows = stored(rows.drop("html"), "imported")
+    if drop_repeats:
+        rows = extraction_status(drop_repeated_segments(rows, "url", "content", separator="\n\n"), "api")
     if resolved is not None:
         lost = failure_rows(resolved, scraped_at, "api")
         failed = rows.select("notebook_id", "url").distinct().join(lost, "url")

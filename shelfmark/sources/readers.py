@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +53,13 @@ def read_robots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """The checkpoint as rows ``url, status``; a missing or broken file gives no rows."""
+    """The checkpoint as rows ``url, status``; a missing or broken file gives no rows. A store that cannot be
+    read is an error, so that a crawl does not start again by mistake."""
     try:
         stored = spark.read.schema(PROGRESS_FILE).option("multiLine", True).json(path)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "url string, status string")
     return stored.select(F.explode("completed").alias("url", "status"))
 
