@@ -16,8 +16,8 @@ RAW_TEXT_TAGS = ("script", "style", "title", "textarea", "noscript", "template",
 CHROME_TAGS = ("head", "nav", "header", "footer", "aside", "form", "button", "select")
 CHROME_CLASSES = ("ad", "ads", "advert", "advertisement", "cookie-banner", "sidebar", "breadcrumb")
 BLOCK_TAGS = (
-    "p", "div", "article", "section", "main", "body", "html", "ul", "ol", "table", "thead",
-    "tbody", "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "hr",
+    "p", "div", "article", "section", "main", "body", "html", "ul", "ol", "table",
+    "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "hr",
 )
 # Named entities and their characters. The ampersand is decoded last, so that
 # text encoded twice is decoded once.
@@ -55,8 +55,8 @@ RAW_TEXT = (
 )
 CHROME = (
     r"(?is)<(" + "|".join(CHROME_TAGS) + rf"){_ATTRS}>.*?</\1{_BLANK}*>"
-    + rf'|<div{_BLANK}[^>]*class="(?:[^">]*{_BLANK})?(?:' + "|".join(CHROME_CLASSES)
-    + rf')(?:{_BLANK}[^">]*)?"[^>]*>.*?</div{_BLANK}*>'
+    + rf"""|<div{_BLANK}[^>]*class=["'](?:[^"'>]*{_BLANK})?(?:""" + "|".join(CHROME_CLASSES)
+    + rf""")(?:{_BLANK}[^"'>]*)?["'][^>]*>.*?</div{_BLANK}*>"""
 )
 PARAGRAPH = r"(?i)</h[1-6] *>|</?(?:" + "|".join(BLOCK_TAGS) + r")(?: [^>]*)?/?>"
 
@@ -119,11 +119,37 @@ def extract_language(html: Column) -> Column:
     return F.regexp_extract(or_empty(html), rf'(?is)<html(?:{_BLANK}[^>]*)?{_BLANK}lang="([^"]*)"', 1)
 
 
+def _with_code_lines(text: Column) -> Column:
+    """Line breaks inside ``pre`` as ``br``, so that they outlast the joining of white space."""
+    def broken(t: Column) -> Column:
+        blocks = F.array_distinct(F.regexp_extract_all(t, F.lit(rf"(?is)(<pre{_ATTRS}>.*?</pre{_BLANK}*>)"), F.lit(1)))
+        return F.when(t.rlike("(?i)<pre"), F.aggregate(
+            blocks, t, lambda acc, block: F.replace(acc, block, F.regexp_replace(block, r"\r\n?|\n", "<br>"))
+        )).otherwise(t)
+
+    return once(text, broken)
+
+
+def _with_header_rules(text: Column) -> Column:
+    """A row of dashes after each table row that has only header cells."""
+    def ruled(t: Column) -> Column:
+        rows = F.array_distinct(F.regexp_extract_all(t, F.lit(rf"(?is)(<tr{_ATTRS}>.*?</tr{_BLANK}*>)"), F.lit(1)))
+        heads = F.filter(rows, lambda row: row.rlike(r"(?i)<th[ \t\n\r\f>]") & ~row.rlike(r"(?i)<td[ \t\n\r\f>]"))
+        return F.when(t.rlike(r"(?i)<th[ \t\n\r\f>]"), F.aggregate(
+            heads, t, lambda acc, row: F.replace(
+                acc, row, F.concat(row, F.lit("<tr>"), F.repeat(F.lit("<td>---</td>"), F.regexp_count(row, F.lit(r"(?i)<th[ \t\n\r\f>]"))), F.lit("</tr>"))
+            )
+        )).otherwise(t)
+
+    return once(text, ruled)
+
+
 def extract_markdown(html: Column) -> Column:
-    """Main text as Markdown: page furniture dropped, headings, lists and tables kept,
+    """Main text as Markdown: page furniture dropped, headings, lists, tables and the lines of code kept,
     links flattened to their text, images gone."""
     text = F.regexp_replace(or_empty(html), RAW_TEXT, " ")
     text = F.regexp_replace(text, CHROME, " ")
+    text = _with_header_rules(_with_code_lines(text))
     text = F.regexp_replace(text, rf"{_BLANK}+", " ")
     text = F.regexp_replace(text, r"(?i)<h([1-6])(?: [^>]*)?>", "<h$1>")
     for level in range(1, 7):
@@ -131,6 +157,7 @@ def extract_markdown(html: Column) -> Column:
     text = F.regexp_replace(text, PARAGRAPH, "\n\n")
     text = F.regexp_replace(text, r"(?i)<(?:br|tr)(?: [^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"(?i)<li(?: [^>]*)?>", "\n- ")
+    text = F.regexp_replace(text, r"(?i)</t[dh] *> *</tr *>", " |")
     text = F.regexp_replace(text, r"(?i)<t[dh](?: [^>]*)?>", " | ")
     text = decode_entities(F.regexp_replace(text, r"<[^>]*>", ""))
     text = F.regexp_replace(text, r" +", " ")

@@ -27,7 +27,13 @@ def markdown(spark, text):
         ("<H2 class='x'>A</H2>t<h6>B</h6>", "## A\n\nt\n\n###### B"),
         ("<ul><li>a</li><li>b <b>c</b></li></ul>", "- a\n- b c"),
         ("<p>a<br>b<br/>c</p>", "a\nb\nc"),
-        ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "| a | b\n| 1 | 2"),
+        ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
+        (
+            "<p>x</p><table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><th>r</th><td>2</td></tr></tbody></table>y",
+            "x\n\n| a | b |\n| --- | --- |\n| r | 2 |\n\ny",
+        ),
+        ("<p>a\nb</p><pre class='c'>one\n  two\r\nthree</pre>", "a b\n\none\ntwo\nthree"),
+        ("<div class='ad'>x</div><div class='top ads'>y</div>z", "z"),
         ('<p>see <a href="/x">this</a> <img src="i.png" alt="no"></p>', "see this"),
         ("<script>var t='</p>';</script><p>a</p>", "a"),
         ("<p>a</p><script>never closed <p>b</p>", "a"),
