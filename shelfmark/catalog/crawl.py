@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import inputs as I
-from shelfmark.catalog.registry import query
+from shelfmark.catalog.registry import ORACLES, query
 from shelfmark.catalog.urls import HOST_STATE, SITE_URLS
 from shelfmark.operators import discovery as D
 from shelfmark.operators import fetchlog as L
 from shelfmark.operators import robots as RB
 from shelfmark.operators.spread import positions
-from shelfmark.session import durable
+from shelfmark.session import durable, run_folder
+from shelfmark.sources import readers as S
+
+#: Page ids of one checkpoint file, which is one JSON value.
+PER_CHECKPOINT = 10_000
 
 LISTED = rf"""{SITE_URLS}, mapped AS (
   SELECT site, url, page_id, page_id // 1000 AS block, page_id // 1000000 AS idx FROM listed WHERE site NOT LIKE '%.net'
@@ -48,6 +52,44 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return durable(children.select(F.col("sitemap_url").alias("parent"), F.col("loc").alias("child"), "pos"))
 
 
+def stored_files(rows: DataFrame, key: str, text: str) -> str:
+    """The folder in which each text is a file of its own, below ``key=value``."""
+    folder = run_folder(rows.sparkSession, key)
+    rows.select(key, F.col(text).alias("value")).write.partitionBy(key).text(folder)
+    return folder
+
+
+@query(
+    f"""WITH {ENTRIES}
+SELECT sitemap_url, kind, row_number() OVER (PARTITION BY sitemap_url ORDER BY n) - 1 AS pos, loc FROM entries"""
+)
+def read_sitemaps(spark, sf):
+    """Entries of sitemaps that were stored as files."""
+    return D.parse_sitemaps(S.read_sitemaps(spark, stored_files(I.sitemap_docs(spark, sf), "sitemap_url", "xml")))
+
+
+@query(ORACLES["robots_rules"])
+def read_robots(spark, sf):
+    """Rules of robots files that were stored where the fetch succeeded."""
+    fetched = I.robots(spark, sf).filter("status_code = 200")
+    return RB.robots_rules(S.read_robots(spark, stored_files(fetched, "host", "body")))
+
+
+@query(
+    """SELECT DISTINCT url, CASE WHEN contains(url, '?') THEN 'success' ELSE 'failed' END AS status FROM pages
+WHERE contains(url, '?') OR contains(url, '#')"""
+)
+def read_progress(spark, sf):
+    """Checkpoints of the old format, one for every ``PER_CHECKPOINT`` page ids."""
+    first = I.pages(spark, sf).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    rows = I.progress(spark, sf).distinct().join(first, "url")
+    blocks = rows.groupBy(F.floor(F.col("page_id") / PER_CHECKPOINT).alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct("url", "status"))).alias("completed")
+    )
+    files = blocks.select("block", F.to_json(F.struct("completed")).alias("body"))
+    return S.read_progress(spark, stored_files(files, "block", "body"))
+
+
 def root_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """Every site at its usual place, as if no robots file declared anything."""
     sites = I.sites(spark, sf)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.model import KB_TABLES, PAGES, PROGRESS_FILE
@@ -30,25 +30,39 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True)
 
 
-def _original_address(suffix: str = ""):
-    """The address a stored file was fetched from: its percent-encoded file name."""
-    name = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]*)\z", 1), r"\.gz\z", "")
+def _decoded(name: Column) -> Column:
+    """Percent-decoded; a plus stays a plus."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _original_address(column: str, suffix: str = "") -> Column:
+    """The address a stored file was fetched from: its percent-encoded file name, or the value of its folder
+    ``column=value``, as Spark's partitioned writers name it."""
+    path = F.input_file_name()
+    folder = F.regexp_extract(path, rf"/{column}=([^/]*)/[^/]*\z", 1)
+    name = F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"\.gz\z", "")
     # The path is encoded once more by the file listing.
-    return F.regexp_replace(F.url_decode(F.url_decode(name)), suffix + r"\z", "")
+    return F.when(folder != "", _decoded(_decoded(folder))).otherwise(
+        F.regexp_replace(_decoded(_decoded(name)), suffix + r"\z", "")
+    )
 
 
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
     """Stored sitemap files, plain or gzip: ``sitemap_url, xml``.
 
-    A file is named by the percent-encoded address it was fetched from.
+    A file is named by the percent-encoded address it was fetched from, or lies in a folder
+    ``sitemap_url=address``.
     """
-    return _whole_files(spark, path).select(_original_address().alias("sitemap_url"), F.col("value").alias("xml"))
+    return _whole_files(spark, path).select(
+        _original_address("sitemap_url").alias("sitemap_url"), F.col("value").alias("xml")
+    )
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
-    """Stored robots files, named by the percent-encoded host and ``.txt``: ``host, status_code, body``."""
+    """Stored robots files, named by the percent-encoded host and ``.txt`` or in folders ``host=name``:
+    ``host, status_code, body``."""
     return _whole_files(spark, path).select(
-        _original_address(r"\.txt").alias("host"), F.lit(200).alias("status_code"), F.col("value").alias("body")
+        _original_address("host", r"\.txt").alias("host"), F.lit(200).alias("status_code"), F.col("value").alias("body")
     )
 
 

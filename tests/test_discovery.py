@@ -170,6 +170,17 @@ def test_stored_files(spark, tmp_path):
     ]
 
 
+def test_files_in_folders_named_by_address(spark, tmp_path):
+    rows = [("https://a.org/x+y z%20.xml?q=1&r=[2]", "<urlset/>"), ("https://a.org/ü.xml", "<other/>")]
+    folder = str(tmp_path / "maps")
+    spark.createDataFrame(rows, "sitemap_url string, value string").write.partitionBy("sitemap_url").text(folder)
+    assert {(r.sitemap_url, r.xml.strip()) for r in read_sitemaps(spark, folder).collect()} == set(rows)
+    hosts = str(tmp_path / "robots")
+    one = spark.createDataFrame([("a.org:8080", "Disallow: /x")], "host string, value string")
+    one.write.partitionBy("host").option("compression", "gzip").text(hosts)
+    assert [tuple(r) for r in read_robots(spark, hosts).collect()] == [("a.org:8080", 200, "Disallow: /x\n")]
+
+
 def test_progress_file(spark, tmp_path):
     good, broken = tmp_path / "progress.json", tmp_path / "broken.json"
     good.write_text('{"completed": {"https://a/1": "success", "https://a/2": "failed"}}')
