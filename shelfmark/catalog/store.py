@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import inputs as I
-from shelfmark.catalog.registry import query
+from shelfmark.catalog.registry import ORACLES, query
 from shelfmark.operators import report as R
 from shelfmark.operators import store as K
+from shelfmark.plans import notebooks as N
 from shelfmark.session import run_folder
 from shelfmark.sources.readers import read_kb, read_pages, write_kb
 
@@ -209,3 +210,36 @@ def kb_scan(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_folder(spark, "kb")
     write_kb(I.sources(spark, sf), folder, "sources")
     return day(read_kb(spark, folder, "sources"))
+
+
+def stored_sources(spark: SparkSession, sf: str) -> str:
+    folder = run_folder(spark, "kb")
+    write_kb(I.sources(spark, sf), folder, "sources")
+    return folder
+
+
+@query(ORACLES["upsert_keep_on_fail"])
+def upsert_stored(spark, sf):
+    """Changes upserted into the stored table, whose other buckets stay."""
+    folder = stored_sources(spark, sf)
+    N.upsert_stored(I.source_changes(spark, sf), folder)
+    return day(read_kb(spark, folder, "sources"))
+
+
+@query(
+    f"""WITH {SOURCES}
+SELECT notebook_id, id, url, title, status, last_updated FROM sources WHERE notebook_id = 2 ORDER BY last_updated DESC, id DESC"""
+)
+def list_stored_sources(spark, sf):
+    """The English notebook of the stored table; other buckets are not read."""
+    english = I.table(spark, sf, "documents").filter("lang = 'en'").select(I.language_notebook(F.col("lang")).alias("notebook_id"))
+    return day(K.list_sources(read_kb(spark, stored_sources(spark, sf), "sources", english), 2))
+
+
+@query(ORACLES["delete_sources"])
+def delete_stored_sources(spark, sf):
+    folder = stored_sources(spark, sf)
+    poor = I.table(spark, sf, "labels").filter("quality = 0")
+    keys = poor.select((F.col("doc_id") + 1).alias("id"), F.lit(2).cast("bigint").alias("notebook_id"))
+    N.delete_stored_sources(keys, folder)
+    return day(read_kb(spark, folder, "sources"))

@@ -30,6 +30,8 @@ PROGRESS_FILE = _struct(("completed", T.MapType(TEXT, TEXT)))
 SITEMAP_XML = "struct<sitemap:array<struct<loc:string>>,url:array<struct<loc:string>>>"
 
 KB_TABLES = {"notebooks": NOTEBOOKS, "sources": SOURCES, "chat_logs": CHAT_LOGS}
+#: What the tables are bucketed by.
+KB_KEYS = {"notebooks": "id", "sources": "notebook_id", "chat_logs": "notebook_id"}
 
 SUCCESS, FAILED = "success", "failed"
 

@@ -47,13 +47,15 @@ def decisive_changes(batch: DataFrame, order: list[str] | None = None) -> DataFr
 
 
 def upsert_sources(
-    current: DataFrame, batch: DataFrame, keep_on_fail: bool = True, order: list[str] | None = None
+    current: DataFrame, batch: DataFrame, keep_on_fail: bool = True, order: list[str] | None = None,
+    numbered: DataFrame | None = None,
 ) -> DataFrame:
     """The next version of ``current``: known sources change and keep their id, others are added.
 
     The result is that of the changes applied one by one in the order of ``order`` (none by default) and time,
     however they are cut into batches. With ``keep_on_fail`` a failed refetch does not blank text that was
-    fetched before. New sources are numbered by the first of ``order`` and the key.
+    fetched before. New sources are numbered by the first of ``order`` and the key, after the ids of
+    ``numbered`` if ``current`` is only a part of the table.
     """
     order = order or []
     change = F.struct(*order, "last_updated", "status", "title", "content")
@@ -79,7 +81,8 @@ def upsert_sources(
     unknown = changes.join(current.select(*SOURCE_KEY), SOURCE_KEY, "left_anti")
     # Ids are dealt over the narrow keys; texts join them afterwards.
     numbering = [*(["_first"] if order else []), *SOURCE_KEY]
-    ids = _next_ids(unknown.select(*numbering), numbering, current).select("id", *SOURCE_KEY)
+    taken = current if numbered is None else numbered
+    ids = _next_ids(unknown.select(*numbering), numbering, taken).select("id", *SOURCE_KEY)
     added = ids.join(changes, SOURCE_KEY).select(
         "id", *SOURCE_KEY, "_left.title", "_left.content", "_left.status", "_newest.last_updated"
     )

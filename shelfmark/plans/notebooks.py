@@ -15,8 +15,9 @@ from shelfmark.operators.extraction import drop_repeated_segments, extract_pages
 from shelfmark.operators.retrieval import (
     TOP_K, Encoder, assemble_context, assemble_prompt, embed, guard_empty, retrieve,
 )
-from shelfmark.operators.store import notebook_corpus, upsert_sources
+from shelfmark.operators.store import delete_notebooks, delete_sources, notebook_corpus, upsert_sources
 from shelfmark.session import stored
+from shelfmark.sources.readers import read_kb, write_kb
 
 
 def import_pages(
@@ -50,6 +51,33 @@ def import_pages(
     return upsert_sources(current, batch, keep_on_fail)
 
 
+def upsert_stored(batch: DataFrame, kb: str, keep_on_fail: bool = True) -> int:
+    """A batch upserted into the stored sources. Only the buckets of its notebooks are read and written; of the
+    others the ids are read."""
+    spark = batch.sparkSession
+    batch = stored(batch, "changes")
+    touched = batch.select("notebook_id")
+    current = read_kb(spark, kb, "sources", touched)
+    every = read_kb(spark, kb, "sources").select("id")
+    return write_kb(upsert_sources(current, batch, keep_on_fail, numbered=every), kb, "sources", touched)
+
+
+def delete_stored_sources(keys: DataFrame, kb: str) -> int:
+    """The stored sources without the ``id, notebook_id`` pairs; buckets of other notebooks stay as they are."""
+    current = read_kb(keys.sparkSession, kb, "sources", keys)
+    return write_kb(delete_sources(current, keys), kb, "sources", keys)
+
+
+def delete_stored_notebooks(ids: DataFrame, kb: str) -> None:
+    """Notebooks (``id``) go from the stored tables with all that belongs to them, the notebooks last, so that a
+    run that was stopped can be started again."""
+    touched = ids.select(F.col("id").alias("notebook_id"))
+    names = ("sources", "chat_logs", "notebooks")
+    left = delete_notebooks({name: read_kb(ids.sparkSession, kb, name, touched) for name in names}, ids)
+    for name in names:
+        write_kb(left[name], kb, name, touched)
+
+
 def chunk_table(
     sources: DataFrame,
     size: int = WINDOW,

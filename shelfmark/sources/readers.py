@@ -6,8 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.model import KB_TABLES, PAGES, PROGRESS_FILE
-from shelfmark.sources.versions import read_latest, write_version
+from shelfmark.model import KB_KEYS, KB_TABLES, PAGES, PROGRESS_FILE
+from shelfmark.sources.versions import buckets_of, read_buckets, write_buckets
 
 
 INPUT_PARTITIONS = "spark.shelfmark.inputPartitions"
@@ -78,13 +78,24 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return stored.select(F.explode("completed").alias("url", "status"))
 
 
-def read_kb(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """The newest version of one of the tables ``notebooks``, ``sources`` and ``chat_logs``."""
-    return read_latest(spark, f"{path.rstrip('/')}/{table}", KB_TABLES[table])
+def _buckets(notebooks: DataFrame | None) -> set[int] | None:
+    return None if notebooks is None else buckets_of(notebooks, "notebook_id")
 
 
-def write_kb(df: DataFrame, path: str, table: str) -> int:
-    """The next version of a table; rows keep the order and types of its schema."""
-    schema = KB_TABLES[table]
-    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    return write_version(rows, f"{path.rstrip('/')}/{table}")
+def read_kb(spark: SparkSession, path: str, table: str, notebooks: DataFrame | None = None) -> DataFrame:
+    """The newest version of one of the tables ``notebooks``, ``sources`` and ``chat_logs``.
+
+    With ``notebooks`` (``notebook_id``) only their buckets are read: all their rows, and those of other
+    notebooks in the same buckets.
+    """
+    return read_buckets(spark, f"{path.rstrip('/')}/{table}", KB_TABLES[table], _buckets(notebooks))
+
+
+def write_kb(df: DataFrame, path: str, table: str, notebooks: DataFrame | None = None) -> int:
+    """The next version of a table; rows keep the order and types of its schema.
+
+    With ``notebooks`` only their buckets are replaced; ``df`` must hold all rows of these buckets, as
+    ``read_kb`` gives them.
+    """
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in KB_TABLES[table].fields])
+    return write_buckets(rows, f"{path.rstrip('/')}/{table}", KB_KEYS[table], _buckets(notebooks))

@@ -1,24 +1,38 @@
-"""Tables kept as numbered versions, so that a table can be read while its next state is written."""
+"""Tables kept as numbered versions, so that a table can be read while its next state is written.
+
+A table in buckets has folders ``rows/version=N/bucket=B`` and an index of the version that holds each bucket.
+A write replaces the buckets it names and leaves the others where they are; the index is written last.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Buckets of a table. Stored tables depend on it.
+BUCKETS = 64
+INDEX = "bucket int, version int"
+
 
 def _folder(path: str, version: int) -> str:
     return f"{path.rstrip('/')}/version={version}"
 
 
+def _numbers(spark: SparkSession, pattern: str) -> list[int]:
+    """The numbers that stand for the star of a path; only names are looked at."""
+    wanted = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = wanted.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(wanted) or []
+    before, after = pattern.rsplit("*", 1)
+    number = re.compile(rf"/{re.escape(before.rsplit('/', 1)[1])}(\d+){re.escape(after)}$")
+    return [int(m.group(1)) for f in found if (m := number.search(str(f.getPath())))]
+
+
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    """The newest version whose write was completed; only folder names are looked at."""
-    jvm = spark.sparkContext._jvm
-    marks = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
-    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
-    numbers = [int(re.search(r"/version=(\d+)/_SUCCESS$", str(f.getPath())).group(1)) for f in found]
-    return max(numbers, default=None)
+    """The newest version whose write was completed."""
+    return max(_numbers(spark, f"{path.rstrip('/')}/version=*/_SUCCESS"), default=None)
 
 
 def write_version(df: DataFrame, path: str) -> int:
@@ -35,3 +49,41 @@ def read_latest(spark: SparkSession, path: str, schema: StructType | str) -> Dat
     if last is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(_folder(path, last))
+
+
+def bucket_of(key: Column) -> Column:
+    """The bucket of a key; NULL has one, too."""
+    return F.pmod(F.xxhash64(key.cast("bigint")), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(keys: DataFrame, key: str) -> set[int]:
+    """The buckets of all keys, at most ``BUCKETS`` numbers."""
+    return {r[0] for r in keys.select(bucket_of(F.col(key))).distinct().collect()}
+
+
+def write_buckets(df: DataFrame, path: str, key: str, only: set[int] | None = None) -> int:
+    """Write the next version of a table. With ``only`` these buckets are replaced, by the rows of ``df`` that
+    belong there, and the others stay as they are. A large bucket is dealt out to several files."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    last = latest_version(spark, f"{path}/index")
+    version = 0 if last is None else last + 1
+    held = read_latest(spark, f"{path}/index", INDEX).collect() if only is not None else []
+    rows = df.withColumn("bucket", bucket_of(F.col(key)))
+    if only is not None:
+        rows = rows.filter(F.col("bucket").isin(sorted(only)))
+    folder = _folder(f"{path}/rows", version)
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    index = [(r.bucket, r.version) for r in held if r.bucket not in only]
+    index += [(bucket, version) for bucket in _numbers(spark, f"{folder}/bucket=*")]
+    return write_version(spark.createDataFrame(index, INDEX).coalesce(1), f"{path}/index")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType, only: set[int] | None = None) -> DataFrame:
+    """The newest version of a table, or of the buckets ``only``: files of other buckets are not looked at."""
+    path = path.rstrip("/")
+    held = read_latest(spark, f"{path}/index", INDEX).collect()
+    wanted = sorted((r.version, r.bucket) for r in held if only is None or r.bucket in only)
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    folders = [f"{_folder(f'{path}/rows', version)}/bucket={bucket}" for version, bucket in wanted]
+    return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*folders).select(*schema.names)

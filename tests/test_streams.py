@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import functions as F
 
-from shelfmark.model import PAGE_RESULTS, CrawlConfig
+from shelfmark.model import KB_TABLES, PAGE_RESULTS, CrawlConfig
 from shelfmark.operators.store import append_notebooks, upsert_sources
 from shelfmark.operators.output import write_markdown
 from shelfmark.plans.crawl import run_crawl, saved_progress, write_run
+from shelfmark.plans.notebooks import delete_stored_notebooks, delete_stored_sources, upsert_stored
 from shelfmark.sources.readers import read_kb, write_kb
 from shelfmark.streaming import jobs as S
 
@@ -126,3 +130,60 @@ def test_tables_round_trip(spark, tmp_path):
     assert {r.name for r in read_kb(spark, folder, "notebooks").collect()} == {"n", "m"}
     assert write_kb(rows, folder, "notebooks") == 2
     assert [r.name for r in read_kb(spark, folder, "notebooks").collect()] == ["n"]
+
+
+def test_upsert_rewrites_only_the_buckets_of_its_notebooks(spark, tmp_path):
+    folder, schema = str(tmp_path), KB_TABLES["sources"]
+    when = datetime.datetime(2024, 1, 1)
+    rows = [(i, i % 20, f"u{i}", "t", "text", "success", when) for i in range(1, 101)]
+    names = ["id", "notebook_id", "url", "title", "content", "status", "last_updated"]
+    table = spark.createDataFrame(rows, "id bigint, notebook_id bigint, url string, title string, content string, "
+                                  "status string, last_updated timestamp")
+    write_kb(table, folder, "sources")
+    assert read_kb(spark, folder, "sources").schema.simpleString() == schema.simpleString()
+    before = set(read_kb(spark, folder, "sources").inputFiles())
+    later = when + datetime.timedelta(days=1)
+    batch = spark.createDataFrame(
+        [(3, "u3", "v2", "new", "success", later), (3, "fresh", "v1", "new", "success", later)],
+        "notebook_id bigint, url string, title string, content string, status string, last_updated timestamp",
+    )
+    upsert_stored(batch, folder)
+    after = read_kb(spark, folder, "sources")
+    touched = bucket_numbers(read_kb(spark, folder, "sources", batch).inputFiles())
+    assert len(touched) == 1
+    assert {f for f in before if bucket_numbers([f]) != touched} == {
+        f for f in after.inputFiles() if bucket_numbers([f]) != touched
+    }
+    changed = {r.url: tuple(r[c] for c in names[:5]) for r in after.filter("content = 'new'").collect()}
+    assert changed == {"u3": (3, 3, "u3", "v2", "new"), "fresh": (101, 3, "fresh", "v1", "new")}
+    assert after.count() == 101
+    # Deleting all rows of a notebook leaves nothing of it behind, and a write that was stopped counts for nothing.
+    gone = after.filter("notebook_id = 3").select("id", "notebook_id")
+    delete_stored_sources(gone, folder)
+    assert sorted(r.id for r in read_kb(spark, folder, "sources").collect()) == [i for i in range(1, 101) if i % 20 != 3]
+    table.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{folder}/sources/rows/version=3")
+    assert read_kb(spark, folder, "sources").count() == 95
+    assert write_kb(table, folder, "sources") == 3
+    assert read_kb(spark, folder, "sources").count() == 100
+    nothing = batch.limit(0)
+    upsert_stored(nothing, folder)
+    assert read_kb(spark, folder, "sources").count() == 100
+
+
+def test_delete_stored_notebooks(spark, tmp_path):
+    folder = str(tmp_path)
+    stamp = F.lit(NOW).cast("timestamp")
+    notebooks = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string").withColumn("created_at", stamp)
+    chats = spark.createDataFrame(
+        [(1, 1, "q", "a"), (2, None, "q", "a"), (3, 2, "q", "a")], "id bigint, notebook_id bigint, query string, answer string"
+    ).withColumn("created_at", stamp)
+    write_kb(notebooks, folder, "notebooks")
+    write_kb(chats, folder, "chat_logs")
+    delete_stored_notebooks(spark.createDataFrame([(1,), (7,)], "id bigint"), folder)
+    assert [r.id for r in read_kb(spark, folder, "notebooks").collect()] == [2]
+    assert {r.id for r in read_kb(spark, folder, "chat_logs").collect()} == {2, 3}
+    assert read_kb(spark, folder, "sources").count() == 0
+
+
+def bucket_numbers(files):
+    return {re.search(r"bucket=(\d+)", f).group(1) for f in files}
