@@ -53,10 +53,24 @@ _ATTRS = rf"(?:{_BLANK}[^>]*)?"
 RAW_TEXT = (
     r"(?is)<!--.*?(?:-->|\z)|<(" + "|".join(RAW_TEXT_TAGS) + rf"){_ATTRS}>.*?(?:</\1{_BLANK}*>|\z)"
 )
+#: Blocks inside a block of page furniture that are followed to their own end.
+NESTED = 8
+
+
+def _balanced(tag: str, depth: int) -> str:
+    """Text up to the closing tag that belongs to an open ``tag``, over ``depth`` levels of its own kind.
+    Nothing is tried twice, so that an element that is never closed costs one pass."""
+    plain = rf"[^<]*+(?:<(?!/?{tag}[ \t\n\r\f>])[^<]*+)*+"
+    inside = plain
+    for _ in range(depth):
+        inside = rf"{plain}(?:<{tag}(?:{_BLANK}[^>]*+)?>{inside}</{tag}{_BLANK}*+>{plain})*+"
+    return inside
+
+
 CHROME = (
     r"(?is)<(" + "|".join(CHROME_TAGS) + rf"){_ATTRS}>.*?</\1{_BLANK}*>"
     + rf"""|<div{_BLANK}[^>]*class=["'](?:[^"'>]*{_BLANK})?(?:""" + "|".join(CHROME_CLASSES)
-    + rf""")(?:{_BLANK}[^"'>]*)?["'][^>]*>.*?</div{_BLANK}*>"""
+    + rf""")(?:{_BLANK}[^"'>]*)?["'][^>]*>(?:{_balanced("div", NESTED)}|.*?)</div{_BLANK}*>"""
 )
 PARAGRAPH = r"(?i)</h[1-6] *>|</?(?:" + "|".join(BLOCK_TAGS) + r")(?: [^>]*)?/?>"
 

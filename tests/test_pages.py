@@ -45,6 +45,11 @@ def markdown(spark, text):
         ("<nav>never closed<p>a</p>", "never closed\n\na"),
         ("<navigation>kept</navigation>", "kept"),
         ('<div class="ad">x</div><div class="top ads">y</div><div class="adult">z</div>', "z"),
+        ('<div class="ad">x<div>in<div>deeper</div></div>leak</div><div>kept</div>', "kept"),
+        ("<div class='ad'><div class='b'><p>x</p></div><DIV >y</DIV >z</div ><p>kept</p>", "kept"),
+        ("<div class='ad'>" + "<div>" * 20 + "x" + "</div>" * 21 + "<p>kept</p>", "kept"),
+        ("<div class='ad'>x<div>never closed</div><p>kept</p>", "kept"),
+        ("<div class='ad'>x<divider>y</divider></div>kept", "kept"),
         ("<p>one<p>two <b>three", "one\n\ntwo three"),
         ("a&amp;lt;b &lt;c&gt; &quot;d&quot;&nbsp;e &copy; &#39;&#8217;&#x1F600;&#0;&#xD800;", "a&lt;b <c> \"d\" e © '’😀&#0;&#xD800;"),
         ("", ""),
@@ -67,6 +72,11 @@ def test_long_pages(spark):
     assert len(markdown(spark, page)) == 100_000 * len("word & word\n\n") - 2
 
 
+def test_long_furniture(spark):
+    inner = "<div><span>more</span> <a href='x'>text</a></div>\n" * 50_000
+    assert markdown(spark, f"<p>a</p><div class='ad'>{inner}</div><p>b</p>") == "a\n\nb"
+
+
 @pytest.mark.parametrize(
     "html, title, language",
     [
