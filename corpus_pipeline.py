@@ -30,8 +30,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of sources, languages and topics."""
-    return mixing.sample_mix(docs)
+    """Documents sampled to the target weights of sources, languages and topics, repeated where there are too few."""
+    return mixing.sample_mix(docs, repeats=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
 Tokens are summed by cell of source, language and topic. The cells' weights are raked: scaled to the target
-shares of one dimension after the other until all marginals fit. A document's sampling probability follows
-from the weight of its cell, and a fixed hash of its id decides.
+shares of one dimension after the other until all marginals fit. How often a document is wanted follows from the
+weight of its cell: whole-number repeats, and a fixed hash of its id decides on the fraction. So the tokens of
+all copies have the target shares, also where a cell has too few tokens of its own.
 """
 
 from __future__ import annotations
@@ -89,8 +90,11 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], most_rounds: int = MO
 
 
 def with_probability(cells: DataFrame, budget_share: float) -> DataFrame:
-    """``cells`` with ``probability``: weight over tokens, scaled so that the expected tokens are the share
-    ``budget_share`` of all; cells that would pass 1 are taken whole and the rest scaled up again."""
+    """``cells`` with ``rate``, the expected copies of a document, and ``probability``, the chance of one or more.
+
+    The rate is weight over tokens with one scale for all cells, so the copies keep the raked shares. The scale
+    is such that the expected tokens of different documents are the share ``budget_share`` of all: cells of a
+    rate above 1 are taken whole and the scale goes up for the rest. Repeats come on top of this budget."""
     ratio = F.try_divide("weight", "tokens")
     sums = cells.agg(F.sum("tokens"), F.sum("weight")).first()
     scale, budget = (budget_share, budget_share * float(sums[0])) if sums[1] else (0.0, 0.0)
@@ -103,7 +107,13 @@ def with_probability(cells: DataFrame, budget_share: float) -> DataFrame:
         if further <= scale * (1 + 1e-12):
             break
         scale = further
-    return cells.withColumn("probability", F.least(F.coalesce(ratio * scale, F.lit(1.0 if scale else 0.0)), F.lit(1.0)))
+    rate = F.coalesce(ratio * scale, F.lit(1.0 if scale else 0.0))
+    return cells.withColumns({"rate": rate, "probability": F.least(rate, F.lit(1.0))})
+
+
+def copies_of(luck: Column, rate: Column) -> Column:
+    """Copies of a document: the whole part of the rate, and one more if its number is below the fraction."""
+    return (F.floor(rate) + (luck < rate - F.floor(rate)).cast("int")).cast("bigint")
 
 
 def calibrated(rows: DataFrame, targets: dict[str, DataFrame] | None, temperature: float, budget_share: float) -> DataFrame:
@@ -116,31 +126,35 @@ def mixed(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE,
     budget_share: float = BUDGET_SHARE, source: str = "source", lang: str = "lang", topic: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, source, lang, topic, tokens, weight, probability, sampled`` for every row of ``docs``.
+    """``doc_id, source, lang, topic, tokens, weight, probability, sampled, copies`` for every row of ``docs``.
 
     ``targets`` has for a dimension the shares of its values (columns of its name and ``target``); without,
     the tokens' shares to the power of ``temperature``. ``weight`` is the wanted share of a token over its
     share now, ``probability`` the chance of the document, ``sampled`` the decision by a hash of id and text:
-    the same on every run. NULL in a dimension is the value with the empty name; a NULL text has no tokens;
+    the same on every run. ``copies`` tells how often a sampled document is taken, 0 for the others; the tokens
+    of the copies have the target shares. NULL in a dimension is the value with the empty name; a NULL text has no tokens;
     documents without tokens take the chance 1 unless their cell has no weight target. Repeated rows are
     decided alike. An empty table gives no rows; other columns are not read.
     """
     rows = stored(measured(docs, source, lang, topic), "mixing-rows")
     cells = calibrated(rows, targets, temperature, budget_share)
-    chances = cells.select(*DIMENSIONS, F.try_divide("weight", "tokens").alias("weight"), "probability")
-    chance = F.coalesce("probability", F.lit(0.0))
+    chances = cells.select(*DIMENSIONS, F.try_divide("weight", "tokens").alias("weight"), "rate", "probability")
+    chance, rate = F.coalesce("probability", F.lit(0.0)), F.coalesce("rate", F.lit(0.0))
     return rows.join(chances, list(DIMENSIONS), "left").select(
         "doc_id", *DIMENSIONS, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"),
         chance.alias("probability"), (F.col("luck") < chance).alias("sampled"),
+        copies_of(F.col("luck"), rate).alias("copies"),
     )
 
 
-def sample_mix(docs: DataFrame, temperature: float = TEMPERATURE, budget_share: float = BUDGET_SHARE) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns."""
+def sample_mix(
+    docs: DataFrame, temperature: float = TEMPERATURE, budget_share: float = BUDGET_SHARE, repeats: bool = False
+) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns; with ``repeats`` each as often as it has copies."""
     cells = calibrated(stored(measured(docs, "source", "lang", None), "mixing-rows"), None, temperature, budget_share)
-    s, la, t, n, p = fresh(docs, "of_source", "of_lang", "of_topic", "tokens", "probability")
-    chances = cells.select(
-        F.col("source").alias(s), F.col("lang").alias(la), F.col("topic").alias(t), F.col("probability").alias(p)
+    s, la, t, n, r, c, k = fresh(docs, "of_source", "of_lang", "of_topic", "tokens", "rate", "copies", "copy")
+    rates = cells.select(
+        F.col("source").alias(s), F.col("lang").alias(la), F.col("topic").alias(t), F.col("rate").alias(r)
     )
     own = docs.withColumn(n, F.regexp_count(text_of(), F.lit(WORD)).cast("bigint"))
     same = (
@@ -148,6 +162,7 @@ def sample_mix(docs: DataFrame, temperature: float = TEMPERATURE, budget_share:
         & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col(la))
         & (topic_of(text_of(), F.col(n)) == F.col(t))
     )
-    return own.join(chances, same).filter(luck(F.col("doc_id"), text_of()) < F.col(p)).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    found = own.join(rates, same).withColumn(c, copies_of(luck(F.col("doc_id"), text_of()), F.col(r))).filter(F.col(c) > 0)
+    if repeats:
+        found = found.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(c))))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])

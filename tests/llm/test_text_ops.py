@@ -266,6 +266,27 @@ def test_mixing_matches_brute_force(spark):
     assert again == {r.doc_id: r.sampled for r in found}
 
 
+def test_mixed_copies_have_the_target_shares(spark):
+    import corpus_pipeline
+
+    rows = [
+        (i, "w " * (20 if i % 10 == 0 else 120 + i % 7), "en" if i % 7 else "de", "a" if i % 3 else f"s{i % 4}", 0)
+        for i in range(4000)
+    ]
+    docs = docs_of(spark, rows, clashes=False)
+    copies = Counter({r.doc_id: r.copies for r in mixing.mixed(docs).collect()})
+    assert Counter(r.doc_id for r in corpus_pipeline.target_mix(spark, docs, "").collect()) == +copies
+    assert max(copies.values()) > 1
+    for value in (lambda r: r[3], lambda r: r[2], lambda r: "note" if r[1].count("w") < 100 else "article"):
+        now, taken = Counter(), Counter()
+        for r in rows:
+            now[value(r)] += r[1].count("w")
+            taken[value(r)] += r[1].count("w") * copies[r[0]]
+        goals = {v: n**mixing.TEMPERATURE for v, n in now.items()}
+        for v, goal in goals.items():
+            assert taken[v] / sum(taken.values()) == pytest.approx(goal / sum(goals.values()), abs=0.01)
+
+
 def test_mixing_to_given_targets(spark):
     target = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("absent", 5.0)], "source string, target double")
     found = mixing.mixed(docs_of(spark, mixing_rows()), {"source": target}, temperature=1.0).collect()
