@@ -1,12 +1,13 @@
 """Removal of repeated runs of lines by winnowing.
 
 Every line with a word has a 64-bit hash. In each window of consecutive lines the smallest hash (the
-rightmost of equal ones) is selected; lines of at least ``LONG_WORDS`` words are windows of their own. The
+rightmost of equal ones) is selected. Fewer lines are a window of their own if they have ``LONG_WORDS`` words
+together, or if they are a whole document of at least as many words as a window has lines. The
 fingerprint is that place, keyed by all lines of its window, so that a line which is common on its own does
 not hide a longer repeat. Each occurrence of a fingerprint is joined with its first occurrence in document
 order, pairs on the same diagonal become one alignment, and along it the match is extended both ways, line by
-line. The later run is deleted if it holds ``WINDOW`` lines or a long line. So every run of ``WINDOW`` lines
-that came before anywhere goes, and the first occurrence of a line is never deleted.
+line. The later run is deleted if it holds one of these windows. So every run of ``WINDOW`` lines or
+``LONG_WORDS`` words that came before anywhere goes, as do later copies of short documents, and the first occurrence of a line is never deleted.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def hashed_lines(docs: DataFrame, long_words: int) -> DataFrame:
-    """``doc_id, tkey, at, hashes, long``: places, hashes and length flags of the lines with a word."""
+def hashed_lines(docs: DataFrame, window: int, long_words: int) -> DataFrame:
+    """``doc_id, tkey, at, hashes, reach, brief``: places and hashes of the lines with a word, for each line the
+    number of lines under ``window`` that have ``long_words`` words from there on (else 0), and whether the whole
+    text is a window of fewer lines."""
     lines = F.filter(
         F.transform(
             lines_of(F.col("text")),
@@ -36,10 +39,20 @@ def hashed_lines(docs: DataFrame, long_words: int) -> DataFrame:
     )
     texts = docs.select("doc_id", text_of().alias("text")).withColumn("tkey", F.xxhash64("text"))
     found = texts.select("doc_id", "tkey", lines.alias("lines"))
+
+    def reach(i: Column) -> Column:
+        words, found = F.lit(0), F.lit(0)
+        for k in range(1, window):
+            words = words + F.get(F.col("lines"), i + (k - 1))["n"]
+            found = F.when((found == 0) & (words >= long_words), k).otherwise(found)
+        return found
+
+    words = F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, x: n + x["n"])
     return stored(
         found.select(
             "doc_id", "tkey", F.col("lines.at").alias("at"), F.col("lines.h").alias("hashes"),
-            F.transform("lines", lambda x: x["n"] >= long_words).alias("long"),
+            F.transform("lines", lambda x, i: reach(i)).alias("reach"),
+            ((F.size("lines") < window) & (words >= window)).alias("brief"),
         ).dropDuplicates(["doc_id", "tkey"]),
         "line-hashes",
     )
@@ -59,8 +72,15 @@ def fingerprints(lines: DataFrame, window: int) -> DataFrame:
             F.array_min(F.slice("places", s, F.lit(window)))["back"].alias("back"),
         ),
     )
-    long = F.filter(F.col("places"), lambda x, i: F.col("long")[i])
-    return rows.select("doc_id", "tkey", F.inline(F.concat(minima, long))).select(
+    long = F.transform(
+        F.filter(F.transform("reach", lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: x["k"] > 0),
+        lambda x: F.struct(F.xxhash64(F.slice("hashes", x["i"] + 1, x["k"])).alias("h"), (-x["i"]).alias("back")),
+    )
+    # The 0 keeps whole documents apart from the same lines inside longer ones.
+    brief = F.when(
+        F.col("brief"), F.array(F.struct(F.xxhash64(F.lit(0), F.col("hashes")).alias("h"), F.lit(0).alias("back")))
+    ).otherwise(F.array())
+    return rows.select("doc_id", "tkey", F.inline(F.concat(minima, long, brief))).select(
         "doc_id", "tkey", "h", (-F.col("back")).alias("pos")
     )
 
@@ -88,19 +108,26 @@ def repeated_places(lines: DataFrame, aligned: DataFrame, window: int) -> DataFr
         aligned.withColumnsRenamed({"doc_id": "a_id", "tkey": "a_key"})
         .join(src, F.col("src_id").eqNullSafe(F.col("s_id")) & (F.col("src_key") == F.col("s_key")))
         .join(lines, F.col("a_id").eqNullSafe(F.col("doc_id")) & (F.col("a_key") == F.col("tkey")))
-        .select("doc_id", "tkey", "delta", "src", "hashes", "at", "long")
+        .select("doc_id", "tkey", "delta", "src", "hashes", "at", "reach", "brief")
     )
-    # One character a line: 0 differs, 1 equals, 2 equals and is long. A run is a piece without 0.
+    # One character a line: 0 differs, 1 equals, other ones equal and have enough words with 0, 1, .. lines after it.
+    marks = ["1", *(chr(0x100 + k) for k in range(1, window))]
     partner = lambda i: F.get(F.col("src"), i - F.col("delta"))
     equal = F.transform(
         "hashes",
-        lambda h, i: F.when(~h.eqNullSafe(partner(i)), "0").when(F.col("long")[i], "2").otherwise("1"),
+        lambda h, i: F.when(~h.eqNullSafe(partner(i)), "0").otherwise(
+            F.element_at(F.array(*map(F.lit, marks)), F.col("reach")[i] + 1)
+        ),
     )
-    pieces = F.regexp_extract_all(F.array_join(equal, ""), F.lit("([12]+|0+)"), F.lit(1))
+    pieces = F.regexp_extract_all(F.array_join(equal, ""), F.lit("([^0]+|0+)"), F.lit(1))
+    enough = "|".join(f"{mark}.{{{k}}}" for k, mark in enumerate(marks[1:])) or r"\b\B"
+    whole = F.col("brief") & (F.size("src") == F.size("hashes"))
     mask = F.transform(
         pieces,
         lambda p: F.when(
-            ~p.startswith("0") & ((F.length(p) >= window) | p.contains("2")), F.repeat(F.lit("x"), F.length(p))
+            ~p.startswith("0")
+            & ((F.length(p) >= window) | p.rlike(enough) | (whole & (F.length(p) == F.size("hashes")))),
+            F.repeat(F.lit("x"), F.length(p)),
         ).otherwise(p),
     )
     zipped = F.arrays_zip("at", F.split(F.array_join(mask, ""), "").alias("mark"))
@@ -112,13 +139,16 @@ def repeated_places(lines: DataFrame, aligned: DataFrame, window: int) -> DataFr
 def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` for every row: the text without later repeats of line runs.
 
+    A run goes if it has ``window`` lines or ``long_words`` words. A text of fewer lines goes whole if an earlier
+    one has the same lines and it has at least ``window`` words.
+
     Documents come in the order of ``doc_id`` (NULL first), then of a hash of the text. Lines are the pieces
     between ``\\n``; lines without a word are skipped in matching and stay, unless no line with a word is left:
     then the text is empty. NULL texts count as empty. Rows that repeat id and text are one document and get
     the same result. Repeats inside a document count too. An empty table gives no rows; other columns are not
     read.
     """
-    lines = hashed_lines(docs, long_words)
+    lines = hashed_lines(docs, window, long_words)
     aligned = stored(alignments(fingerprints(lines, window)), "line-alignments")
     removed = repeated_places(lines, aligned, window)
     texts = docs.select("doc_id", text_of().alias("text"), text_key().alias("tkey"))

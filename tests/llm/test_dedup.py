@@ -232,6 +232,20 @@ def test_every_repeated_window_of_lines_goes(spark):
     assert {r.doc_id: (r.text, r.n_removed) for r in found} == expected
 
 
+def test_repeats_of_few_lines_go_by_their_words(spark):
+    """Two lines of over 50 words together, and whole documents of one or two lines."""
+    two = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("u", 43), ("v", 49))]
+    rows = [
+        (1, "\n".join(["one", *two, "end"]), "", "", 0), (2, "\n".join(["two", two[0], "", two[1], "last"]), "", "", 0),
+        (3, "\n".join([two[0], "between", two[1]]), "", "", 0), (4, "a short text here\nof two lines", "", "", 0),
+        (5, "a short text here\n\nof two lines", "", "", 0), (6, "x\na short text here\nof two lines\ny", "", "", 0),
+        (7, "one line of text", "", "", 0), (8, "one line of text", "", "", 0), (9, "a b", "", "", 0), (10, "a b", "", "", 0),
+    ]
+    found = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(docs_of(spark, rows)).collect()}
+    gone = {2: ("two\n\nlast", 2), 5: ("", 2), 8: ("", 1)}
+    assert found == {r[0]: gone.get(r[0], (r[1], 0)) for r in rows}
+
+
 def test_line_dedup_takes_awkward_rows(spark):
     found = line_dedup.drop_repeated_lines(docs_of(spark))
     assert found.count() == len(AWKWARD)
