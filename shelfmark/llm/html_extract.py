@@ -24,6 +24,7 @@ from shelfmark.llm.common import small_batches
 NO_TEXT = "script style noscript template textarea title iframe object svg math select button canvas audio video".split()
 ASIDE = "nav header footer aside form menu dialog head fieldset".split()
 MAIN = "article main".split()
+METADATA = "html head base basefont bgsound link meta title script style noscript template".split()
 BLOCK = (
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
@@ -43,7 +44,9 @@ HINT = re.compile(
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(NO_TEXT)})(?=[\s/>])(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
+    # An svg or math that closes itself; a slash in a value without quotes is part of the value.
+    r"|<(svg|math)(?=[\s/>])(?:[^'\">/=]++|=\s*+(?:[^\s'\">][^\s>]*+)?|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
+    rf"|<({'|'.join(NO_TEXT)})(?=[\s/>])(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\2\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
@@ -202,20 +205,34 @@ def text_blocks(page: str) -> tuple[list[tuple[str, int, float, int]], bool]:
             text.clear()
             linked.clear()
 
+    def leave_head() -> None:
+        """A head without end tag ends at the first text or element that cannot be in it."""
+        nonlocal aside, main
+        if stack and stack[-1][0] == "head":
+            close()
+            stack.pop()
+            _, aside, main = stack[-1] if stack else ("", False, False)
+
     at = 0
     for found in MARKUP.finditer(page):
         if found.start() > at:
             piece = page[at:found.start()]
+            if stack and stack[-1][0] == "head" and piece.strip():
+                leave_head()
             text.append(piece)
             if in_link:
                 linked.append(piece)
         at = found.end()
-        closing, tag, attributes = found.group(2, 3, 4)
+        closing, tag, attributes = found.group(3, 4, 5)
         if tag is None:
-            closing, tag, attributes = found.group(5, 6, 7)
+            closing, tag, attributes = found.group(6, 7, 8)
             if tag is None:
+                if (found.group(1) or found.group(2) or "title").lower() not in METADATA:
+                    leave_head()
                 continue
         tag = tag.lower()
+        if not closing and tag not in METADATA:
+            leave_head()
         if tag == "a":
             in_link = not closing
         elif tag == "br":
@@ -237,6 +254,8 @@ def text_blocks(page: str) -> tuple[list[tuple[str, int, float, int]], bool]:
                     stack.append((tag, before[1] or set_aside(tag, attributes), before[2] or own_main))
             _, aside, main = stack[-1] if stack else ("", False, False)
     if at < len(page):
+        if page[at:].strip():
+            leave_head()
         text.append(page[at:])
     close()
     return blocks, has_main

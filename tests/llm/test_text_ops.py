@@ -156,6 +156,18 @@ PAGES = {
 }
 
 
+@pytest.mark.parametrize("page, wanted", [
+    ("<html><head><meta charset=x><title>t</title><body><article><p>Body text here.</p></article>", "Body text here."),
+    ("<head><link href=a><script>1</script>\n<article><p>No body tag.</p></article>", "No body tag."),
+    ("<article><p>one</p><svg class='i' href=\"a/b\"/><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p>one</p><math/><p>two</p><svg><text>no</text></svg><p>three</p></article>", "one\n\ntwo\n\nthree"),
+    ("<article><p>one</p><svg/><p>two</p><svg viewBox='0 0'><text>no</text></svg><p>end</p></article>", "one\n\ntwo\n\nend"),
+    ("<article><p>one</p><svg width=1/><text>no</text></svg><p>two</p></article>", "one\n\ntwo"),
+])
+def test_open_heads_and_self_closed_elements(page, wanted):
+    assert html_extract.main_text(page) == wanted
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     page, wanted = PAGES[name]
