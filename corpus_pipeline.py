@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, exact dedup, near-duplicate join, mixing, byte-level BPE encoding.
+"""A corpus pipeline: language ID, exact dedup, near-duplicate join, mixing, byte-level BPE encoding and decoding.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and reread as
 the next stage's documents. All but the last return the columns of ``documents``. NULL texts have no language
@@ -35,7 +35,7 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the texts."""
+    """Token ids in place of the texts, decoded again and compared with the bytes of the texts."""
     return byte_bpe.token_rows(docs, codec())
 
 

@@ -216,15 +216,18 @@ def slices(texts: pa.Array, most_chars: int = CHUNK_CHARS) -> Iterator[tuple[int
         size += own
 
 
-def encoded(docs: DataFrame, codec: Codec, column: str = "text", out: str = "ids") -> DataFrame:
+def encoded(
+    docs: DataFrame, codec: Codec, column: str = "text", out: str = "ids", proof: str | None = None
+) -> DataFrame:
     """``docs`` with the ids of the whole text as ``out`` (array of int) instead of the text column.
 
     A NULL text has no ids. Rows keep their other columns, whatever their names, except that a column named
-    ``out`` is replaced; repeated rows are encoded each; an empty table gives no rows.
+    ``out`` is replaced; repeated rows are encoded each; an empty table gives no rows. With ``proof`` the ids are
+    decoded, and a column of this name, replaced too, tells whether that gives the bytes of the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codec)
     small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name.lower() not in (column.lower(), out.lower())]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in (column.lower(), out.lower(), (proof or out).lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +235,19 @@ def encoded(docs: DataFrame, codec: Codec, column: str = "text", out: str = "ids
                 ids, borders = shared.value.encode_all(texts)
                 lists = pa.ListArray.from_arrays(borders.astype(np.int32), ids.view(np.int32))
                 others = [c.slice(start, stop - start) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*others, lists], names=[*batch.schema.names[:-1], out])
+                columns, names = [*others, lists], [*batch.schema.names[:-1], out]
+                if proof:
+                    same = [
+                        shared.value.decode(ids[a:b]) == text.encode()
+                        for text, a, b in zip(texts, borders[:-1], borders[1:], strict=True)
+                    ]
+                    columns, names = [*columns, pa.array(same, pa.bool_())], [*names, proof]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], text_of(column).alias(column))
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    if proof:
+        schema = schema.add(proof, T.BooleanType())
     return rows.mapInArrow(run, schema)
 
 
@@ -278,10 +290,9 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
 
 
 def token_rows(docs: DataFrame, codec: Codec) -> DataFrame:
-    """``docs`` with ``ids`` and ``n_tokens`` in place of the text: the rows a trainer reads."""
-    ids, size = "ids", "n_tokens"
-    rows = encoded(docs, codec)
-    kept = [c for c in rows.columns if c.lower() not in (ids, size)]
-    return rows.select(*[F.col(f"`{c}`") for c in kept], ids, F.size(ids).cast("bigint").alias(size))
-
-
+    """``docs`` with ``ids``, ``n_tokens`` and ``intact`` in place of the text: the rows a trainer reads, and
+    whether decoding the ids gives the bytes of the text."""
+    ids, size, proof = "ids", "n_tokens", "intact"
+    rows = encoded(docs, codec, proof=proof)
+    kept = [c for c in rows.columns if c.lower() not in (ids, size, proof)]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], ids, F.size(ids).cast("bigint").alias(size), proof)

@@ -61,6 +61,17 @@ def test_encoded_and_decoded_columns(spark):
     assert rows.filter("n_tokens <> size(ids)").count() == 0 and "text" not in rows.columns
 
 
+def test_token_rows_tell_wrong_ids(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [r for r in AWKWARD if r[0] in (None, 2, 3, 4, 10)])
+    assert {r.intact for r in corpus_pipeline.tokens(spark, docs, "").collect()} == {True}
+    wrong = codec()
+    wrong.tokens[wrong.encode(["\U0001f600"])[0].tolist()[0]] = b"?"
+    found = byte_bpe.token_rows(docs, wrong).collect()
+    assert {r.doc_id for r in found if not r.intact} == {10} and len(found) == docs.count()
+
+
 def brute_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
