@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import (
-    byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, warc,
+    byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, sharding,
+    warc,
 )
 from shelfmark.llm.common import table
 
@@ -139,6 +140,17 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shards_of(table(spark, sf, "documents"))
 
 
+@query()
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    encoder = packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    pieces = packing.packed(table(spark, sf, "documents"), encoder)
+    return pieces.select(
+        "doc_id", "start", "length", packing.crc_of_ids(), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_id"
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
