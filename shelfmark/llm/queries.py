@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import (
-    byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, sharding,
-    warc,
+    byte_bpe, conversation_repair, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, packing,
+    quality_rules, sharding, warc,
 )
 from shelfmark.llm.common import table
 
@@ -151,6 +151,12 @@ def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    return conversation_repair.verdicts(conversations, conversation_repair.damaged(conversations))
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
