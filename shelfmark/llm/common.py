@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,3 +69,36 @@ def rows_by_key(docs: DataFrame, chosen: DataFrame, key: Column) -> DataFrame:
     return found.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )
+
+
+def joined_sha256(rows: DataFrame, key: str, order: list[str], line: Column, separator: str, out: str) -> DataFrame:
+    """``key, out``: the digest of the lines of each key in order, joined by ``separator``.
+
+    A digest is one pass over its lines by definition. Rows are sorted and streamed, so a task holds an Arrow batch
+    and no group.
+    """
+    small_batches(rows.sparkSession)
+
+    def digested(keys: list, hexes: list, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(hexes, pa.string())], names=[key, out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = digest = kind = None
+        between = separator.encode()
+        for batch in batches:
+            kind, keys, hexes = batch.schema.field(0).type, [], []
+            for now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is not None and now == current:
+                    digest.update(between + text.encode())
+                    continue
+                if digest is not None:
+                    keys.append(current)
+                    hexes.append(digest.hexdigest())
+                current, digest = now, hashlib.sha256(text.encode())
+            if keys:
+                yield digested(keys, hexes, kind)
+        if digest is not None:
+            yield digested([current], [digest.hexdigest()], kind)
+
+    sorted_rows = rows.select(key, line.alias("line"), *order).repartition(key).sortWithinPartitions(key, *order)
+    return sorted_rows.select(key, "line").mapInArrow(run, T.StructType([rows.schema[key], T.StructField(out, T.StringType())]))

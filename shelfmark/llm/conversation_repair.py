@@ -20,7 +20,6 @@ each block of a conversation.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import small_batches
+from shelfmark.llm.common import joined_sha256, small_batches
 from shelfmark.session import stored
 
 #: Rows of a block are those with equal place above so many bits.
@@ -351,33 +350,8 @@ def repaired(conversations: DataFrame, block_bits: int = BLOCK_BITS) -> DataFram
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """``conv, repaired_sha256`` over the lines ``role:text``. A digest is one pass over its conversation by
-    definition: rows are sorted and streamed, so a task holds one Arrow batch and no conversation."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, digest = None, None
-        for batch in batches:
-            done = []
-            for now, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest is None or now != conv:
-                    if digest is not None:
-                        done.append((conv, digest.hexdigest()))
-                    conv, digest = now, hashlib.sha256(line.encode())
-                else:
-                    digest.update(b"\n" + line.encode())
-            if done:
-                yield made(batch, done)
-        if digest is not None:
-            yield made(batch, [(conv, digest.hexdigest())])
-
-    def made(batch: pa.RecordBatch, done: list) -> pa.RecordBatch:
-        convs, hexes = zip(*done, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(convs, batch.schema.field(0).type), pa.array(hexes)], names=["conv", "repaired_sha256"])
-
-    conv = turns.schema["conv"].dataType.simpleString()
-    lines = turns.select("conv", F.concat("role", F.lit(":"), "text").alias("line"), "place", "n")
-    in_order = lines.repartition("conv").sortWithinPartitions("conv", "place", "n").select("conv", "line")
-    return in_order.mapInArrow(run, f"conv {conv}, repaired_sha256 string")
+    """``conv, repaired_sha256`` over the lines ``role:text``."""
+    return joined_sha256(turns, "conv", ["place", "n"], F.concat("role", F.lit(":"), "text"), "\n", "repaired_sha256")
 
 
 def verdicts(original: DataFrame, rows: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import (
     byte_bpe, conversation_repair, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, packing,
-    quality_rules, sharding, warc,
+    prefix_trie, quality_rules, sharding, warc,
 )
 from shelfmark.llm.common import table
 
@@ -157,6 +157,49 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_repair.verdicts(conversations, conversation_repair.damaged(conversations))
 
 
+@query("""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS content
+    FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+    SELECT conv_id, content, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, content) AS pos
+    FROM t
+), crc AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS first, xor(list_reduce(
+        list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+        lambda a, b: list_reduce(range(8), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, xor(a, b)),
+        4294967295), 4294967295) % 4 AS head
+    FROM (SELECT DISTINCT conv_id FROM numbered)
+), rebuilt AS (
+    SELECT c.conv_id, 0 AS part, n.pos, n.content, n.words FROM crc c JOIN numbered n ON n.conv_id = c.first AND n.pos <= c.head
+    UNION ALL
+    SELECT c.conv_id, 1, n.pos, n.content, n.words FROM crc c JOIN numbered n ON n.conv_id = c.conv_id AND n.pos > c.head
+), members AS (
+    SELECT c.conv_id, coalesce(list(r.content ORDER BY part, pos) FILTER (r.content IS NOT NULL), []) AS contents,
+           coalesce(list(r.words ORDER BY part, pos) FILTER (r.content IS NOT NULL), []) AS words
+    FROM crc c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id
+), paths AS (
+    SELECT conv_id, d AS depth, len(contents) = d AS ends, array_to_string(contents[1:d], ',') AS key,
+           CASE WHEN d > 0 THEN array_to_string(contents[1:d - 1], ',') END AS parent_key, coalesce(words[d], 0) AS words
+    FROM (SELECT *, unnest(range(0, len(contents) + 1)) AS d FROM members)
+), nodes AS (
+    SELECT depth, key, any_value(parent_key) AS parent_key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+           bool_and(ends) AS leaf, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM paths GROUP BY depth, key
+), below AS (
+    SELECT p.depth, p.key, count(*) FILTER (n.leaf) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens,
+           count(*) FILTER (n.depth = p.depth + 1) AS n_children
+    FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.key
+)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (depth, key) LEFT JOIN nodes a ON a.depth = n.depth - 1 AND a.key = n.parent_key
+""")
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
