@@ -48,23 +48,11 @@ def failure_rows(resolved: DataFrame, scraped_at, profile: str = "cli") -> DataF
 
 
 def extract_pages(pages: DataFrame, scraped_at, profile: str = "cli", keep: list[str] | None = None) -> DataFrame:
-    """Pages to page rows in one narrow stage without Python workers; columns named in ``keep`` stay too."""
+    """Pages to page rows in one narrow stage, each page scanned once; columns named in ``keep`` stay too."""
     if profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    # A generator keeps later filters and projections from computing the text again.
-    found = pages.select(
-        "url",
-        *(keep or []),
-        F.inline(
-            F.array(
-                F.struct(
-                    H.metadata_title(F.col("html")).alias("title"),
-                    H.extract_language(F.col("html")).alias("language"),
-                    H.extract_markdown(F.col("html")).alias("content"),
-                )
-            )
-        ),
-    )
+    # A generator keeps later filters from scanning the pages again.
+    found = pages.select("url", *(keep or []), F.inline(F.array(H.page_fields(F.col("html")))))
     if profile == "api":
         found = found.withColumn("title", title_or_url(strip(F.col("title")), F.col("url")))
     return extraction_status(
