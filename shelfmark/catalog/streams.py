@@ -9,19 +9,29 @@ from shelfmark.catalog.pages import EXTRACTED, SCRAPED_AT
 from shelfmark.catalog.registry import query
 from shelfmark.catalog.store import SOURCES, day
 from shelfmark.model import PAGE_RESULTS
+from shelfmark.operators.spread import positions
 from shelfmark.session import run_folder
 from shelfmark.streaming import jobs as S
 
-PAGE_FILE = "pages.parquet"
+#: Files that the streams of the queries find, and how many a micro-batch takes.
+FILES, FILES_PER_TRIGGER = 6, 2
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+def arrived(spark, sf: str, table: str) -> str:
+    """A folder with all rows of a table in several files, as if they had come one after the other."""
+    folder = run_folder(spark, f"arrived-{table}")
+    I.table(spark, sf, table).repartition(FILES).write.parquet(folder)
+    return folder
+
+
 @query(f"WITH {EXTRACTED} SELECT url, title, language, content, 'success' AS status FROM extracted")
 def stream_ingest(spark, sf):
     """Page files extracted by a stream; a second run of it finds nothing new."""
-    folder = run_folder(spark, "ingest")
+    folder, files = run_folder(spark, "ingest"), arrived(spark, sf, "pages")
     for _ in range(2):
-        S.stream_ingest(S.page_stream(spark, sf, PAGE_FILE), f"{folder}/out", f"{folder}/ck", I.ts(SCRAPED_AT))
+        pages = S.page_stream(spark, files, files_per_trigger=FILES_PER_TRIGGER)
+        S.stream_ingest(pages, f"{folder}/out", f"{folder}/ck", I.ts(SCRAPED_AT))
     rows = spark.read.schema(PAGE_RESULTS).parquet(f"{folder}/out")
     return rows.select("url", "title", "language", "content", "status")
 
@@ -32,22 +42,24 @@ SELECT row_number() OVER (ORDER BY notebook_id, url) AS id, notebook_id, url, ti
 )
 def stream_upsert(spark, sf):
     """Documents as changes that arrive by a stream; sources resolved from the log."""
-    folder = run_folder(spark, "upsert")
-    docs = spark.readStream.schema(DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    folder, files = run_folder(spark, "upsert"), arrived(spark, sf, "documents")
+    docs = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(files)
     url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
     changes = docs.select(
         I.language_notebook(F.col("lang")).alias("notebook_id"), url.alias("url"), url.alias("title"),
         F.col("text").alias("content"), F.lit("success").alias("status"), I.ts(I.FIRST).alias("last_updated"),
     )
     S.stream_upsert(changes, f"{folder}/log", f"{folder}/ck")
-    return day(S.current_sources(spark, f"{folder}/log"))
+    # The order of arrival decides on ids; the key stands in for it here, as files come in any order.
+    current = S.current_sources(spark, f"{folder}/log").drop("id")
+    return day(positions(current, [], ["notebook_id", "url"], out="id"))
 
 
 ADDRESSES = "SELECT DISTINCT regexp_replace(url, '[?#].*', '') AS url FROM pages"
 
 
 def addresses(spark, sf):
-    return S.page_stream(spark, sf, PAGE_FILE).select(F.regexp_replace("url", "[?#].*", "").alias("url"))
+    return S.page_stream(spark, arrived(spark, sf, "pages"), files_per_trigger=FILES_PER_TRIGGER).select(F.regexp_replace("url", "[?#].*", "").alias("url"))
 
 
 @query(ADDRESSES)
@@ -60,7 +72,8 @@ def stream_dedup(spark, sf):
 
 @query(ADDRESSES)
 def stream_new_urls(spark, sf):
-    """The same with a table as state."""
+    """The same with a table as state; a query with a new checkpoint adds nothing to it."""
     folder = run_folder(spark, "seen")
-    S.stream_new_urls(addresses(spark, sf), f"{folder}/log", f"{folder}/ck")
+    for run in range(2):
+        S.stream_new_urls(addresses(spark, sf), f"{folder}/log", f"{folder}/ck{run}")
     return spark.read.schema(S.SEEN).parquet(f"{folder}/log").select("url")

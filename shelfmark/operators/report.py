@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import first_nonempty
 from shelfmark.model import FAILED, SUCCESS
 from shelfmark.operators.spread import positions, spread_lookup
+from shelfmark.session import stored
 
 # Labels of the source list.
 SAVED_LABEL, FAILED_LABEL, UNTITLED_LABEL = "TERSIMPAN", "GAGAL", "Dokumen Tanpa Judul"
@@ -25,8 +26,9 @@ def run_summary(results: DataFrame, skipped: DataFrame | None = None) -> DataFra
 
 
 def failed_sample(results: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` failures by URL, and how many more there are."""
-    failed = results.filter(F.col("status") == FAILED).select("url", "error")
+    """The first ``n`` failures by URL, and how many more there are. Addresses and errors of the failures are
+    stored in one pass, so that the pages are extracted once."""
+    failed = stored(results.filter(F.col("status") == FAILED).select("url", "error"), "failures")
     more = failed.agg(F.greatest(F.count("*") - n, F.lit(0))).scalar()
     return failed.orderBy("url").limit(n).withColumn("n_more", more)
 

@@ -1,4 +1,4 @@
-"""Notebooks, sources and chat logs as tables that are replaced by new versions of themselves."""
+"""Notebooks, sources and chat logs: what they are after changes, and lists of them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import is_blank, literal, or_empty, strip
 from shelfmark.model import FAILED, SUCCESS
 from shelfmark.operators.spread import positions, spread_lookup
+from shelfmark.session import stored
 
 # Fixed value: what stands between two sources, and between two windows of a context.
 SEPARATOR = "\n\n---\n\n"
@@ -35,58 +36,110 @@ def list_notebooks(notebooks: DataFrame) -> DataFrame:
     return notebooks.orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def decisive_changes(batch: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The changes of a batch that later ones cannot do without: for each notebook and URL the newest, and the
-    newest that is no failure. At the same time a success is newer than a failure."""
-    change = F.struct(*(order or []), "last_updated", "status", "title", "content")
-    both = batch.groupBy(*SOURCE_KEY).agg(
-        F.max(change).alias("_newest"), F.max(F.when(F.col("status") != FAILED, change)).alias("_good")
-    )
-    rows = F.array_compact(F.array_distinct(F.array("_newest", "_good")))
-    return both.select(*SOURCE_KEY, F.explode(rows).alias("_row")).select(*SOURCE_KEY, "_row.*")
+def _numbered(batch: DataFrame) -> DataFrame:
+    """The batch stored with a number for each row, so that rows can be chosen on narrow columns."""
+    return stored(batch.withColumn("_row", F.monotonically_increasing_id()), "batch")
 
 
-def upsert_sources(
-    current: DataFrame, batch: DataFrame, keep_on_fail: bool = True, order: list[str] | None = None,
-    numbered: DataFrame | None = None,
-) -> DataFrame:
-    """The next version of ``current``: known sources change and keep their id, others are added.
+def _newest(batch: DataFrame, order: list[str]) -> DataFrame:
+    """For each notebook and URL the newest change and the newest that is no failure, without their texts.
 
-    The result is that of the changes applied one by one in the order of ``order`` (none by default) and time,
-    however they are cut into batches. With ``keep_on_fail`` a failed refetch does not blank text that was
-    fetched before. New sources are numbered by the first of ``order`` and the key, after the ids of
-    ``numbered`` if ``current`` is only a part of the table.
+    At the same time a success is newer than a failure; what is still equal is told apart by a hash of title and
+    text, and by the place in the batch where that is equal, too.
     """
-    order = order or []
-    change = F.struct(*order, "last_updated", "status", "title", "content")
-    changes = batch.groupBy(*SOURCE_KEY).agg(
+    narrow = batch.select(
+        *SOURCE_KEY, *order, "last_updated", "status", F.xxhash64("title", "content").alias("_code"), "_row",
+        is_blank(F.col("content")).alias("_blank"),
+    )
+    change = F.struct(*order, "last_updated", "status", "_code", "_row", "_blank")
+    return narrow.groupBy(*SOURCE_KEY).agg(
         F.max(change).alias("_newest"), F.max(F.when(F.col("status") != FAILED, change)).alias("_good"),
         *[F.min(c).alias("_first") for c in order[:1]],
     )
 
+
+def decisive_changes(batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The changes of a batch that later ones cannot do without: for each notebook and URL the newest, and the
+    newest that is no failure."""
+    batch = _numbered(batch)
+    both = _newest(batch, order or [])
+    rows = both.select(F.explode(F.array_compact(F.array_distinct(F.array("_newest._row", "_good._row")))).alias("_row"))
+    return batch.join(rows, "_row", "left_semi").drop("_row")
+
+
+def _decisions(
+    current: DataFrame, batch: DataFrame, keep_on_fail: bool, order: list[str], numbered: DataFrame | None
+) -> DataFrame:
+    """Stored and narrow, one row a source that the batch names: ``notebook_id, url, id, _known, _row, _time``.
+    ``_row`` is the row of the batch whose text the source has from now on, NULL if it keeps its own."""
+    changes = _newest(batch, order)
+
     def holds_text(row: str) -> Column:
-        return (F.col(f"{row}status") == SUCCESS) & ~is_blank(F.col(f"{row}content"))
+        return (F.col(f"{row}.status") == SUCCESS) & ~F.col(f"{row}._blank")
 
     # What is left after a success: its text, or, if it had none, the failure that came later.
-    left = F.when(holds_text("_good."), F.col("_good")).otherwise(F.col("_newest")) if keep_on_fail else F.col("_newest")
+    left = F.when(holds_text("_good"), F.col("_good")).otherwise(F.col("_newest")) if keep_on_fail else F.col("_newest")
     changes = changes.withColumn("_left", F.coalesce(left, F.col("_newest")))
-    changed = F.col("_newest").isNotNull()
-    kept = F.col("_good").isNull() & F.coalesce(holds_text(""), F.lit(False)) if keep_on_fail else F.lit(False)
-    updated = current.join(changes, SOURCE_KEY, "left").select(
-        "id",
-        *SOURCE_KEY,
-        *[F.when(changed & ~kept, F.col(f"_left.{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "content", "status")],
-        F.when(changed, F.col("_newest.last_updated")).otherwise(F.col("last_updated")).alias("last_updated"),
+    held = current.select(
+        *SOURCE_KEY, "id", ((F.col("status") == SUCCESS) & ~is_blank(F.col("content"))).alias("_held"), F.lit(True).alias("_known")
+    )
+    kept = F.col("_good").isNull() & F.coalesce("_held", F.lit(False)) if keep_on_fail else F.lit(False)
+    told = stored(
+        changes.join(held, SOURCE_KEY, "left").select(
+            *SOURCE_KEY, "id", F.coalesce("_known", F.lit(False)).alias("_known"),
+            F.when(~kept, F.col("_left._row")).alias("_row"), F.col("_newest.last_updated").alias("_time"),
+            *(["_first"] if order else []),
+        ),
+        "decisions",
     )
-    unknown = changes.join(current.select(*SOURCE_KEY), SOURCE_KEY, "left_anti")
-    # Ids are dealt over the narrow keys; texts join them afterwards.
     numbering = [*(["_first"] if order else []), *SOURCE_KEY]
     taken = current if numbered is None else numbered
-    ids = _next_ids(unknown.select(*numbering), numbering, taken).select("id", *SOURCE_KEY)
-    added = ids.join(changes, SOURCE_KEY).select(
-        "id", *SOURCE_KEY, "_left.title", "_left.content", "_left.status", "_newest.last_updated"
-    )
-    return updated.unionByName(added)
+    ids = _next_ids(told.filter("NOT _known").select(*numbering), numbering, taken).select("id", *SOURCE_KEY)
+    added = told.filter("NOT _known").drop("id").join(ids, SOURCE_KEY)
+    return stored(told.filter("_known").unionByName(added).drop("_first"), "decisions")
+
+
+COLUMNS = ["id", *SOURCE_KEY, "title", "content", "status", "last_updated"]
+
+
+def _replaced(batch: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Sources with a text of the batch."""
+    texts = batch.select("_row", "title", "content", "status")
+    return texts.join(decisions.filter("_row IS NOT NULL").withColumnRenamed("_time", "last_updated"), "_row").select(*COLUMNS)
+
+
+def changed_sources(
+    current: DataFrame, batch: DataFrame, keep_on_fail: bool = True, order: list[str] | None = None,
+    numbered: DataFrame | None = None,
+) -> DataFrame:
+    """The sources that ``upsert_sources`` changes or adds, as they are afterwards; the others are left out."""
+    batch = _numbered(batch)
+    decisions = _decisions(current, batch, keep_on_fail, order or [], numbered)
+    named = decisions.filter("_row IS NULL").select(*SOURCE_KEY, F.col("_time"))
+    kept = current.join(named, SOURCE_KEY).withColumn("last_updated", F.col("_time"))
+    return _replaced(batch, decisions).unionByName(kept.select(*COLUMNS))
+
+
+def upsert_sources(
+    current: DataFrame, batch: DataFrame, keep_on_fail: bool = True, order: list[str] | None = None,
+    numbered: DataFrame | None = None,
+) -> DataFrame:
+    """``current`` after the batch: known sources change and keep their id, others are added.
+
+    The result is that of the changes applied one by one in the order of ``order`` (none by default) and time,
+    however they are cut into batches. With ``keep_on_fail`` a failed refetch does not blank text that was
+    fetched before. New sources are numbered by the first of ``order`` and the key, after the ids of
+    ``numbered`` if ``current`` is only a part of the table.
+
+    What becomes of each source is decided on keys, times and row numbers and stored; the texts then meet that
+    narrow table once, or stay where they are if it is small enough for Spark to broadcast.
+    """
+    batch = _numbered(batch)
+    decisions = _decisions(current, batch, keep_on_fail, order or [], numbered)
+    named = decisions.filter("_known").select(*SOURCE_KEY, "_row", "_time", F.lit(True).alias("_named"))
+    left = current.join(named, SOURCE_KEY, "left").filter("_named IS NULL OR _row IS NULL")
+    left = left.withColumn("last_updated", F.coalesce("_time", "last_updated"))
+    return left.select(*COLUMNS).unionByName(_replaced(batch, decisions))
 
 
 def list_sources(sources: DataFrame, notebook_id: int | Column | None = None) -> DataFrame:

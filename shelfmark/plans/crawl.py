@@ -15,7 +15,8 @@ from shelfmark.operators.filters import classify_urls, filter_stats, kept_urls,
 from shelfmark.operators.output import merge_progress, progress_of, write_jsonl, write_markdown
 from shelfmark.operators.report import failed_sample, run_summary
 from shelfmark.session import stored
-from shelfmark.sources.versions import latest_version, read_latest, write_version
+from shelfmark.sources.changes import read_or_none
+from shelfmark.sources.pages import pages_at
 
 
 @dataclass
@@ -37,14 +38,18 @@ def run_crawl(
     attempts: DataFrame | None = None,
     drop_repeats: bool = True,
 ) -> CrawlRun:
-    """Results of one run. ``urls`` were discovered, ``pages`` hold what was fetched."""
-    classified = classify_urls(urls, config, robots)
+    """Results of one run. ``urls`` were discovered, ``pages`` hold what was fetched.
+
+    Verdicts on addresses are stored once, narrow, for the five that read them. Pass ``pages`` as a table of
+    ``save_pages``, and their HTML is read where it lies; of other tables it is moved to the pending addresses.
+    """
+    classified = stored(classify_urls(urls, config, robots), "classified")
     kept = kept_urls(classified)
     pending = pending_urls(kept, progress)
     resolved = None
     if attempts is not None:
         resolved = resolve_fetch(attempts.join(pending.select("url"), "url", "left_semi"))
-    wanted = pages.join(pending.select("url"), "url", "left_semi")
+    wanted = pages_at(pages, pending)
     # Extraction is the costly step and has five readers.
     results = stored(build_page_results(wanted, scraped_at, resolved=resolved, drop_repeats=drop_repeats), "results")
     return CrawlRun(
@@ -78,20 +83,28 @@ def crawl_sites(
     return run_crawl(urls, pages, config, scraped_at, progress, robots, attempts, drop_repeats)
 
 
+PROGRESS = "url string, status string, run bigint"
+
+
 def write_run(run: CrawlRun, path: str) -> None:
-    """Markdown, JSON lines and the next checkpoint of a run below ``path``.
+    """Markdown, JSON lines and the progress of a run below ``path``.
 
-    Each run has a folder of its own, which it overwrites, and the checkpoint comes last: a run that was
-    interrupted and is started again leaves each page once.
+    Each run has a folder of its own, which it overwrites, and its progress comes last: a run that was
+    interrupted and is started again leaves each page once. Of the progress only what is new is written.
     """
-    root = path.rstrip("/")
-    last = latest_version(run.results.sparkSession, f"{root}/progress")
+    root, spark = path.rstrip("/"), run.results.sparkSession
+    before = read_or_none(spark, f"{root}/progress", PROGRESS)
+    last = None if before is None else before.agg(F.max("run")).first()[0]
     number = 0 if last is None else last + 1
     write_markdown(run.results, f"{root}/pages/run={number}", mode="overwrite")
     write_jsonl(run.results, f"{root}/combined/run={number}", mode="overwrite")
-    write_version(run.progress, f"{root}/progress")
+    new = run.progress.join(saved_progress(spark, root), ["url", "status"], "left_anti")
+    new.write.mode("overwrite").parquet(f"{root}/progress/run={number}")
 
 
 def saved_progress(spark: SparkSession, path: str) -> DataFrame:
-    """The checkpoint that the last run below ``path`` left; no rows before the first run."""
-    return read_latest(spark, f"{path.rstrip('/')}/progress", "url string, status string")
+    """What the runs below ``path`` left, the last run of an address deciding; no rows before the first run."""
+    rows = read_or_none(spark, f"{path.rstrip('/')}/progress", PROGRESS)
+    if rows is None:
+        return spark.createDataFrame([], "url string, status string")
+    return rows.groupBy("url").agg(F.max_by("status", "run").alias("status"))

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import literal
 from shelfmark.functions.tokens import WINDOW, Codec
 from shelfmark.functions.urls import with_scheme
+from shelfmark.model import KB_KEYS, KB_TABLES
 from shelfmark.operators.chunks import cap_chunks, chunk_notebook
 from shelfmark.operators.extraction import drop_repeated_segments, extract_pages, extraction_status, failure_rows
 from shelfmark.operators.retrieval import (
     TOP_K, Encoder, assemble_context, assemble_prompt, embed, guard_empty, retrieve,
 )
-from shelfmark.operators.store import delete_notebooks, delete_sources, notebook_corpus, upsert_sources
+from shelfmark.operators.spread import spread_lookup
+from shelfmark.operators.store import changed_sources, notebook_corpus, upsert_sources
 from shelfmark.session import stored
-from shelfmark.sources.readers import read_kb, write_kb
+from shelfmark.sources.readers import change_kb, read_kb
 
 
 def import_pages(
@@ -52,30 +54,36 @@ def import_pages(
 
 
 def upsert_stored(batch: DataFrame, kb: str, keep_on_fail: bool = True) -> int:
-    """A batch upserted into the stored sources. Only the buckets of its notebooks are read and written; of the
-    others the ids are read."""
+    """A batch upserted into the stored sources: only rows that change are written. The buckets of the batch's
+    notebooks are read; of the others the ids are."""
     spark = batch.sparkSession
     batch = stored(batch, "changes")
-    touched = batch.select("notebook_id")
-    current = read_kb(spark, kb, "sources", touched)
+    current = read_kb(spark, kb, "sources", batch)
     every = read_kb(spark, kb, "sources").select("id")
-    return write_kb(upsert_sources(current, batch, keep_on_fail, numbered=every), kb, "sources", touched)
+    return change_kb(changed_sources(current, batch, keep_on_fail, numbered=every), kb, "sources")
 
 
 def delete_stored_sources(keys: DataFrame, kb: str) -> int:
-    """The stored sources without the ``id, notebook_id`` pairs; buckets of other notebooks stay as they are."""
-    current = read_kb(keys.sparkSession, kb, "sources", keys)
-    return write_kb(delete_sources(current, keys), kb, "sources", keys)
+    """The ``id, notebook_id`` pairs go from the stored sources; their rows are neither read nor moved. A pair
+    whose notebook is another one matches nothing."""
+    spark = keys.sparkSession
+    known = read_kb(spark, kb, "sources", keys).select("id", "notebook_id")
+    gone = known.join(keys.select("id", "notebook_id"), ["id", "notebook_id"], "left_semi")
+    return change_kb(spark.createDataFrame([], KB_TABLES["sources"]), kb, "sources", gone)
 
 
 def delete_stored_notebooks(ids: DataFrame, kb: str) -> None:
     """Notebooks (``id``) go from the stored tables with all that belongs to them, the notebooks last, so that a
-    run that was stopped can be started again."""
-    touched = ids.select(F.col("id").alias("notebook_id"))
-    names = ("sources", "chat_logs", "notebooks")
-    left = delete_notebooks({name: read_kb(ids.sparkSession, kb, name, touched) for name in names}, ids)
-    for name in names:
-        write_kb(left[name], kb, name, touched)
+    run that was stopped can be started again. Of the rows that go only their ids are read."""
+    spark = ids.sparkSession
+    touched = ids.select(F.col("id").alias("notebook_id")).distinct()
+    for name in ("sources", "chat_logs", "notebooks"):
+        rows = read_kb(spark, kb, name, touched)
+        owner = F.col(KB_KEYS[name]).alias("notebook_id")
+        # A notebook may own any share of the rows.
+        gone = spread_lookup(rows.select("id", owner), touched, ["notebook_id"], "left_semi", ["id"])
+        gone = gone.select("id", *([] if KB_KEYS[name] == "id" else ["notebook_id"]))
+        change_kb(spark.createDataFrame([], KB_TABLES[name]), kb, name, gone)
 
 
 def chunk_table(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.model import KB_KEYS, KB_TABLES, PAGES, PROGRESS_FILE
-from shelfmark.sources.versions import buckets_of, read_buckets, write_buckets
+from shelfmark.sources.changes import BUCKETS, append_change, buckets_of, compact, read_table
 
 
 INPUT_PARTITIONS = "spark.shelfmark.inputPartitions"
@@ -78,24 +78,37 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return stored.select(F.explode("completed").alias("url", "status"))
 
 
-def _buckets(notebooks: DataFrame | None) -> set[int] | None:
+def _buckets(notebooks: DataFrame | None) -> list[int] | None:
     return None if notebooks is None else buckets_of(notebooks, "notebook_id")
 
 
+def _place(path: str, table: str) -> str:
+    return f"{path.rstrip('/')}/{table}"
+
+
 def read_kb(spark: SparkSession, path: str, table: str, notebooks: DataFrame | None = None) -> DataFrame:
-    """The newest version of one of the tables ``notebooks``, ``sources`` and ``chat_logs``.
+    """One of the tables ``notebooks``, ``sources`` and ``chat_logs`` as its changes leave it.
 
     With ``notebooks`` (``notebook_id``) only their buckets are read: all their rows, and those of other
     notebooks in the same buckets.
     """
-    return read_buckets(spark, f"{path.rstrip('/')}/{table}", KB_TABLES[table], _buckets(notebooks))
+    return read_table(spark, _place(path, table), KB_TABLES[table], _buckets(notebooks))
 
 
 def write_kb(df: DataFrame, path: str, table: str, notebooks: DataFrame | None = None) -> int:
-    """The next version of a table; rows keep the order and types of its schema.
+    """Replace a table by ``df``, or with ``notebooks`` the rows in the buckets of these; ``df`` must then hold all
+    rows of these buckets, as ``read_kb`` gives them. The number of the change is returned."""
+    anew = list(range(BUCKETS)) if notebooks is None else _buckets(notebooks)
+    return append_change(df, _place(path, table), KB_TABLES[table], KB_KEYS[table], anew=anew)
 
-    With ``notebooks`` only their buckets are replaced; ``df`` must hold all rows of these buckets, as
-    ``read_kb`` gives them.
-    """
-    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in KB_TABLES[table].fields])
-    return write_buckets(rows, f"{path.rstrip('/')}/{table}", KB_KEYS[table], _buckets(notebooks))
+
+def change_kb(rows: DataFrame, path: str, table: str, deleted: DataFrame | None = None) -> int:
+    """Append rows that are new or changed, and the ids (with the key of the table) that go. Nothing else is read
+    or written."""
+    return append_change(rows, _place(path, table), KB_TABLES[table], KB_KEYS[table], deleted)
+
+
+def compact_kb(spark: SparkSession, path: str, out: str) -> None:
+    """Write the tables that ``path`` holds to ``out``, each as one change."""
+    for table in KB_TABLES:
+        compact(spark, _place(path, table), KB_TABLES[table], KB_KEYS[table], _place(out, table))

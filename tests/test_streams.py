@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import datetime
-import re
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from shelfmark.model import KB_TABLES, PAGE_RESULTS, CrawlConfig
@@ -10,7 +11,10 @@ from shelfmark.operators.store import append_notebooks, upsert_sources
 from shelfmark.operators.output import write_markdown
 from shelfmark.plans.crawl import run_crawl, saved_progress, write_run
 from shelfmark.plans.notebooks import delete_stored_notebooks, delete_stored_sources, upsert_stored
-from shelfmark.sources.readers import read_kb, write_kb
+from shelfmark.operators.report import failed_sample
+from shelfmark.sources.changes import bucket_of, read_log
+from shelfmark.sources.pages import pages_at, save_pages, saved_pages
+from shelfmark.sources.readers import compact_kb, read_kb, write_kb
 from shelfmark.streaming import jobs as S
 
 NOW = "2024-05-06 07:08:09"
@@ -90,6 +94,88 @@ def test_dedup(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "timed")).count() == 20
 
 
+def test_new_checkpoints_go_on_where_a_log_ends(spark, tmp_path):
+    folder, log = tmp_path / "in", str(tmp_path / "log")
+    for i in range(4):
+        add_pages(spark, folder, 100 * i, 100 * i + 150)
+    urls = S.page_stream(spark, str(folder), files_per_trigger=1).select("url")
+    S.stream_new_urls(urls, log, str(tmp_path / "ck1"))
+    again = tmp_path / "again"
+    add_pages(spark, again, 440, 460)
+    known = S.page_stream(spark, str(again)).select("url")
+    S.stream_new_urls(known, log, str(tmp_path / "ck2"))
+    seen = spark.read.schema(S.SEEN).parquet(log)
+    assert seen.count() == seen.select("url").distinct().count() == 460
+    assert seen.select("query").distinct().count() == 2
+    assert seen.select("prefix").distinct().count() > 100
+    S.compact_urls(spark, log, str(tmp_path / "compact"))
+    S.stream_new_urls(known, str(tmp_path / "compact"), str(tmp_path / "ck3"))
+    assert spark.read.schema(S.SEEN).parquet(str(tmp_path / "compact")).count() == 460
+
+
+def test_a_batch_that_is_run_again_overwrites_its_own_rows(spark, tmp_path, monkeypatch):
+    folder, log, ck = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "ck")
+    add_pages(spark, folder, 0, 10)
+    urls = S.page_stream(spark, str(folder)).select("url")
+    ran = S._batch_place
+    monkeypatch.setattr(S, "_batch_place", lambda *a: (ran(*a), 1 / 0) if a[-1] == 1 else ran(*a))
+    S.stream_new_urls(urls, log, ck)
+    add_pages(spark, folder, 5, 15)
+    with pytest.raises(StreamingQueryException):
+        S.stream_new_urls(urls, log, ck)
+    monkeypatch.setattr(S, "_batch_place", ran)
+    S.stream_new_urls(urls, log, ck)
+    seen = spark.read.schema(S.SEEN).parquet(log)
+    assert seen.count() == seen.select("url").distinct().count() == 15
+
+
+def test_a_log_is_folded_into_the_stored_sources(spark, tmp_path):
+    folder, log, kb = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "kb")
+    for rows in BATCHES:
+        change_file(spark, folder, rows)
+        S.stream_upsert(spark.readStream.schema(CHANGE).parquet(str(folder)), log, str(tmp_path / "ck"))
+    expected = sorted(S.current_sources(spark, log).select(*SOURCE_NAMES).collect())
+    S.fold_changes(spark, log, kb)
+    assert sorted(read_kb(spark, kb, "sources").collect()) == expected
+    S.fold_changes(spark, log, kb)
+    assert sorted(read_kb(spark, kb, "sources").collect()) == expected
+    # A second log, with a query of its own, goes on from there.
+    more = tmp_path / "more"
+    change_file(spark, more, [(1, "a", "A3", "a3", "success", "2024-01-04")])
+    S.stream_upsert(spark.readStream.schema(CHANGE).parquet(str(more)), str(tmp_path / "log2"), str(tmp_path / "ck2"))
+    now = S.current_sources(spark, str(tmp_path / "log2"), base=read_kb(spark, kb, "sources"))
+    assert {r.id: r.content for r in now.collect()} == {r.id: r.content for r in expected} | {
+        r.id: "a3" for r in expected if (r.notebook_id, r.url) == (1, "a")
+    }
+
+
+def test_resumed_pages_are_read_where_they_lie(spark, tmp_path):
+    rows = [(i, f"https://a.org/{i}", f"<p>page {i}") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    save_pages(pages, "resume_test", str(tmp_path / "pages"), 16)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")
+    try:
+        urls = spark.createDataFrame([(f"https://a.org/{i}",) for i in range(0, 60, 2)], "url string")
+        wanted = pages_at(saved_pages(spark, "resume_test"), urls)
+        lines = plan_of(wanted).splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "html#" in line)
+        assert "Bucketed: true" in lines[scan] and not any("Exchange" in line for line in lines[:scan])
+        assert wanted.count() == 25
+        done = spark.createDataFrame([("https://a.org/2", "success")], "url string, status string")
+        run = run_crawl(urls, saved_pages(spark, "resume_test"), CrawlConfig("https://a.org"), NOW, done)
+        assert tuple(run.summary.first()) == (24, 24, 0, 1)
+    finally:
+        spark.conf.unset(limit)
+        spark.sql("DROP TABLE resume_test")
+
+
+def test_failures_are_extracted_once(spark, monkeypatch):
+    results = spark.createDataFrame([(f"u{i:02}", "failed", "e") for i in range(12)] + [("v", "success", "")], "url string, status string, error string")
+    sample = failed_sample(results)
+    assert "ExistingRDD" not in plan_of(sample) and [r.n_more for r in sample.collect()] == [2] * 10
+
+
 def test_crawl_run(spark, tmp_path):
     urls = spark.createDataFrame(
         [(u,) for u in ("https://a.org/en/1", "https://a.org/en/2", "https://a.org/de/3", "https://b.org/4", "https://a.org/en/5")],
@@ -124,52 +210,96 @@ def test_tables_round_trip(spark, tmp_path):
     assert write_kb(rows, folder, "notebooks") == 0
     more = append_notebooks(read_kb(spark, folder, "notebooks"), spark.createDataFrame([("m",)], "name string"), NOW)
     assert write_kb(more, folder, "notebooks") == 1
-    # A version without its mark was never finished.
-    rows.write.parquet(f"{folder}/notebooks/version=2")
-    (tmp_path / "notebooks" / "version=2" / "_SUCCESS").unlink()
     assert {r.name for r in read_kb(spark, folder, "notebooks").collect()} == {"n", "m"}
     assert write_kb(rows, folder, "notebooks") == 2
     assert [r.name for r in read_kb(spark, folder, "notebooks").collect()] == ["n"]
 
 
-def test_upsert_rewrites_only_the_buckets_of_its_notebooks(spark, tmp_path):
-    folder, schema = str(tmp_path), KB_TABLES["sources"]
-    when = datetime.datetime(2024, 1, 1)
-    rows = [(i, i % 20, f"u{i}", "t", "text", "success", when) for i in range(1, 101)]
-    names = ["id", "notebook_id", "url", "title", "content", "status", "last_updated"]
-    table = spark.createDataFrame(rows, "id bigint, notebook_id bigint, url string, title string, content string, "
-                                  "status string, last_updated timestamp")
-    write_kb(table, folder, "sources")
-    assert read_kb(spark, folder, "sources").schema.simpleString() == schema.simpleString()
-    before = set(read_kb(spark, folder, "sources").inputFiles())
-    later = when + datetime.timedelta(days=1)
+SOURCE_NAMES = ["id", "notebook_id", "url", "title", "content", "status", "last_updated"]
+WHEN = datetime.datetime(2024, 1, 1)
+LATER = WHEN + datetime.timedelta(days=1)
+
+
+def stored_sources(spark, folder):
+    rows = [(i, i % 20, f"u{i}", "t", "text", "success", WHEN) for i in range(1, 101)]
+    write_kb(spark.createDataFrame(rows, KB_TABLES["sources"]), folder, "sources")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def log_of(spark, folder):
+    return read_log(spark, f"{folder}/sources", KB_TABLES["sources"])
+
+
+def test_changes_are_appended_and_resolved_on_read(spark, tmp_path):
+    folder = str(tmp_path)
+    stored_sources(spark, folder)
+    assert read_kb(spark, folder, "sources").schema.simpleString() == KB_TABLES["sources"].simpleString()
     batch = spark.createDataFrame(
-        [(3, "u3", "v2", "new", "success", later), (3, "fresh", "v1", "new", "success", later)],
-        "notebook_id bigint, url string, title string, content string, status string, last_updated timestamp",
+        [(3, "u3", "v2", "new", "success", LATER), (3, "fresh", "v1", "new", "success", LATER), (4, "u4", "", "", "failed", LATER)], CHANGE
     )
     upsert_stored(batch, folder)
     after = read_kb(spark, folder, "sources")
-    touched = bucket_numbers(read_kb(spark, folder, "sources", batch).inputFiles())
-    assert len(touched) == 1
-    assert {f for f in before if bucket_numbers([f]) != touched} == {
-        f for f in after.inputFiles() if bucket_numbers([f]) != touched
+    changed = {r.url: tuple(r[c] for c in SOURCE_NAMES[:5]) for r in after.filter(F.col("last_updated") == LATER).collect()}
+    assert changed == {"u3": (3, 3, "u3", "v2", "new"), "fresh": (101, 3, "fresh", "v1", "new"), "u4": (4, 4, "u4", "t", "text")}
+    assert after.count() == 101 and log_of(spark, folder).filter("change = 1").count() == 3
+    # Readers of some notebooks look at the files of their buckets only.
+    english = read_kb(spark, folder, "sources", batch)
+    assert "PartitionFilters: [" in plan_of(english) and "bucket#" in plan_of(english).split("PartitionFilters: [")[1].split("]")[0]
+    assert {r[0] for r in english.select(bucket_of(F.col("notebook_id"))).collect()} == {
+        r[0] for r in batch.select(bucket_of(F.col("notebook_id"))).collect()
     }
-    changed = {r.url: tuple(r[c] for c in names[:5]) for r in after.filter("content = 'new'").collect()}
-    assert changed == {"u3": (3, 3, "u3", "v2", "new"), "fresh": (101, 3, "fresh", "v1", "new")}
-    assert after.count() == 101
-    # Deleting all rows of a notebook leaves nothing of it behind, and a write that was stopped counts for nothing.
+    # Deleting all rows of a notebook leaves nothing of it behind.
     gone = after.filter("notebook_id = 3").select("id", "notebook_id")
-    delete_stored_sources(gone, folder)
-    assert sorted(r.id for r in read_kb(spark, folder, "sources").collect()) == [i for i in range(1, 101) if i % 20 != 3]
-    table.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{folder}/sources/rows/version=3")
-    assert read_kb(spark, folder, "sources").count() == 95
-    assert write_kb(table, folder, "sources") == 3
-    assert read_kb(spark, folder, "sources").count() == 100
-    nothing = batch.limit(0)
-    upsert_stored(nothing, folder)
+    delete_stored_sources(gone.unionByName(spark.createDataFrame([(7, 999)], gone.schema)), folder)
+    left = [i for i in range(1, 101) if i % 20 != 3]
+    assert sorted(r.id for r in read_kb(spark, folder, "sources").collect()) == left
+    # A deleted address comes back under a new id.
+    upsert_stored(batch.filter("url = 'u3'"), folder)
+    assert read_kb(spark, folder, "sources").filter("url = 'u3'").first().id == 98 + 3
+    upsert_stored(batch.limit(0), folder)
+    compact_kb(spark, folder, f"{folder}-compact")
+    for path in (folder, f"{folder}-compact"):
+        assert sorted(r.id for r in read_kb(spark, path, "sources").collect()) == [*left, 101]
+    assert log_of(spark, f"{folder}-compact").count() == 96
+    stored_sources(spark, folder)
     assert read_kb(spark, folder, "sources").count() == 100
 
 
+def test_buckets_are_replaced_and_a_stopped_write_is_made_good(spark, tmp_path):
+    folder = str(tmp_path)
+    stored_sources(spark, folder)
+    three = spark.createDataFrame([(3,)], "notebook_id bigint")
+    rows = read_kb(spark, folder, "sources", three)
+    write_kb(rows.filter("notebook_id <> 3"), folder, "sources", three)
+    assert sorted({r.notebook_id for r in read_kb(spark, folder, "sources").collect()}) == [n for n in range(20) if n != 3]
+    # Half of a change is there, then the whole change is written again.
+    batch = spark.createDataFrame([(1, "u1", "v2", "new", "success", LATER), (5, "x", "v", "new", "success", LATER)], CHANGE)
+    upsert_stored(batch.limit(1), folder)
+    upsert_stored(batch, folder)
+    assert sorted(r.url for r in read_kb(spark, folder, "sources").filter("content = 'new'").collect()) == ["u1", "x"]
+
+
+def test_unchanged_texts_are_not_moved_by_a_read(spark, tmp_path):
+    folder = str(tmp_path)
+    stored_sources(spark, folder)
+    upsert_stored(spark.createDataFrame([(3, "u3", "v2", "new", "success", LATER)], CHANGE), folder)
+    plan = plan_of(read_kb(spark, folder, "sources"))
+    texts = next(line for line in plan.splitlines() if "FileScan" in line and "content#" in line)
+    above = plan.splitlines()[:plan.splitlines().index(texts)]
+    assert sum("BroadcastHashJoin" in line for line in above) == 2 and not any("Exchange hashpartitioning" in line for line in above)
+
+
+def test_upserts_do_not_aggregate_texts(spark):
+    current = spark.createDataFrame([(1, 1, "u", "t", "text", "success", WHEN)], KB_TABLES["sources"])
+    batch = spark.createDataFrame([(1, "u", "v2", "new", "success", LATER), (1, "w", "x", "y", "success", LATER)], CHANGE)
+    rows = upsert_sources(current, batch)
+    assert "Aggregate" not in plan_of(rows)
+    assert {(r.id, r.url, r.content) for r in rows.collect()} == {(1, "u", "new"), (2, "w", "y")}
+
+
 def test_delete_stored_notebooks(spark, tmp_path):
     folder = str(tmp_path)
     stamp = F.lit(NOW).cast("timestamp")
@@ -183,7 +313,3 @@ def test_delete_stored_notebooks(spark, tmp_path):
     assert [r.id for r in read_kb(spark, folder, "notebooks").collect()] == [2]
     assert {r.id for r in read_kb(spark, folder, "chat_logs").collect()} == {2, 3}
     assert read_kb(spark, folder, "sources").count() == 0
-
-
-def bucket_numbers(files):
-    return {re.search(r"bucket=(\d+)", f).group(1) for f in files}
