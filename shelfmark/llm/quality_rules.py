@@ -1,9 +1,9 @@
 """Quality rules on documents with the frequency of their lines across documents.
 
 Lines are normalised (lower case, single spaces) and hashed together with their host. For each host the
-different documents that hold a line are counted; copies of one text count once. A line above the limit of
-its host is boilerplate and removed; a document that keeps too little is rejected, as is one that fails the
-base rules.
+different documents that hold a line are counted, and the different documents of the host; copies of one text count
+once in both. A line in more than a share of these, and in more than a few, is boilerplate and removed; a document
+that keeps too little is rejected, as is one that fails the base rules.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ SYMBOLS = "[#*$%&|<>]"
 GRAM = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
-LIMIT_DOCS = 50
-LIMIT_SHARE = 0.01
+#: A line of a host is frequent in more than this share of its different texts, and in more than so many.
+LIMIT_SHARE = 0.05
+LEAST_DOCS = 5
 LEAST_LEFT = 0.3
 
 
@@ -90,35 +91,35 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(
-    measures: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE
+    measures: DataFrame, limit_share: float = LIMIT_SHARE, least_docs: int = LEAST_DOCS
 ) -> DataFrame:
-    """``key, docs``: lines in more than ``limit_docs`` different documents of a host and in more than
-    ``limit_share`` of its documents. All lines of all documents are counted; each step combines in the map
-    tasks, so a line of every document sends a row a task."""
-    hosts = measures.groupBy(F.col("host_key").alias("of_host")).agg(F.count("*").alias("host_docs"))
+    """``key, docs``: lines in more than ``limit_share`` of the different texts of a host, and in more than
+    ``least_docs`` of them. All lines of all texts are counted; each step combines in the map tasks, so a line of
+    every document sends a row a task."""
+    texts = measures.select("host_key", "tkey").distinct()
+    hosts = texts.groupBy(F.col("host_key").alias("of_host")).agg(F.count("*").alias("host_docs"))
     lines = measures.select("host_key", "tkey", F.explode("lines.key").alias("key")).distinct()
     counts = lines.groupBy("key").agg(F.count("*").alias("docs"), F.first("host_key").alias("of_host"))
-    often = counts.filter(F.col("docs") > limit_docs).join(hosts, "of_host")
+    often = counts.filter(F.col("docs") > least_docs).join(hosts, "of_host")
     return stored(
         often.filter(F.col("docs") > limit_share * F.col("host_docs")).select("key", "docs"), "frequent-lines"
     )
 
 
 def verdicts(
-    docs: DataFrame, host: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE,
+    docs: DataFrame, host: str = "source", limit_share: float = LIMIT_SHARE, least_docs: int = LEAST_DOCS,
     least_left: float = LEAST_LEFT,
 ) -> DataFrame:
     """Base measures and verdict for every row of ``docs``.
 
     ``base_failed``: fewer than 10 words, or over 20 % of the words in repeated five-word windows. A document
-    is depleted if, without the lines above the limit, fewer than 10 words or less than ``least_left`` of its
-    words are left. ``kept`` is false in both cases. ``n_frequent_lines`` and ``words_left`` tell the effect
+    is depleted if, without the lines above the limit, less than ``least_left`` of its words are left. ``kept`` is false in both cases. ``n_frequent_lines`` and ``words_left`` tell the effect
     of the lines. A NULL text has no words; a NULL host is a host of its own, the empty name. Rows that
     repeat id and text get a row each; copies of a text count once in line frequencies. An empty table gives
     no rows; other columns are not read.
     """
     measures = measured(docs, host)
-    frequent = frequent_lines(measures, limit_docs, limit_share)
+    frequent = frequent_lines(measures, limit_share, least_docs)
     removed = (
         measures.select("row", F.explode("lines").alias("line"))
         .select("row", "line.key", "line.n")
@@ -130,7 +131,7 @@ def verdicts(
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
-    depleted = (F.col("words_left") < LEAST_WORDS) | (F.col("words_left") < least_left * F.col("n_words"))
+    depleted = F.col("words_left") < least_left * F.col("n_words")
     return (
         measures.drop("lines")
         .join(removed, "row", "left")
@@ -145,11 +146,15 @@ def verdicts(
 
 
 def without_frequent_lines(
-    docs: DataFrame, host: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE
+    docs: DataFrame, host: str = "source", limit_share: float = LIMIT_SHARE, least_docs: int = LEAST_DOCS
 ) -> DataFrame:
-    """``docs`` with the lines above the limit taken out of ``text``, all columns and rows kept."""
+    """``docs`` with the lines above the limit taken out of ``text``, all columns and rows kept.
+
+    A NULL host is the host of the empty name, a NULL text stays NULL. Rows that repeat id and text lose the same
+    lines each; an empty table gives no rows; columns of any other name pass through.
+    """
     measures = measured(docs, host)
-    frequent = frequent_lines(measures, limit_docs, limit_share)
+    frequent = frequent_lines(measures, limit_share, least_docs)
     of_id, of_key, gone, key = fresh(docs, "of_id", "of_key", "gone", "tkey")
     removed = (
         measures.select("doc_id", "tkey", F.explode("lines.key").alias("key"))

@@ -79,10 +79,10 @@ WITH d AS (
     FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), hosts AS (
-    SELECT host, count(*) AS docs FROM d GROUP BY host
+    SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host
 ), often AS (
     SELECT host, norm FROM lines JOIN hosts USING (host) GROUP BY host, norm, docs
-    HAVING count(DISTINCT text) > 50 AND count(DISTINCT text) > 0.01 * docs
+    HAVING count(DISTINCT text) > 5 AND count(DISTINCT text) > 0.05 * docs
 ), by_line AS (
     SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
            count(*) FILTER (o.norm IS NOT NULL) AS n_frequent_lines, sum(n) FILTER (o.norm IS NOT NULL) AS gone
@@ -105,7 +105,7 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
-           AND NOT (words_left < 10 OR words_left < 0.3 * n_words) AS kept,
+           AND NOT words_left < 0.3 * n_words AS kept,
        n_frequent_lines, words_left
 FROM base
 """)

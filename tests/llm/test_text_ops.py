@@ -116,6 +116,25 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert texts[100] == "few words" and texts[3].startswith("own text number 3 ") and texts[101] == rows[61][1]
 
 
+def test_line_limits_fire_on_small_hosts_and_copies_do_not_move_them(spark):
+    notice = "this line of a notice is on every page of the host that we look at here today"
+
+    def own(i):
+        return notice + f"\nown text number {i} " + " ".join(f"w{i}x{k}" for k in range(20))
+
+    rows = [(i, own(i), "en", "small", 0) for i in range(20)] + [(50, notice + "\nfew words", "en", "small", 0)]
+    rows += [(100 + i, own(i), "en", None, 0) for i in range(6)] + [(200 + i, own(i), "en", "five", 0) for i in range(5)]
+    found = {r.doc_id: r for r in quality_rules.verdicts(docs_of(spark, rows)).collect()}
+    assert all(found[i].n_frequent_lines == 1 for i in [*range(20), 50, *range(100, 106)])
+    assert all(found[200 + i].n_frequent_lines == 0 for i in range(5)) and not found[50].kept
+    copies = [(1000 + i, PROSE, "en", "small", 0) for i in range(7000)]
+    more = {r.doc_id: r for r in quality_rules.verdicts(docs_of(spark, rows + copies, clashes=False)).collect()}
+    assert all(more[i] == found[i] for i in found) and all(more[c[0]].kept for c in copies)
+    assert quality_rules.without_frequent_lines(empty_of(docs_of(spark))).count() == 0
+    texts = {r.doc_id: r.text for r in quality_rules.without_frequent_lines(docs_of(spark, rows)).collect()}
+    assert not texts[103].startswith(notice) and texts[203].startswith(notice)
+
+
 def language_rows():
     words = {"aa": "balo miru santo kelim", "bb": "zrek tvost grund pfalz", "cc": "ouvre cheaux dellez parque"}
     return [
