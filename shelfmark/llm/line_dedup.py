@@ -1,13 +1,17 @@
 """Removal of repeated runs of lines by winnowing.
 
-Every line with a word has a 64-bit hash. In each window of consecutive lines the smallest hash (the
-rightmost of equal ones) is selected. Fewer lines are a window of their own if they have ``LONG_WORDS`` words
-together, or if they are a whole document of at least as many words as a window has lines. The
-fingerprint is that place, keyed by all lines of its window, so that a line which is common on its own does
-not hide a longer repeat. Each occurrence of a fingerprint is joined with its first occurrence in document
-order, pairs on the same diagonal become one alignment, and along it the match is extended both ways, line by
-line. The later run is deleted if it holds one of these windows. So every run of ``WINDOW`` lines or
-``LONG_WORDS`` words that came before anywhere goes, as do later copies of short documents, and the first occurrence of a line is never deleted.
+Every line with a word has a hash. A gram is the shortest run of lines from a line on that has ``GRAM`` lines or
+``LONG_WORDS`` words, hashed as a whole to 128 bits. In each window of ``WINDOW`` consecutive grams the one with the
+smallest hash (the rightmost of equal ones) is selected; grams of ``LONG_WORDS`` words are selected always. Only
+selected grams become fingerprints, once for each place. So every repeated run of ``GRAM + WINDOW - 1`` lines, and
+every one that holds a gram of ``LONG_WORDS`` words, shares a fingerprint with its earlier occurrence. A whole
+document with fewer lines and words is one gram of its own kind.
+
+A fingerprint is joined with its first place in document order. As that place may lie in a shorter run that hides a
+longer one, it is also joined with the first place that has the line before it, too, and with the first that has the
+line after it. From there the match is extended line by line both ways over what lies between two fingerprints, so
+a fingerprint carries the hashes of a few lines on its sides and no document is compared as a whole. Later runs are
+deleted; a deleted line always has an equal one before it, so the first occurrence of a line stays.
 """
 
 from __future__ import annotations
@@ -18,22 +22,27 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import WORD, text_key, text_of
 from shelfmark.session import stored
 
-WINDOW = 3
+GRAM = 3
+WINDOW = 2
 LONG_WORDS = 50
+#: Lines at each side of a fingerprint to which its match can be extended.
+SIDE = max(WINDOW, GRAM) - 1
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def hashed_lines(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """``doc_id, tkey, at, hashes, reach, brief``: places and hashes of the lines with a word, for each line the
-    number of lines under ``window`` that have ``long_words`` words from there on (else 0), and whether the whole
-    text is a window of fewer lines."""
+def hashed_lines(docs: DataFrame, gram: int, long_words: int) -> DataFrame:
+    """``doc_id, tkey, at, hashes, others, reach, long``: places and two hashes of the lines with a word, for each line
+    the number of lines of its gram (0 if there is none), and whether that has ``long_words`` words."""
     lines = F.filter(
         F.transform(
             lines_of(F.col("text")),
-            lambda line, i: F.struct(i.alias("at"), F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("n")),
+            lambda line, i: F.struct(
+                i.alias("at"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("o"),
+                F.regexp_count(line, F.lit(WORD)).alias("n"),
+            ),
         ),
         lambda x: x["n"] > 0,
     )
@@ -42,105 +51,112 @@ def hashed_lines(docs: DataFrame, window: int, long_words: int) -> DataFrame:
 
     def reach(i: Column) -> Column:
         words, found = F.lit(0), F.lit(0)
-        for k in range(1, window):
+        for k in range(1, gram + 1):
             words = words + F.get(F.col("lines"), i + (k - 1))["n"]
             found = F.when((found == 0) & (words >= long_words), k).otherwise(found)
-        return found
+        # Below zero where the gram has its lines, not its words.
+        return F.when((found == 0) & (i + gram <= F.size("lines")), -gram).otherwise(found)
 
     words = F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, x: n + x["n"])
+    told = found.select(
+        "doc_id", "tkey", F.col("lines.at").alias("at"), F.col("lines.h").alias("hashes"), F.col("lines.o").alias("others"),
+        F.transform("lines", lambda x, i: reach(i)).alias("reach"), words.alias("words"),
+    )
     return stored(
-        found.select(
-            "doc_id", "tkey", F.col("lines.at").alias("at"), F.col("lines.h").alias("hashes"),
-            F.transform("lines", lambda x, i: reach(i)).alias("reach"),
-            ((F.size("lines") < window) & (words >= window)).alias("brief"),
+        told.select(
+            "doc_id", "tkey", "at", "hashes", "others", F.transform("reach", F.abs).alias("reach"),
+            F.transform("reach", lambda k: k > 0).alias("long"), "words",
         ).dropDuplicates(["doc_id", "tkey"]),
         "line-hashes",
     )
 
 
-def fingerprints(lines: DataFrame, window: int) -> DataFrame:
-    """``doc_id, tkey, h, pos``: for every window the hash of its lines and the place selected in it."""
-    places = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), (-i).alias("back")))
-    starts = F.sequence(F.lit(1), F.size("hashes") - window + 1)
-    rows = lines.withColumn("places", places).withColumn(
-        "starts", F.when(F.size("hashes") >= window, starts).otherwise(F.array().cast("array<int>"))
-    )
-    minima = F.transform(
-        "starts",
-        lambda s: F.struct(
-            F.xxhash64(F.slice("hashes", s, F.lit(window))).alias("h"),
-            F.array_min(F.slice("places", s, F.lit(window)))["back"].alias("back"),
+def fingerprints(lines: DataFrame, gram: int, window: int, side: int = SIDE) -> DataFrame:
+    """``doc_id, tkey, pos, size, a, b, before, after, at``: the selected grams with two hashes, the hashes of the
+    lines on both sides, the nearest first, and the places of all these lines in the text."""
+    def run(column: str, start: Column, size: Column) -> Column:
+        return F.slice(column, start + 1, size)
+
+    grams = F.transform(
+        F.filter(F.transform("reach", lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: x["k"] > 0),
+        lambda x: F.struct(
+            F.xxhash64(run("hashes", x["i"], x["k"])).alias("a"), (-x["i"]).alias("back"), x["k"].alias("k"),
+            F.xxhash64(run("others", x["i"], x["k"])).alias("b"), F.get("long", x["i"]).alias("long"),
         ),
     )
-    long = F.transform(
-        F.filter(F.transform("reach", lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: x["k"] > 0),
-        lambda x: F.struct(F.xxhash64(F.slice("hashes", x["i"] + 1, x["k"])).alias("h"), (-x["i"]).alias("back")),
+    # Grams of consecutive lines have consecutive places, except that the last lines of a text may have none.
+    starts = F.when(F.size("grams") >= window, F.sequence(F.lit(1), F.size("grams") - window + 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    minima = F.transform("starts", lambda s: F.array_min(F.slice("grams", s, F.lit(window))))
+    chosen = F.array_distinct(F.concat(minima, F.filter("grams", lambda g: g["long"])))
+    # A document too short for a window is one gram; the zero keeps it apart from the same lines in longer ones.
+    whole = F.struct(
+        F.xxhash64(F.lit(0), F.col("hashes")).alias("a"), F.lit(0).alias("back"), F.size("hashes").alias("k"),
+        F.xxhash64(F.lit(0), F.col("others")).alias("b"), F.lit(False).alias("long"),
     )
-    # The 0 keeps whole documents apart from the same lines inside longer ones.
-    brief = F.when(
-        F.col("brief"), F.array(F.struct(F.xxhash64(F.lit(0), F.col("hashes")).alias("h"), F.lit(0).alias("back")))
-    ).otherwise(F.array())
-    return rows.select("doc_id", "tkey", F.inline(F.concat(minima, long, brief))).select(
-        "doc_id", "tkey", "h", (-F.col("back")).alias("pos")
+    brief = (F.size("hashes") < gram + window - 1) & (F.col("words") >= gram)
+    rows = lines.withColumn("grams", grams).withColumn("starts", starts).withColumn("chosen", chosen)
+    picked = F.when((F.size("chosen") == 0) & brief, F.array(whole)).otherwise(F.col("chosen"))
+    told = rows.select("doc_id", "tkey", "hashes", "at", F.explode(picked).alias("g")).withColumn("pos", -F.col("g.back"))
+    lead = F.least(F.col("pos"), F.lit(side))
+    stop = F.col("pos") + F.col("g.k")
+    trail = F.least(F.size("hashes") - stop, F.lit(side))
+    return told.select(
+        "doc_id", "tkey", "pos", F.col("g.k").alias("size"), "g.a", "g.b",
+        F.reverse(run("hashes", F.col("pos") - lead, lead)).alias("before"), run("hashes", stop, trail).alias("after"),
+        run("at", F.col("pos") - lead, lead + F.col("g.k") + trail).alias("at"),
     )
 
 
-def alignments(prints: DataFrame) -> DataFrame:
-    """``doc_id, tkey, src_id, src_key, delta``: a document against one that has one of its fingerprints
-    first, at the distance of both places. Along it, each line of the document comes later than its partner."""
-    place = F.struct("doc_id", "tkey", "pos")
-    first = prints.groupBy("h").agg(F.min(place).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return (
-        prints.join(first, "h")
-        .filter(~place.eqNullSafe(F.col("src")))
-        .select(
-            "doc_id", "tkey", F.col("src.doc_id").alias("src_id"), F.col("src.tkey").alias("src_key"),
-            (F.col("pos") - F.col("src.pos")).alias("delta"),
-        )
-        .distinct()
+def keyed(prints: DataFrame) -> DataFrame:
+    """Each fingerprint under its own key, and under those with the line before and the line after it."""
+    near = lambda kind, line: F.struct(F.lit(kind).alias("kind"), line.alias("line"))
+    keys = F.filter(
+        F.array(near(0, F.lit(0).cast("bigint")), near(1, F.get("before", F.lit(0))), near(2, F.get("after", F.lit(0)))),
+        lambda x: x["line"].isNotNull(),
     )
+    return prints.select("*", F.inline(keys))
 
 
-def repeated_places(lines: DataFrame, aligned: DataFrame, window: int) -> DataFrame:
-    """``doc_id, tkey, removed``: the places, in the original text, of the lines to delete."""
-    src = lines.select(F.col("doc_id").alias("s_id"), F.col("tkey").alias("s_key"), F.col("hashes").alias("src"))
-    pairs = (
-        aligned.withColumnsRenamed({"doc_id": "a_id", "tkey": "a_key"})
-        .join(src, F.col("src_id").eqNullSafe(F.col("s_id")) & (F.col("src_key") == F.col("s_key")))
-        .join(lines, F.col("a_id").eqNullSafe(F.col("doc_id")) & (F.col("a_key") == F.col("tkey")))
-        .select("doc_id", "tkey", "delta", "src", "hashes", "at", "reach", "brief")
-    )
-    # One character a line: 0 differs, 1 equals, other ones equal and have enough words with 0, 1, .. lines after it.
-    marks = ["1", *(chr(0x100 + k) for k in range(1, window))]
-    partner = lambda i: F.get(F.col("src"), i - F.col("delta"))
-    equal = F.transform(
-        "hashes",
-        lambda h, i: F.when(~h.eqNullSafe(partner(i)), "0").otherwise(
-            F.element_at(F.array(*map(F.lit, marks)), F.col("reach")[i] + 1)
-        ),
-    )
-    pieces = F.regexp_extract_all(F.array_join(equal, ""), F.lit("([^0]+|0+)"), F.lit(1))
-    enough = "|".join(f"{mark}.{{{k}}}" for k, mark in enumerate(marks[1:])) or r"\b\B"
-    whole = F.col("brief") & (F.size("src") == F.size("hashes"))
-    mask = F.transform(
-        pieces,
-        lambda p: F.when(
-            ~p.startswith("0")
-            & ((F.length(p) >= window) | p.rlike(enough) | (whole & (F.length(p) == F.size("hashes")))),
-            F.repeat(F.lit("x"), F.length(p)),
-        ).otherwise(p),
+def extended(own: str, other: str, side: int = SIDE) -> Column:
+    """How many of the nearest lines are equal."""
+    count, going = F.lit(0), F.lit(True)
+    for k in range(side):
+        going = going & F.coalesce(F.get(own, F.lit(k)) == F.get(other, F.lit(k)), F.lit(False))
+        count = count + F.when(going, 1).otherwise(0)
+    return count
+
+
+def repeated_places(prints: DataFrame) -> DataFrame:
+    """``doc_id, tkey, removed``: the places, in the original text, of the lines to delete.
+
+    Map tasks send one row a key for the first places, and a key of any share of the rows is split by the join.
+    """
+    rows = keyed(prints)
+    key = ["a", "b", "kind", "line"]
+    place = F.struct("doc_id", "tkey", "pos", F.col("before").alias("b0"), F.col("after").alias("a0"))
+    first = stored(
+        rows.groupBy(*key).agg(F.min(place).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-places"
     )
-    zipped = F.arrays_zip("at", F.split(F.array_join(mask, ""), "").alias("mark"))
-    gone = F.transform(F.filter("zipped", lambda z: z["mark"] == "x"), lambda z: z["at"])
-    places = pairs.select("doc_id", "tkey", zipped.alias("zipped")).select("doc_id", "tkey", F.explode(gone).alias("at"))
+    same = F.struct("doc_id", "tkey", "pos").eqNullSafe(F.struct("src.doc_id", "src.tkey", "src.pos"))
+    matches = rows.join(first, key).filter(~same)
+    ahead, behind = extended("before", "src.b0"), extended("after", "src.a0")
+    start = F.size("before") - ahead
+    gone = F.slice("at", start + 1, ahead + F.col("size") + behind)
+    places = matches.select("doc_id", "tkey", F.explode(gone).alias("at"))
     return places.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS
+) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` for every row: the text without later repeats of line runs.
 
-    A run goes if it has ``window`` lines or ``long_words`` words. A text of fewer lines goes whole if an earlier
-    one has the same lines and it has at least ``window`` words.
+    A run goes for certain if it has ``gram + window - 1`` lines, or in fewer lines ``long_words`` words; beside a
+    line of so many words up to ``gram - 1`` short lines at the end of the run may stay. No run goes that has neither
+    ``gram`` lines nor ``long_words`` words, except that a text of fewer lines goes whole if an earlier one has just
+    these lines and it has at least ``gram`` words.
 
     Documents come in the order of ``doc_id`` (NULL first), then of a hash of the text. Lines are the pieces
     between ``\\n``; lines without a word are skipped in matching and stay, unless no line with a word is left:
@@ -148,9 +164,8 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int =
     the same result. Repeats inside a document count too. An empty table gives no rows; other columns are not
     read.
     """
-    lines = hashed_lines(docs, window, long_words)
-    aligned = stored(alignments(fingerprints(lines, window)), "line-alignments")
-    removed = repeated_places(lines, aligned, window)
+    prints = fingerprints(hashed_lines(docs, gram, long_words), gram, window)
+    removed = repeated_places(stored(prints, "line-fingerprints"))
     texts = docs.select("doc_id", text_of().alias("text"), text_key().alias("tkey"))
     gone = removed.select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key"), "removed")
     joined = texts.join(

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import exact_dedup, jaccard_join, line_dedup
 from tests.llm.rows import AWKWARD, DOCS, collected, docs_of, empty_of
@@ -215,23 +216,82 @@ def test_line_dedup_of_random_texts(spark):
             assert "\n".join(run) not in found[d].text
 
 
-def test_every_repeated_window_of_lines_goes(spark):
-    """Of few different lines, most are common on their own; exactly the windows that came before are gone."""
-    rng = random.Random(11)
-    rows = [(i, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 14))), "", "", 0) for i in range(120)]
-    seen, expected = set(), {}
+def letters(seed, most=14):
+    rng = random.Random(seed)
+    return [(i, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, most))), "", "", 0) for i in range(120)]
+
+
+def repeated(rows, size):
+    """Of each document the lines in runs of ``size`` lines that came before."""
+    seen, out = set(), {}
     for doc_id, text, *_ in rows:
         lines = text.split("\n")
-        gone = set()
-        for i in range(len(lines) - 2):
-            if tuple(lines[i:i + 3]) in seen:
-                gone |= {i, i + 1, i + 2}
-            seen.add(tuple(lines[i:i + 3]))
-        expected[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
-    found = line_dedup.drop_repeated_lines(docs_of(spark, rows)).collect()
+        out[doc_id] = set()
+        for i in range(len(lines) - size + 1):
+            if tuple(lines[i:i + size]) in seen:
+                out[doc_id] |= set(range(i, i + size))
+            seen.add(tuple(lines[i:i + size]))
+    return out
+
+
+def test_every_repeated_gram_goes_if_each_is_selected(spark):
+    """Of few different lines, most are common on their own; exactly the runs that came before are gone."""
+    rows = letters(11)
+    gone = repeated(rows, 3)
+    expected = {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t, *_ in rows}
+    found = line_dedup.drop_repeated_lines(docs_of(spark, rows), window=1).collect()
     assert {r.doc_id: (r.text, r.n_removed) for r in found} == expected
 
 
+def removed_places(spark, rows, window=line_dedup.WINDOW):
+    lines = line_dedup.hashed_lines(docs_of(spark, rows, clashes=False), line_dedup.GRAM, line_dedup.LONG_WORDS)
+    prints = line_dedup.fingerprints(lines, line_dedup.GRAM, window)
+    return {r.doc_id: set(r.removed) for r in line_dedup.repeated_places(prints).collect()}, prints
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_guarantee_of_winnowing(spark, seed):
+    """All lines of repeated runs of four lines go, none outside of repeated runs of three or copies of short texts."""
+    rows = letters(seed, most=20)
+    must, may = repeated(rows, 4), repeated(rows, 3)
+    seen = set()
+    for doc_id, text, *_ in rows:
+        lines = text.split("\n") if text else []
+        if 3 <= len(lines) < 4:
+            may[doc_id] |= set(range(len(lines))) if text in seen else set()
+            must[doc_id] |= set(range(len(lines))) if text in seen else set()
+            seen.add(text)
+    found, prints = removed_places(spark, rows)
+    for doc_id, text, *_ in rows:
+        assert must[doc_id] <= found.get(doc_id, set()) <= may[doc_id], (doc_id, text)
+    assert any(len(m) for m in must.values())
+    n_lines = sum(len(t.split("\n")) for _, t, *_ in rows)
+    assert prints.count() < 0.8 * n_lines
+    assert prints.count() == prints.select("doc_id", "tkey", "pos").distinct().count()
+
+
+def test_borders_of_a_run_are_found_by_extension(spark, monkeypatch):
+    """A later run has lines on both sides of its outer fingerprints."""
+    runs = [[f"r{k} line {i}" for i in range(9)] for k in range(12)]
+    rows = [(k, "\n".join([f"in {k}", *run, f"out {k}"]), "", "", 0) for k, run in enumerate(runs)]
+    rows += [(100 + k, "\n".join([f"other {k}", *run, f"end {k}"]), "", "", 0) for k, run in enumerate(runs)]
+    # An earlier document that has the inner lines only, and so hides the borders from a join by grams alone.
+    rows += [(-1 - k, "\n".join([f"x {k}", *run[1:8], f"y {k}"]), "", "", 0) for k, run in enumerate(runs)]
+    found, _ = removed_places(spark, rows)
+    assert all(found[100 + k] == set(range(1, 10)) for k in range(12))
+    assert all(found[k] == set(range(2, 9)) for k in range(12))
+    monkeypatch.setattr(line_dedup, "extended", lambda *a: F.lit(0))
+    plain, _ = removed_places(spark, rows)
+    assert any(plain[100 + k] != found[100 + k] for k in range(12))
+
+
+def test_long_lines_are_always_selected(spark):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(1, "\n".join(long), "", "", 0)] + [(2 + k, "\n".join([f"p {k}", x, f"q {k}"]), "", "", 0) for k, x in enumerate(long)]
+    found, _ = removed_places(spark, rows)
+    assert found == {2 + k: {1} for k in range(4)}
+
+
 def test_repeats_of_few_lines_go_by_their_words(spark):
     """Two lines of over 50 words together, and whole documents of one or two lines."""
     two = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("u", 43), ("v", 49))]
