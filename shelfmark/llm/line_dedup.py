@@ -131,9 +131,11 @@ def extended(own: str, other: str, side: int = SIDE) -> Column:
 def repeated_places(prints: DataFrame) -> DataFrame:
     """``doc_id, tkey, removed``: the places, in the original text, of the lines to delete.
 
-    Map tasks send one row a key for the first places, and a key of any share of the rows is split by the join.
+    Grams that occur once go first, on their hashes alone. Map tasks send one row a key for the first places, and a
+    key of any share of the rows is split by the joins.
     """
-    rows = keyed(prints)
+    again = stored(prints.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "repeated-grams")
+    rows = keyed(stored(prints.join(again, ["a", "b"], "left_semi"), "repeated-fingerprints"))
     key = ["a", "b", "kind", "line"]
     place = F.struct("doc_id", "tkey", "pos", F.col("before").alias("b0"), F.col("after").alias("a0"))
     first = stored(
