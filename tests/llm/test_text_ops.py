@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -204,6 +206,66 @@ def test_main_text(name):
     assert html_extract.main_text(page) == wanted
 
 
+PLAIN = "plain words of the text stand here. " * 6
+TEXT, NAV = f"<p>{PLAIN}</p>", "<nav><ul><li><a href=1>one</a><li><a href=2>two</a></ul></nav>"
+WHOLE = f"Head\n\n{PLAIN.strip()}"
+
+
+@pytest.mark.parametrize("page, wanted", [
+    (f'<div class="layout no-sidebar">{NAV}<article><h1>Head</h1>{TEXT}</article></div>', WHOLE),
+    (f'<div id="page" class="has-nav">{NAV}<h1>Head</h1>{TEXT}</div>', WHOLE),
+    (f'<form id="aspnetForm">{NAV}<h1>Head</h1>{TEXT}</form>', WHOLE),
+    (f'<form id="aspnetForm">{NAV}<article><h1>Head</h1>{TEXT}</article><footer>foot</footer></form>', WHOLE),
+    (f'<nav><ul><li><a href=1>one</a></ul><article><h1>Head</h1>{TEXT}</article><footer>foot</footer>', WHOLE),
+    (f'<nav><ul><li><a href=1>one</a></ul><h1>Head</h1>{TEXT}', WHOLE),
+    (f'<div id="post-side-effects-of-drug"><h1>Head</h1>{TEXT}</div>', WHOLE),
+    (f'<article><h1>Head</h1><div class="share-price">Now 12 dollars</div>{TEXT}<div class="share-buttons">Share</div></article>',
+     f"Head\n\nNow 12 dollars\n\n{PLAIN.strip()}"),
+    ("<h1>A heading</h1><p>One short paragraph of eight words is here.</p>", "A heading\n\nOne short paragraph of eight words is here."),
+    (f'<article><h1>Head</h1>{TEXT}<section class="comments"><article><p>I like it</p></article></section></article>', WHOLE),
+    (f'<article><h1>Head</h1>{TEXT}</article><div class="related"><article><a href=1>Other</a><p>its teaser</p></article></div>', WHOLE),
+    ("<div class='ad'>" * 60 + f"<article><h1>Head</h1>{TEXT}</article>" + "</div>" * 60, WHOLE),
+])
+def test_names_give_way_where_they_contradict_the_page(page, wanted):
+    assert html_extract.main_text(page) == wanted
+
+
+def test_verdicts_hang_on_the_neighbours():
+    """The same block among texts, among links and alone; and over the table, other neighbours change verdicts."""
+    tree = html_extract.trained_tree()
+    heading = [html_extract.is_main(tree, (3, 0.0, *near, 0)) for near in ((0, 0.0, 40, 0.0), (2, 1.0, 2, 1.0), (0, 0.0, 0, 0.0))]
+    linked = [html_extract.is_main(tree, (6, 1.0, *near, 1)) for near in ((40, 0.0, 40, 0.0), (40, 0.0, 3, 1.0))]
+    assert heading == [True, False, True] and linked == [True, False]
+    x, y = html_extract.labelled_table()
+    rng = np.random.default_rng(5)
+    moved = x.copy()
+    moved[:, 2:6] = moved[rng.permutation(len(x)), 2:6]
+    changed = np.array([html_extract.is_main(tree, tuple(row)) for row in moved]) != y
+    assert 0.02 < changed.mean() < 0.5 and changed[x[:, 6] == html_extract.FREE].mean() > 0.1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pages_without_article_against_their_making(seed):
+    """Pages put together from text and furniture without any names; the tree has only counts and neighbours."""
+    rng, right, total = random.Random(seed), 0, 0
+    for _ in range(60):
+        text = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([20, 40, 90]))) for _ in range(rng.randrange(2, 6))]
+        text.insert(0, "a heading here")
+        menu = [f"<li><a href={k}>item {k}</a>" for k in range(rng.randrange(3, 8))]
+        page = "<ul>" + "".join(menu) + "</ul>" + "".join(f"<p>{t}</p>" for t in text) + "<ul>" + "".join(menu) + "</ul><p>c 2024</p>"
+        found = html_extract.main_text(page).split("\n\n")
+        total += 1
+        right += found == text
+    assert right == total
+
+
+def test_open_elements_take_linear_time():
+    for page in ("<nav>" * 100_000, "<div class=ad>x" * 40_000 + "</div>" * 40_000, "<nav>x" * 60_000 + "</p>" * 60_000):
+        started = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - started < 5
+
+
 def test_tree_learns_its_table():
     x, y = html_extract.labelled_table()
     tree = html_extract.trained_tree()
