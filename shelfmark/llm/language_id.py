@@ -126,6 +126,35 @@ def logs(rows: list[tuple[str, str, int]], languages: list[str], totals: dict[st
     return items, np.log((counts + 0.5) / (total + 0.5 * max(len(items), 1)))
 
 
+def sampled(able: DataFrame, sample_docs: int) -> DataFrame:
+    """Stored ``in_id, in_key``: of each language the ``sample_docs`` documents with the smallest checksums.
+
+    Counts by language and range of checksums bound what is ordered, first over 4,096 ranges, then over as many
+    parts of the range where the bound lies. So a language of any size sends its counts, and then the sample and
+    one narrow range, to the task that orders it. Rows that repeat id and text count once in the sample.
+    """
+    text = F.xxhash64(text_of())
+    rows = able.select(
+        F.col("lang").cast("string").alias("lang"), "doc_id", text.alias("tkey"),
+        F.shiftrightunsigned(F.xxhash64("doc_id", text), 32).alias("sum"),
+    )
+    inside = F.lit(True)
+    for shift in (20, 8):
+        # Of each language the first range in which the number of rows reaches the sample.
+        counts = rows.filter(inside).groupBy("lang", F.shiftright("sum", shift).alias("range")).agg(F.count("*").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("range"))
+        reached = counts.withColumn("so_far", so_far).filter(F.col("so_far") >= sample_docs)
+        ends = dict(reached.groupBy("lang").agg(F.min("range")).collect())
+        end = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(e)) for lang, e in ends.items()], F.lit(1 << 32))
+        inside = F.shiftright("sum", shift) <= end
+    first = Window.partitionBy("lang").orderBy("sum", "doc_id", "tkey")
+    chosen = rows.filter(inside).distinct().withColumn("place", F.row_number().over(first))
+    return stored(
+        chosen.filter(F.col("place") <= sample_docs).select(F.col("doc_id").alias("in_id"), F.col("tkey").alias("in_key")).distinct(),
+        "language-sample",
+    )
+
+
 def trained(
     docs: DataFrame, sample_docs: int = SAMPLE_DOCS, kept_words: int = KEPT_WORDS, kept_grams: int = KEPT_GRAMS
 ) -> Model:
@@ -136,17 +165,7 @@ def trained(
     independent of the input; everything counted is counted by Spark.
     """
     able = docs.filter(F.col("lang").isNotNull() & ~held_out())
-    by = Window.partitionBy("lang").orderBy("sum", "doc_id", "tkey")
-    narrow = able.select(
-        F.col("lang").cast("string").alias("lang"), "doc_id", F.crc32(F.col("doc_id").cast("string")).alias("sum"),
-        F.xxhash64(text_of()).alias("tkey"),
-    )
-    ids = stored(
-        narrow.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= sample_docs).select(
-            F.col("doc_id").alias("in_id"), F.col("tkey").alias("in_key")
-        ).distinct(),
-        "language-sample",
-    )
+    ids = sampled(able, sample_docs)
     rows = able.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     sample = rows.join(
         ids, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.xxhash64("text") == F.col("in_key")), "left_semi"

@@ -148,21 +148,23 @@ def reachable(candidates: DataFrame) -> DataFrame:
     """``file, start`` of the candidates that chains from offset 0 reach.
 
     ``candidates`` has ``file, start, next``. In round k the reached set grows by everything 2**k records
-    further, and each pointer is joined with the pointer it leads to; rows are narrow and keyed by offset.
+    further, and each pointer is joined with the pointer it leads to; rows are narrow and keyed by offset. Stored
+    paths and offsets shrink many times, so Spark takes these tables for small; the hints keep it from sending them
+    to every executor.
     """
     jump = stored(
         candidates.join(
-            candidates.select("file", F.col("start").alias("next")), ["file", "next"], "left_semi"
+            candidates.select("file", F.col("start").alias("next")).hint("merge"), ["file", "next"], "left_semi"
         ).select("file", "start", "next"),
         "jumps",
     )
     reached = candidates.filter("start = 0").select("file", "start")
     while not jump.isEmpty():
-        further = reached.join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
+        further = reached.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("next").alias("start"))
         reached = stored(reached.unionByName(further).distinct(), "reached")
         beyond = jump.toDF("file", "next", "beyond")
         jump = stored(
-            jump.join(beyond, ["file", "next"]).select("file", "start", F.col("beyond").alias("next")), "jumps"
+            jump.join(beyond.hint("merge"), ["file", "next"]).select("file", "start", F.col("beyond").alias("next")), "jumps"
         )
     return reached
 
@@ -174,7 +176,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     candidates = cuts.filter("declared is not null").select(
         "file", "start", (F.col("start") + F.col("declared") + len(MAGIC)).alias("next")
     )
-    found = cuts.join(reachable(candidates), ["file", "start"], "left_semi")
+    found = cuts.join(reachable(candidates).hint("merge"), ["file", "start"], "left_semi")
     whole = F.col("declared") == F.col("bytes")
     fields = ["file", "start", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     broken = stored(found.filter(~whole).select("file", "start"), "broken-records")
@@ -194,11 +196,11 @@ def joined_records(spark: SparkSession, folder: str, broken: DataFrame) -> DataF
         "pieces",
     )
     placed = with_offsets(again.select("file", "block", "at", "bytes"))
-    marked = placed.join(broken.withColumn("head", F.col("start")), ["file", "start"], "left")
+    marked = placed.join(broken.withColumn("head", F.col("start")).hint("merge"), ["file", "start"], "left")
     # A file is bounded by its number of records, and these rows are narrow.
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     owned = marked.withColumn("head", F.last("head", ignorenulls=True).over(before)).filter("head is not null")
-    texts = owned.join(again.select("file", "block", "at", "value"), ["file", "block", "at"])
+    texts = again.select("file", "block", "at", "value").join(owned.hint("merge"), ["file", "block", "at"])
     head = texts.filter("start = head").withColumn("value", F.col("value"))
     length = parsed(head).select("file", "head", "declared")
     own = texts.join(length, ["file", "head"]).filter(F.col("start") - F.col("head") < F.col("declared"))

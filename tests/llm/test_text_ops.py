@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -12,6 +13,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
+from pyspark.sql import functions as F
 
 from shelfmark.llm import byte_bpe, html_extract, language_id, mixing, quality_rules, sharding
 from shelfmark.llm.queries import codec
@@ -154,6 +157,68 @@ def test_languages_of_held_out_rows(spark):
     assert any(r.held_out for r in found)
 
 
+@pytest.mark.parametrize("sample_docs", [1, 7, 100, 10_000])
+def test_sample_has_the_smallest_checksums_of_each_language(spark, sample_docs):
+    rows = [(i, f"text {i % 900}", "abc"[min(i % 7, 2)], "s", 0) for i in range(2000)] + [(None, f"x {i}", "a", "s", 0) for i in range(50)]
+    rows += [(5, "text 5", "c", "s", 0)] * 100
+    docs = docs_of(spark, rows)
+    found = Counter((r.in_id, r.in_key) for r in language_id.sampled(docs, sample_docs).collect())
+    key = F.xxhash64("text")
+    told = docs.select("lang", "doc_id", key.alias("k"), F.shiftrightunsigned(F.xxhash64("doc_id", key), 32).alias("s")).collect()
+    wanted = set()
+    for lang in "abc":
+        own = sorted({(r.s, -1 if r.doc_id is None else r.doc_id, r.k) for r in told if r.lang == lang})
+        wanted |= {(None if d == -1 else d, k) for _, d, k in own[:sample_docs]}
+    repeated = sample_docs < 10_000  # repeats of a row can only shorten the sample
+    assert set(found) <= wanted if repeated else set(found) == wanted
+    assert max(found.values()) == 1 and len(found) >= min(len(wanted), 3 * sample_docs) - 100
+
+
+def brute_language(rows, text, most_words, most_grams):
+    """Scores by plain counting: known words by their frequency, others by their longest known n-grams."""
+    words, grams = defaultdict(Counter), {n: defaultdict(Counter) for n in (4, 3, 2, 1)}
+    for _, t, lang, *_ in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            words[lang][w] += 1
+    langs = sorted(words)
+
+    def tables(counts, most, full=None):
+        kept = {x: dict(sorted(counts[x].items(), key=lambda kv: (-kv[1], kv[0]))[:most]) for x in langs}
+        items = set().union(*kept.values())
+        totals = {x: max(sum((full or kept)[x].values()), 1) for x in langs}
+        return {i: [math.log((kept[x].get(i, 0) + 0.5) / (totals[x] + 0.5 * len(items))) for x in langs] for i in items}
+
+    for lang in langs:
+        for w, n in words[lang].items():
+            marked = f"\x02{w}\x03"
+            for k in grams:
+                for i in range(len(marked) - k + 1):
+                    grams[k][lang][marked[i:i + k]] += n
+    known = tables(words, most_words, words)
+    logs = {k: tables(grams[k], most_grams) for k in grams}
+    sums = [0.0] * len(langs)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        scores = known.get(w)
+        marked = f"\x02{w}\x03"
+        for k in grams:
+            if scores is None:
+                hits = [logs[k][g] for g in (marked[i:i + k] for i in range(len(marked) - k + 1)) if g in logs[k]]
+                scores = [sum(c) / len(hits) for c in zip(*hits, strict=True)] if hits else None
+        sums = [a + b for a, b in zip(sums, scores or [0.0] * len(langs), strict=True)]
+    shares = [math.exp(x - max(sums)) for x in sums]
+    return langs[sums.index(max(sums))], max(shares) / sum(shares)
+
+
+def test_scores_match_brute_force(spark):
+    fitted = [r for r in language_rows() if zlib.crc32(str(r[0]).encode()) % 5]
+    texts = ["balo miru", "zrekgrund tvost xx", "ouvre cheauxparque dellez", "kelimo granto", "qqq", "santo ouvre pfalz pfalz balomi", "balo grund"]
+    for kept in (3, 20_000):
+        model = language_id.trained(docs_of(spark, language_rows()), kept_words=kept, kept_grams=4 * kept)
+        for text, lang, score in zip(texts, *model.predict(texts), strict=True):
+            wanted = brute_language(fitted, text, kept, 4 * kept)
+            assert score == pytest.approx(wanted[1]) and (lang == wanted[0] or score < 0.51)
+
+
 def test_language_of_awkward_texts(spark):
     model = language_id.trained(docs_of(spark, language_rows()))
     found = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language_id.predicted(docs_of(spark), model).collect()}
@@ -259,6 +324,36 @@ def test_pages_without_article_against_their_making(seed):
     assert right == total
 
 
+def feistel(x, n, key):
+    """The network by plain numbers, with Spark's hash of two 64-bit numbers."""
+    a = math.isqrt(max(n, 1) - 1) + 1
+    b = -(-max(n, 1) // a)
+
+    def hashed(value, k):
+        h = xxhash.xxh64_intdigest((value % 2**64).to_bytes(8, "little"), 42)
+        h = xxhash.xxh64_intdigest((k % 2**64).to_bytes(8, "little"), h)
+        return h - 2**64 if h >> 63 else h
+
+    def once(x):
+        left, right = divmod(x, b)
+        for i in range(sharding.ROUNDS):
+            k = key * 1000 + i + 1
+            left = (left + hashed(right, k) % a) % a
+            right = (right + hashed(left, -k) % b) % b
+        return left * b + right
+
+    y = once(x)
+    while y >= n:
+        y = once(y)
+    return y
+
+
+def test_places_match_a_plain_feistel_network(spark):
+    rows = [(i, f"t{i}", "en", "s", 0) for i in range(137)]
+    found = {r.doc_id: (r.shard, r.slot) for r in sharding.shards_of(docs_of(spark, rows), 16, 99).collect()}
+    assert found == {i: ((y := feistel(i, 137, 99)) % 16, y // 16) for i in range(137)}
+
+
 def test_open_elements_take_linear_time():
     for page in ("<nav>" * 100_000, "<div class=ad>x" * 40_000 + "</div>" * 40_000, "<nav>x" * 60_000 + "</p>" * 60_000):
         started = time.process_time()
