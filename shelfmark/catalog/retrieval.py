@@ -162,15 +162,21 @@ def assemble_context(spark, sf):
 
 @query(
     f"""WITH {RANKED}
-SELECT notebook_id, c.query_id, '{R.PROMPT.split("{context}")[0]}' || context
-       || '{R.PROMPT.split("{context}")[1].split("{query}")[0]}' || b.text
-       || '{R.PROMPT.split("{query}")[1]}' AS prompt
+SELECT notebook_id, c.query_id,
+       'Anda adalah Asisten Pengetahuan spesifik untuk Notebook ini. Anda harus menjawab pertanyaan secara akurat HANYA '
+       || 'berdasarkan konteks yang diberikan.' || chr(10) || chr(10) || 'Konteks Sumber Data:' || chr(10) || context
+       || chr(10) || chr(10) || 'Pertanyaan: ' || b.text || chr(10) || chr(10) || 'Jawaban:' AS prompt
 FROM contexts c JOIN benchmark b ON b.item_id = c.query_id"""
 )
 def assemble_prompt(spark, sf):
     return R.assemble_prompt(contexts(spark, sf), I.questions(spark, sf)).drop("context")
 
 
-@query(f"SELECT 5::BIGINT AS notebook_id, item_id AS query_id, text AS query, '{R.EMPTY_ANSWER}' AS answer FROM benchmark")
+@query(
+    """SELECT 5::BIGINT AS notebook_id, item_id AS query_id, text AS query,
+       'Notebook ini belum memiliki dokumen atau data yang berhasil diimpor. '
+       || 'Silakan tambahkan sumber pengetahuan terlebih dahulu.' AS answer
+FROM benchmark"""
+)
 def guard_empty(spark, sf):
     return R.guard_empty(I.questions(spark, sf), corpus(spark, sf))

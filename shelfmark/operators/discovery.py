@@ -154,7 +154,7 @@ def frontier_pages(visited: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame, strict: bool = True) -> DataFrame:
-    """Internal links of ``pages(site, html)``: ``site, pos, url``.
+    """Internal links of ``pages(site, html)``: ``site, pos, link``.
 
     ``/x`` is appended to the site address, path and all; an address that begins with it is
     kept; everything else goes. ``strict`` also asks for the end of the host there, so that
