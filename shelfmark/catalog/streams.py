@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import inputs as I
+from shelfmark.catalog.crawl import ATTEMPTS
 from shelfmark.catalog.pages import EXTRACTED, SCRAPED_AT
 from shelfmark.catalog.registry import query
 from shelfmark.catalog.store import SOURCES, day
 from shelfmark.model import PAGE_RESULTS
 from shelfmark.operators.spread import positions
 from shelfmark.session import run_folder
+from shelfmark.streaming import attempts as A
 from shelfmark.streaming import jobs as S
 
 #: Files that the streams of the queries find, and how many a micro-batch takes.
@@ -77,3 +79,20 @@ def stream_new_urls(spark, sf):
     for run in range(2):
         S.stream_new_urls(addresses(spark, sf), f"{folder}/log", f"{folder}/ck{run}")
     return spark.read.schema(S.SEEN).parquet(f"{folder}/log").select("url")
+
+
+@query(
+    f"""WITH {ATTEMPTS}, counted AS (SELECT url, count(DISTINCT attempt) AS n FROM attempts WHERE attempt <= 3 GROUP BY url)
+SELECT url, status, attempts, error FROM resolved JOIN first_final USING (url) JOIN counted USING (url)
+WHERE final IS NOT NULL OR n = 3"""
+)
+def stream_resolve(spark, sf):
+    """Verdicts out of a stream of attempts, in files that come in any order; addresses whose attempts may still go
+    on have none."""
+    folder = run_folder(spark, "verdicts")
+    I.attempts(spark, sf).withColumn("at", I.ts(I.FIRST)).repartition(FILES).write.parquet(f"{folder}/in")
+    schema = "url string, attempt bigint, status_code int, timed_out boolean, error string, at timestamp"
+    attempts = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(f"{folder}/in")
+    for _ in range(2):
+        A.stream_verdicts(attempts, f"{folder}/out", f"{folder}/ck")
+    return spark.read.schema(A.VERDICTS).parquet(f"{folder}/out")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -16,6 +17,7 @@ from shelfmark.sources.changes import bucket_of, read_log
 from shelfmark.sources.pages import pages_at, save_pages, saved_pages
 from shelfmark.sources.readers import compact_kb, read_kb, write_kb
 from shelfmark.streaming import jobs as S
+from shelfmark.streaming.attempts import VERDICTS, stream_verdicts, verdict
 
 NOW = "2024-05-06 07:08:09"
 CHANGE = "notebook_id bigint, url string, title string, content string, status string, last_updated timestamp"
@@ -170,6 +172,58 @@ def test_resumed_pages_are_read_where_they_lie(spark, tmp_path):
         spark.sql("DROP TABLE resume_test")
 
 
+ATTEMPT = "url string, attempt bigint, status_code int, timed_out boolean, error string, t string"
+
+
+def add_attempts(spark, folder, rows):
+    df = spark.createDataFrame([(u, n, c, False, None, t) for u, n, c, t in rows], ATTEMPT)
+    df.withColumn("at", F.col("t").cast("timestamp")).drop("t").coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_verdicts_on_a_stream_of_attempts(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "url string, attempt bigint, status_code int, timed_out boolean, error string, at timestamp"
+
+    def run():
+        stream_verdicts(spark.readStream.schema(schema).parquet(str(folder)), out, str(tmp_path / "ck"), "10 minutes", 600_000)
+        return {(r.url, r.status, r.attempts, r.error) for r in spark.read.schema(VERDICTS).parquet(out).collect()}
+
+    add_attempts(spark, folder, [
+        ("final", 1, 200, "2024-01-01 00:00:00"), ("gone", 1, 404, "2024-01-01 00:00:00"), ("slow", 1, 503, "2024-01-01 00:00:00"),
+        ("turned", 2, 200, "2024-01-01 00:00:10"), ("stopped", 1, 503, "2024-01-01 00:00:00"), ("hole", 2, 429, "2024-01-01 00:00:00"),
+    ])
+    first = {("final", "success", 1, ""), ("gone", "failed", 1, "Status 404")}
+    assert run() == first
+    add_attempts(spark, folder, [
+        ("slow", 2, 503, "2024-01-01 00:01:00"), ("slow", 3, 429, "2024-01-01 00:02:00"), ("slow", 4, 200, "2024-01-01 00:03:00"),
+        ("turned", 1, 503, "2024-01-01 00:00:00"), ("final", 2, 503, "2024-01-01 00:02:00"),
+    ])
+    second = first | {("slow", "failed", 3, "Retryable status 429"), ("turned", "success", 2, "")}
+    assert run() == second
+    # The event time passes the expiry of the addresses whose attempts stopped.
+    add_attempts(spark, folder, [("later", 1, 200, "2024-01-01 02:00:00")])
+    run()
+    add_attempts(spark, folder, [("latest", 1, 200, "2024-01-01 02:00:01")])
+    assert run() == second | {
+        ("later", "success", 1, ""), ("latest", "success", 1, ""), ("stopped", "failed", 1, "Retryable status 503"),
+        ("hole", "failed", 2, "Retryable status 429"),
+    }
+    assert spark.read.schema(VERDICTS).parquet(out).count() == 8
+
+
+def test_verdicts_do_not_hang_on_the_order_of_arrival():
+    kinds = {"success": "", "failed": "f", "retry": "r"}
+    for outcomes in itertools.product(kinds, repeat=3):
+        final = next((i for i, o in enumerate(outcomes) if o != "retry"), None)
+        wanted = ("failed", 3, "r") if final is None else (outcomes[final], final + 1, kinds[outcomes[final]])
+        for order in itertools.permutations(range(3)):
+            known, given = {}, []
+            for i in order:
+                known[i + 1] = (outcomes[i], kinds[outcomes[i]])
+                given.append(verdict(known, 3, False))
+            assert {g for g in given if g} == {wanted}
+
+
 def test_failures_are_extracted_once(spark, monkeypatch):
     results = spark.createDataFrame([(f"u{i:02}", "failed", "e") for i in range(12)] + [("v", "success", "")], "url string, status string, error string")
     sample = failed_sample(results)
