@@ -11,6 +11,7 @@ from shelfmark.catalog.store import SOURCES
 from shelfmark.functions import vectors as V
 from shelfmark.operators import chunks as C
 from shelfmark.operators import retrieval as R
+from shelfmark.operators.nearest import nearest_top_k
 from shelfmark.operators.spread import spread_lookup
 from shelfmark.operators.store import notebook_corpus
 from shelfmark.plans.notebooks import chunk_table
@@ -109,10 +110,11 @@ def hashed_embed(spark, sf):
     )
 
 
-CENTROIDS = """cells AS (
+MEANS = """cells AS (
   SELECT label::BIGINT AS label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings
-), means AS (SELECT label, dim, avg(x)::FLOAT::DOUBLE AS m FROM cells GROUP BY ALL),
-sims AS (
+), means AS (SELECT label, dim, avg(x)::FLOAT::DOUBLE AS m FROM cells GROUP BY ALL)"""
+
+CENTROIDS = f"""{MEANS}, sims AS (
   SELECT label, vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS similarity
   FROM cells JOIN means USING (label, dim) GROUP BY ALL
 )"""
@@ -142,6 +144,30 @@ def cosine_top_k(spark, sf):
     return best.select(F.col("group").alias("label"), "rank", F.col("id").alias("vec_id"), "similarity")
 
 
+@query(
+    f"""WITH {MEANS}, sims AS (
+  SELECT means.label, vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS similarity
+  FROM cells JOIN means USING (dim) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM sims
+)
+SELECT label, rank, vec_id, similarity FROM ranked WHERE rank <= 5"""
+)
+def cosine_search(spark, sf):
+    """The vectors of any label nearest to the mean of each label."""
+    everything = F.lit(0).cast("bigint").alias("group")
+    asked = I.centroids(spark, sf).select(everything, "id", "vec")
+    best = nearest_top_k(asked, I.vectors(spark, sf).select(everything, "id", "vec"))
+    return best.select(F.col("query_id").alias("label"), "rank", F.col("id").alias("vec_id"), "similarity")
+
+
+@query(f"WITH {RANKED} SELECT notebook_id, query_id, rank, chunk_no, similarity FROM best")
+def retrieve_nearest(spark, sf):
+    """The five best windows by the search that leaves tiles out."""
+    best = R.retrieve(I.questions(spark, sf), chunk_table(I.sources(spark, sf)), search=nearest_top_k)
+    return best.drop("text")
+
+
 @query(f"WITH {RANKED} SELECT notebook_id, query_id, rank, chunk_no, similarity, text FROM best")
 def retrieve_context(spark, sf):
     """The five best windows of each notebook for each benchmark text."""

@@ -15,6 +15,7 @@ from shelfmark.operators.store import SEPARATOR
 from shelfmark.session import stored
 
 Encoder = Callable[[list[str]], np.ndarray]
+Search = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 # Fixed values of the question step: windows per context, texts per call of a model, digits
 # of a similarity, the wording of the prompt and of the answer for an empty notebook.
@@ -37,6 +38,7 @@ TILE_BYTES = 1 << 20
 TILE_ROWS = 1024
 TILES_A_SALT = 16
 TILE = "group bigint, ids array<bigint>, matrix binary"
+SCORED = "group bigint, query_id bigint, id bigint, similarity double"
 
 
 def hashed_counts(text: Column, dims: int = DIMS) -> Column:
@@ -101,16 +103,18 @@ def _tiles(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec").isNotNull()).select("group", "id", "vec").mapInPandas(pack, TILE)
 
 
-def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The ``k`` nearest vectors by cosine for each query of the same group, exactly:
-    ``group, query_id, rank, id, similarity``.
+def meeting(asked: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Each tile of queries with each stored tile of its group; the salts of a group follow from its tiles."""
+    salts = tiles.groupBy("group").agg(F.ceil(F.count("*") / TILES_A_SALT).alias("salts"))
+    salted = spread_lookup(tiles, salts, ["group"], "inner", ["ids"]).withColumn(
+        "salt", F.pmod(F.xxhash64("ids"), F.col("salts"))
+    )
+    repeated = asked.join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    return salted.drop("salts").join(repeated.drop("salts"), ["group", "salt"])
 
-    Both sides have ``group, id, vec``. Vectors are packed into tiles where they lie; a tile of
-    queries meets a tile of vectors as two matrices, and only its ``k`` best per query leave the
-    task. Nothing is collected. The salts of a group follow from its number of tiles: a small group
-    meets one copy of its queries, a large one is spread over as many tasks as it needs. Ties keep
-    the order of ``id``; a vector without length has no similarity and comes last.
-    """
+
+def scorer(k: int):
+    """For ``mapInPandas`` over ``group, ids, matrix, q_ids, q_matrix``: the ``k`` best of each pair of tiles."""
     digits = 10**DIGITS
 
     def score(batches):
@@ -145,20 +149,26 @@ def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFr
                     }
                 )
 
+    return score
+
+
+def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The ``k`` nearest vectors by cosine for each query of the same group, exactly:
+    ``group, query_id, rank, id, similarity``.
+
+    Both sides have ``group, id, vec``. Vectors are packed into tiles where they lie; a tile of
+    queries meets a tile of vectors as two matrices, and only its ``k`` best per query leave the
+    task. Nothing is collected. The salts of a group follow from its number of tiles: a small group
+    meets one copy of its queries, a large one is spread over as many tasks as it needs. Ties keep
+    the order of ``id``; a vector without length has no similarity and comes last.
+    """
     asked = _tiles(queries).select(
         "group", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")
     )
-    tiles = stored(_tiles(vectors), "tiles")
-    salts = tiles.groupBy("group").agg(F.ceil(F.count("*") / TILES_A_SALT).alias("salts"))
-    salted = spread_lookup(tiles, salts, ["group"], "inner", ["ids"]).withColumn(
-        "salt", F.pmod(F.xxhash64("ids"), F.col("salts"))
-    )
-    repeated = asked.join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
-    pairs = salted.drop("salts").join(repeated.drop("salts"), ["group", "salt"])
-    scored = pairs.select("group", "ids", "matrix", "q_ids", "q_matrix").mapInPandas(
-        score, "group bigint, query_id bigint, id bigint, similarity double"
+    pairs = meeting(asked, stored(_tiles(vectors), "tiles")).select("group", "ids", "matrix", "q_ids", "q_matrix")
+    return top_k(pairs.mapInPandas(scorer(k), SCORED), ["group", "query_id"], k).select(
+        "group", "query_id", "rank", "id", "similarity"
     )
-    return top_k(scored, ["group", "query_id"], k).select("group", "query_id", "rank", "id", "similarity")
 
 
 def top_k(scored: DataFrame, by: list[str], k: int = TOP_K) -> DataFrame:
@@ -168,12 +178,12 @@ def top_k(scored: DataFrame, by: list[str], k: int = TOP_K) -> DataFrame:
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, encoder: Encoder | None = None
+    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, encoder: Encoder | None = None, search: Search = tile_top_k
 ) -> DataFrame:
     """The best windows for every question: ``notebook_id, query_id, rank, chunk_no, similarity, text``.
 
     ``queries`` has ``notebook_id, query_id, query``. Windows that already carry a ``vec`` are
-    not embedded again; store them once and ask often.
+    not embedded again; store them once and ask often. ``search`` ranks the vectors; each gives the same rows.
     """
     # Sorted out by notebook first, so that tiles are full, and embedded once afterwards.
     ranged = queries.repartitionByRange("notebook_id", "query_id")
@@ -182,7 +192,7 @@ def retrieve(
     )
     vec = F.col("vec") if "vec" in chunks.columns else embed(F.col("text"), encoder)
     held = chunks.select(F.col("notebook_id").alias("group"), F.col("chunk_no").alias("id"), vec.alias("vec"))
-    best = tile_top_k(asked, held, k).select(
+    best = search(asked, held, k).select(
         F.col("group").alias("notebook_id"), "query_id", "rank", F.col("id").alias("chunk_no"), "similarity"
     )
     window = ["notebook_id", "chunk_no"]
