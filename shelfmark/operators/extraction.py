@@ -15,6 +15,8 @@ PROFILES = ("cli", "api")
 # Defaults of the repeated-segment rule: copies kept, and the length from which it applies.
 MAX_REPETITIONS = 2
 MIN_SEGMENT = 100
+# What parts the segments of a page row.
+PARAGRAPH = "\n\n"
 
 
 def has_content(content: Column, profile: str) -> Column:
@@ -66,19 +68,20 @@ def build_page_results(
     profile: str = "cli",
     resolved: DataFrame | None = None,
     drop_repeats: bool = False,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Page rows of all pages. ``resolved`` holds the fetches of this run: those that failed
     become rows too, whether or not there is a page for them.
 
-    With ``drop_repeats`` segments that occur again and again over the pages go first, and a
-    page left without text has failed; page rows are stored on the way, because the hashes and
+    With ``drop_repeats`` segments that occur again and again over the pages, and in earlier runs if their
+    copies are given as ``seen``, go first, and a page left without text has failed; page rows are stored on the way, because the hashes and
     the texts are read from them. Pages are extracted where they lie; only page rows, not the
     HTML, meet the failures.
     """
     rows = extract_pages(pages, scraped_at, profile)
     if drop_repeats:
         rows = stored(rows, "extracted")
-        rows = extraction_status(drop_repeated_segments(rows, "url", "content", separator="\n\n"), profile)
+        rows = extraction_status(drop_repeated_segments(rows, "url", "content", separator=PARAGRAPH, seen=seen), profile)
     if resolved is None:
         return rows
     # An anti join, so that Spark can broadcast the few failures and the texts stay where they are.
@@ -93,6 +96,7 @@ def drop_repeated_segments(
     max_rep: int = MAX_REPETITIONS,
     min_len: int = MIN_SEGMENT,
     separator: str = "\n",
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the first ``max_rep`` copies, in order of key and place, of each long segment.
 
@@ -100,22 +104,23 @@ def drop_repeated_segments(
     task drop surplus copies first: a segment that makes up a third of all rows costs
     ``max_rep`` rows per map task. The texts then meet their kept places in one join. Rows with
     one key and different texts are told apart by a hash of the text; rows that repeat both
-    get the same result.
+    get the same result. ``seen(hash, copies)`` counts the copies that earlier runs kept: they come
+    first, and meet what is left after the bound.
     """
     segments = F.split(F.col(text), separator)
     df = df.withColumn("_text", F.xxhash64(F.col(text)))
     long_ones = (
         df.select(key, "_text", F.posexplode(segments).alias("_pos", "_segment"))
         .filter(F.length("_segment") >= min_len)
-        .select(key, "_text", "_pos", F.unhex(F.md5("_segment")).alias("_hash"))
+        .select(key, "_text", "_pos", segment_hash(F.col("_segment")).alias("_hash"))
     )
     copy_no = F.row_number().over(Window.partitionBy("_hash").orderBy(key, "_text", "_pos"))
-    kept = (
-        long_ones.withColumn("_copy", copy_no)
-        .filter(F.col("_copy") <= max_rep)
-        .groupBy(key, "_text")
-        .agg(F.collect_set("_pos").alias("_kept"))
-    )
+    first = long_ones.withColumn("_copy", copy_no).filter(F.col("_copy") <= max_rep)
+    if seen is not None:
+        earlier = seen.select(F.col("hash").alias("_hash"), F.col("copies").alias("_before"))
+        room = F.col("_copy") + F.coalesce("_before", F.lit(0)) <= max_rep
+        first = first.join(earlier, "_hash", "left").filter(room)
+    kept = first.groupBy(key, "_text").agg(F.collect_set("_pos").alias("_kept"))
     short = F.filter(
         F.transform(segments, lambda s, i: F.when(F.length(s) < min_len, i)), lambda i: i.isNotNull()
     )
@@ -125,6 +130,22 @@ def drop_repeated_segments(
     return joined.select(*[rebuilt.alias(c) if c == text else F.col(c) for c in df.columns if c != "_text"])
 
 
+def segment_hash(segment: Column) -> Column:
+    return F.unhex(F.md5(segment))
+
+
+def segment_copies(
+    df: DataFrame, text: str, min_len: int = MIN_SEGMENT, separator: str = "\n"
+) -> DataFrame:
+    """Copies of each long segment: ``hash, copies``. Counts of several tables add up."""
+    return (
+        df.select(F.explode(F.split(F.col(text), separator)).alias("segment"))
+        .filter(F.length("segment") >= min_len)
+        .groupBy(segment_hash(F.col("segment")).alias("hash"))
+        .agg(F.count("*").alias("copies"))
+    )
+
+
 def repeated_segments(
     df: DataFrame, text: str, max_rep: int = MAX_REPETITIONS, min_len: int = MIN_SEGMENT, separator: str = "\n"
 ) -> DataFrame:

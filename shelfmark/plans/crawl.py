@@ -17,6 +17,7 @@ from shelfmark.operators.report import failed_sample, run_summary
 from shelfmark.session import stored
 from shelfmark.sources.changes import read_or_none
 from shelfmark.sources.pages import pages_at
+from shelfmark.sources.segments import add_segments, seen_segments
 
 
 @dataclass
@@ -37,11 +38,13 @@ def run_crawl(
     robots: DataFrame | None = None,
     attempts: DataFrame | None = None,
     drop_repeats: bool = True,
+    seen: DataFrame | None = None,
 ) -> CrawlRun:
     """Results of one run. ``urls`` were discovered, ``pages`` hold what was fetched.
 
     Verdicts on addresses are stored once, narrow, for the five that read them. Pass ``pages`` as a table of
-    ``save_pages``, and their HTML is read where it lies; of other tables it is moved to the pending addresses.
+    ``save_pages``, and their HTML is read where it lies; of other tables it is moved to the pending addresses. ``seen`` are the
+    segments of earlier runs, as ``seen_segments`` reads them.
     """
     classified = stored(classify_urls(urls, config, robots), "classified")
     kept = kept_urls(classified)
@@ -51,7 +54,8 @@ def run_crawl(
         resolved = resolve_fetch(attempts.join(pending.select("url"), "url", "left_semi"))
     wanted = pages_at(pages, pending)
     # Extraction is the costly step and has five readers.
-    results = stored(build_page_results(wanted, scraped_at, resolved=resolved, drop_repeats=drop_repeats), "results")
+    rows = build_page_results(wanted, scraped_at, resolved=resolved, drop_repeats=drop_repeats, seen=seen)
+    results = stored(rows, "results")
     return CrawlRun(
         stats=filter_stats(classified),
         results=results,
@@ -73,6 +77,7 @@ def crawl_sites(
     attempts: DataFrame | None = None,
     mode: str = "if_none",
     drop_repeats: bool = True,
+    seen: DataFrame | None = None,
 ) -> CrawlRun:
     """From sites to results: their addresses are discovered, and each is filtered by its own site.
 
@@ -80,24 +85,30 @@ def crawl_sites(
     """
     found = discover(sites, robots, sitemap_docs, home_pages, mode)
     urls = stored(found.select(F.col("site").alias("base_url"), "url"), "discovered")
-    return run_crawl(urls, pages, config, scraped_at, progress, robots, attempts, drop_repeats)
+    return run_crawl(urls, pages, config, scraped_at, progress, robots, attempts, drop_repeats, seen)
 
 
 PROGRESS = "url string, status string, run bigint"
 
 
+def _next_run(spark: SparkSession, root: str) -> int:
+    """The number after the last run that was written to the end."""
+    before = read_or_none(spark, f"{root}/progress", PROGRESS)
+    last = None if before is None else before.agg(F.max("run")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def write_run(run: CrawlRun, path: str) -> None:
-    """Markdown, JSON lines and the progress of a run below ``path``.
+    """Markdown, JSON lines, copies of segments and the progress of a run below ``path``.
 
     Each run has a folder of its own, which it overwrites, and its progress comes last: a run that was
     interrupted and is started again leaves each page once. Of the progress only what is new is written.
     """
     root, spark = path.rstrip("/"), run.results.sparkSession
-    before = read_or_none(spark, f"{root}/progress", PROGRESS)
-    last = None if before is None else before.agg(F.max("run")).first()[0]
-    number = 0 if last is None else last + 1
+    number = _next_run(spark, root)
     write_markdown(run.results, f"{root}/pages/run={number}", mode="overwrite")
     write_jsonl(run.results, f"{root}/combined/run={number}", mode="overwrite")
+    add_segments(run.results, f"{root}/segments", number)
     new = run.progress.join(saved_progress(spark, root), ["url", "status"], "left_anti")
     new.write.mode("overwrite").parquet(f"{root}/progress/run={number}")
 
@@ -108,3 +119,9 @@ def saved_progress(spark: SparkSession, path: str) -> DataFrame:
     if rows is None:
         return spark.createDataFrame([], "url string, status string")
     return rows.groupBy("url").agg(F.max_by("status", "run").alias("status"))
+
+
+def saved_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Copies of long segments kept by the finished runs below ``path``, to be passed on as ``seen``."""
+    root = path.rstrip("/")
+    return seen_segments(spark, f"{root}/segments", before=_next_run(spark, root))
