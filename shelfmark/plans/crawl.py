@@ -11,9 +11,10 @@ from shelfmark.model import CrawlConfig
 from shelfmark.operators.discovery import discover
 from shelfmark.operators.extraction import build_page_results
 from shelfmark.operators.fetchlog import resolve_fetch
-from shelfmark.operators.filters import classify_urls, filter_stats, kept_urls, pending_urls, skipped_count
+from shelfmark.operators.filters import REASONS, classify_urls, filter_stats, kept_urls, pending_urls, skipped_count
 from shelfmark.operators.output import merge_progress, progress_of, write_jsonl, write_markdown
 from shelfmark.operators.report import failed_sample, run_summary
+from shelfmark.operators.totals import read_states, run_state, write_state
 from shelfmark.session import stored
 from shelfmark.sources.changes import read_or_none
 from shelfmark.sources.pages import pages_at
@@ -99,7 +100,7 @@ def _next_run(spark: SparkSession, root: str) -> int:
 
 
 def write_run(run: CrawlRun, path: str) -> None:
-    """Markdown, JSON lines, copies of segments and the progress of a run below ``path``.
+    """Markdown, JSON lines, copies of segments, totals, filter statistics and the progress of a run below ``path``.
 
     Each run has a folder of its own, which it overwrites, and its progress comes last: a run that was
     interrupted and is started again leaves each page once. Of the progress only what is new is written.
@@ -109,6 +110,8 @@ def write_run(run: CrawlRun, path: str) -> None:
     write_markdown(run.results, f"{root}/pages/run={number}", mode="overwrite")
     write_jsonl(run.results, f"{root}/combined/run={number}", mode="overwrite")
     add_segments(run.results, f"{root}/segments", number)
+    write_state(run_state(run.results), f"{root}/totals", number)
+    run.stats.write.mode("overwrite").parquet(f"{root}/stats/run={number}")
     new = run.progress.join(saved_progress(spark, root), ["url", "status"], "left_anti")
     new.write.mode("overwrite").parquet(f"{root}/progress/run={number}")
 
@@ -125,3 +128,20 @@ def saved_segments(spark: SparkSession, path: str) -> DataFrame:
     """Copies of long segments kept by the finished runs below ``path``, to be passed on as ``seen``."""
     root = path.rstrip("/")
     return seen_segments(spark, f"{root}/segments", before=_next_run(spark, root))
+
+
+def saved_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The merged state of the finished runs below ``path``, for ``figures`` and ``frequent_errors``."""
+    root = path.rstrip("/")
+    return read_states(spark, f"{root}/totals", before=_next_run(spark, root))
+
+
+def saved_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Addresses dropped by reason and kept, summed over the finished runs below ``path``; an address that several
+    runs looked at counts in each."""
+    root, names = path.rstrip("/"), [*[f"n_{r}" for r in REASONS], "n_remaining"]
+    rows = read_or_none(spark, f"{root}/stats", ", ".join([*[f"{n} bigint" for n in names], "run bigint"]))
+    if rows is None:
+        return spark.createDataFrame([tuple(0 for _ in names)], ", ".join(f"{n} bigint" for n in names))
+    done = rows.filter(F.col("run") < _next_run(spark, root))
+    return done.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
