@@ -53,8 +53,10 @@ def stream_upsert(spark, sf):
     )
     S.stream_upsert(changes, f"{folder}/log", f"{folder}/ck")
     # The order of arrival decides on ids; the key stands in for it here, as files come in any order.
-    current = S.current_sources(spark, f"{folder}/log").drop("id")
-    return day(positions(current, [], ["notebook_id", "url"], out="id"))
+    current = S.current_sources(spark, f"{folder}/log").withColumnRenamed("id", "arrived")
+    # Numbered on keys alone; the texts meet the numbers once.
+    places = positions(current.select("arrived", "notebook_id", "url"), [], ["notebook_id", "url"], out="id")
+    return day(current.join(places.select("arrived", "id"), "arrived").drop("arrived"))
 
 
 ADDRESSES = "SELECT DISTINCT regexp_replace(url, '[?#].*', '') AS url FROM pages"

@@ -13,13 +13,17 @@ SPACE = (
 )
 
 
+NO_SPACE = SPACE.replace("[", "[^", 1)
+
+
 def strip(col: Column) -> Column:
     """Remove white space of any kind at both ends; SQL ``trim`` only knows the blank."""
     return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def is_blank(col: Column) -> Column:
-    return F.length(strip(F.coalesce(col, F.lit("")))) == 0
+    """Whether nothing but white space is there; a text is read up to its first other character."""
+    return ~F.coalesce(col, F.lit("")).rlike(NO_SPACE)
 
 
 def or_empty(col: Column) -> Column:

@@ -2,12 +2,16 @@ from __future__ import annotations
 
 import datetime
 import itertools
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from shelfmark.catalog import streams
+from shelfmark.functions.text import is_blank
 from shelfmark.model import KB_TABLES, PAGE_RESULTS, CrawlConfig
+from shelfmark.operators import spread
 from shelfmark.operators.store import append_notebooks, upsert_sources
 from shelfmark.operators.output import write_markdown
 from shelfmark.plans.crawl import run_crawl, saved_progress, write_run
@@ -131,6 +135,31 @@ def test_a_batch_that_is_run_again_overwrites_its_own_rows(spark, tmp_path, monk
     assert seen.count() == seen.select("url").distinct().count() == 15
 
 
+def test_streamed_texts_are_numbered_by_their_keys_alone(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", "de" if i % 2 else "en", None, 6) for i in range(20)]
+    spark.createDataFrame(rows, streams.DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    kept, ran = [], spread.durable
+    monkeypatch.setattr(spread, "durable", lambda df: kept.append(set(df.columns)) or ran(df))
+    found = streams.stream_upsert(spark, str(tmp_path)).collect()
+    assert kept and not any({"title", "content"} & columns for columns in kept)
+    keys = sorted((1 if i % 2 else 2, f"doc://{i}", f"text {i}") for i in range(20))
+    assert sorted((r.id, r.notebook_id, r.url, r.content) for r in found) == [(n, *key) for n, key in enumerate(keys, 1)]
+
+
+def test_blank_texts_are_told_without_reading_them_over(spark):
+    signs = [chr(i) for i in (*range(1, 0x180), *range(0x1680, 0x1690), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF, 0x1F600)]
+    blank = [c.isspace() for c in signs]
+    texts = [*signs, *[f" {c}\u3000" for c in signs], "", " \n", None, "a\n", "\na"]
+    expected = [*blank, *blank, True, True, True, False, False]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    found = rows.select("n", is_blank(F.col("text")).alias("blank")).orderBy("n").collect()
+    assert [r.blank for r in found] == expected
+    gap = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 200_000), F.lit("a")).alias("text"))
+    began = time.time()
+    assert not gap.select(is_blank(F.col("text"))).first()[0]
+    assert time.time() - began < 10
+
+
 def test_a_log_is_folded_into_the_stored_sources(spark, tmp_path):
     folder, log, kb = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "kb")
     for rows in BATCHES:
