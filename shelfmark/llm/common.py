@@ -10,26 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.session import small_batches
+
 # White space and words of the corpus contracts.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bytes of texts that Python workers get at a time.
-BATCH_BYTES = 8 << 20
-
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark, most_bytes: int = BATCH_BYTES) -> None:
-    """Bound the session's Arrow batches, so that a Python worker's memory does not depend on the texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(name)).lower().rstrip("b")
-    if not now.isdigit() or not 0 < int(now) <= most_bytes:
-        spark.conf.set(name, f"{most_bytes}b")
-
-
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is NULL."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

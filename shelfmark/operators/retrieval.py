@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import is_blank
 from shelfmark.operators.spread import spread_lookup
 from shelfmark.operators.store import SEPARATOR
-from shelfmark.session import stored
+from shelfmark.session import small_batches, stored
 
 Encoder = Callable[[list[str]], np.ndarray]
 Search = Callable[[DataFrame, DataFrame, int], DataFrame]
 
-# Fixed values of the question step: windows per context, texts per call of a model, digits
-# of a similarity, the wording of the prompt and of the answer for an empty notebook.
+# Fixed values of the question step: windows per context, texts per call of a model, texts whose words are
+# counted at once, digits of a similarity, the wording of the prompt and of the answer for an empty notebook.
 TOP_K = 5
 EMBED_BATCH = 50
+EMBED_ROWS = 1024
 DIGITS = 6
 DIMS = 256
 PROMPT = (
@@ -44,9 +45,10 @@ SCORED = "group bigint, query_id bigint, id bigint, similarity double"
 def hashed_counts(text: Column, dims: int = DIMS) -> Column:
     """Counts of words by hash bucket; stands in for a model and needs no download.
 
-    Words and buckets are found by built-in functions; only bucket numbers reach Python, which counts a whole
-    batch at once.
+    Words and buckets are found by built-in functions; only bucket numbers reach Python, which counts ``EMBED_ROWS``
+    texts at once.
     """
+    most = EMBED_ROWS
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
     buckets = F.transform(
         words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
@@ -54,12 +56,16 @@ def hashed_counts(text: Column, dims: int = DIMS) -> Column:
 
     @F.pandas_udf("array<float>")
     def counts(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in series:
-            sizes = np.array([len(r) for r in rows], dtype=np.int64)
-            flat = np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64)
-            cells = np.repeat(np.arange(len(rows)) * dims, sizes) + flat
-            matrix = np.bincount(cells, minlength=len(rows) * dims).reshape(len(rows), dims)
-            yield pd.Series(list(matrix.astype(np.float32)), dtype=object)
+        for batch in series:
+            vecs = []
+            for start in range(0, len(batch), most):
+                rows = batch.iloc[start : start + most]
+                sizes = np.array([len(r) for r in rows], dtype=np.int64)
+                cells = np.repeat(np.arange(len(rows)) * dims, sizes)
+                cells += np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64, copy=False)
+                matrix = np.bincount(cells, minlength=len(rows) * dims).reshape(len(rows), dims)
+                vecs.extend(matrix.astype(np.float32))
+            yield pd.Series(vecs, dtype=object)
 
     return counts(buckets)
 
@@ -162,6 +168,7 @@ def tile_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFr
     meets one copy of its queries, a large one is spread over as many tasks as it needs. Ties keep
     the order of ``id``; a vector without length has no similarity and comes last.
     """
+    small_batches(vectors.sparkSession)
     asked = _tiles(queries).select(
         "group", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")
     )
@@ -185,6 +192,7 @@ def retrieve(
     ``queries`` has ``notebook_id, query_id, query``. Windows that already carry a ``vec`` are
     not embedded again; store them once and ask often. ``search`` ranks the vectors; each gives the same rows.
     """
+    small_batches(chunks.sparkSession)
     # Sorted out by notebook first, so that tiles are full, and embedded once afterwards.
     ranged = queries.repartitionByRange("notebook_id", "query_id")
     asked = ranged.select(

@@ -18,7 +18,7 @@ from shelfmark.operators.retrieval import (
 )
 from shelfmark.operators.spread import spread_lookup
 from shelfmark.operators.store import changed_sources, notebook_corpus, upsert_sources
-from shelfmark.session import stored
+from shelfmark.session import small_batches, stored
 from shelfmark.sources.readers import change_kb, read_kb
 
 
@@ -94,6 +94,7 @@ def chunk_table(
     load_codec: Callable[[], Codec] | None = None,
 ) -> DataFrame:
     """Windows with vectors, written once, to be asked many times; all of them unless a ``cap`` is wanted."""
+    small_batches(sources.sparkSession)
     chunks = cap_chunks(chunk_notebook(notebook_corpus(sources), size, load_codec), cap)
     return stored(chunks.withColumn("vec", embed(F.col("text"), encoder)), "chunks")
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: Bytes of rows that Python workers get at a time.
+BATCH_BYTES = 8 << 20
+
 
 def build_session(app_name: str = "shelfmark", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are written for."""
@@ -52,6 +55,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> None:
+    """Bound the session's Arrow batches, so that a Python worker's memory does not depend on the input."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most_bytes:
+        spark.conf.set(name, f"{most_bytes}b")
+
+
 def run_folder(spark: SparkSession, label: str) -> str:
     """A new folder for one run below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

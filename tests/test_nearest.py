@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import nearest as N
 from shelfmark.operators import retrieval as RT
+from shelfmark.plans.notebooks import chunk_table
+from shelfmark.session import BATCH_BYTES
 
 SCHEMA = "group bigint, id bigint, vec array<float>"
 
@@ -68,3 +72,39 @@ def test_empty_tables(spark):
         found = N.nearest_top_k(queries, vectors)
         assert found.columns == ["group", "query_id", "rank", "id", "similarity"] and found.count() == 0
     assert rows(N.nearest_top_k(one, one)) == [(0, 0, 1, 0, 1.0)]
+
+
+def test_python_gets_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    one = table(spark, [0], np.ones((1, 2), dtype=np.float32))
+    sources = spark.createDataFrame(
+        [(1, 1, "u", "t", "some words", "success")], "id long, notebook_id long, url string, title string, content string, status string"
+    )
+    calls = [
+        lambda: RT.tile_top_k(one, one),
+        lambda: chunk_table(sources),
+    ]
+    try:
+        for call in calls:
+            spark.conf.set(name, "64m")
+            call().count()
+            assert spark.conf.get(name) == f"{BATCH_BYTES}b"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_words_are_counted_some_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(RT, "EMBED_ROWS", 3)
+    texts = ["a b a", "", None, "b", " c\n", *[f"w{i} w{i % 3}" for i in range(20)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    found = [r.vec for r in rows.select("n", RT.embed(F.col("text")).alias("vec")).orderBy("n").collect()]
+
+    def bucket(word):
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % RT.DIMS
+
+    for text, vec in zip(texts, found, strict=True):
+        expected = np.zeros(RT.DIMS)
+        for word in (text or "").split():
+            expected[bucket(word)] += 1
+        assert vec == expected.tolist()
