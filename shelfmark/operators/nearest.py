@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.retrieval import DIGITS, SCORED, TILE, TOP_K, meeting, scorer, top_k
-from shelfmark.session import durable, stored
+from shelfmark.session import durable, small_batches, stored
 
 # A tile of neighbours has at most LEAF_ROWS vectors, a tile of centres or queries PACK_ROWS. SLACK covers
 # similarities rounded to DIGITS places and the error of an angle near 0.
@@ -53,6 +53,7 @@ def leaves_of(vectors: DataFrame) -> DataFrame:
     Vectors without length lie in tiles of their own, with a spread of -1. NULL vectors are left out.
     """
     size = LEAF_ROWS
+    small_batches(vectors.sparkSession)
 
     def pack(batches):
         import numpy as np
@@ -168,6 +169,7 @@ def _floors(queries: DataFrame, leaves: DataFrame, heads: DataFrame, k: int) ->
 def candidates(queries: DataFrame, leaves: DataFrame, k: int = TOP_K) -> DataFrame:
     """``group, tile, q_ids, q_matrix``: the tiles that can hold one of the ``k`` nearest, each with the queries for
     which it can."""
+    small_batches(leaves.sparkSession)
     heads = _heads(leaves)
     queries = queries.select("group", "id", "vec").filter(F.col("vec").isNotNull())
 

@@ -83,6 +83,8 @@ def test_python_gets_small_batches(spark):
     )
     calls = [
         lambda: RT.tile_top_k(one, one),
+        lambda: N.leaves_of(one),
+        lambda: N.candidates(one, N.leaves_of(one)),
         lambda: chunk_table(sources),
     ]
     try:
