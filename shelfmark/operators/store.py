@@ -37,8 +37,9 @@ def list_notebooks(notebooks: DataFrame) -> DataFrame:
 
 
 def _numbered(batch: DataFrame) -> DataFrame:
-    """The batch stored with a number for each row, so that rows can be chosen on narrow columns."""
-    return stored(batch.withColumn("_row", F.monotonically_increasing_id()), "batch")
+    """The batch stored with a number for each row, so that rows can be chosen on narrow columns; as it is if its
+    rows have a fixed place (``_row``) already."""
+    return batch if "_row" in batch.columns else stored(batch.withColumn("_row", F.monotonically_increasing_id()), "batch")
 
 
 def _newest(batch: DataFrame, order: list[str]) -> DataFrame:

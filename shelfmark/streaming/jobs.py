@@ -82,8 +82,10 @@ def stream_upsert(changes: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def logged_changes(spark: SparkSession, path: str) -> DataFrame:
+    """All logged changes with the place of each in the files, ``_row``, so that no copy of the log is numbered."""
     log = read_or_none(spark, path, CHANGES)
-    return spark.createDataFrame([], CHANGES) if log is None else log
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spark.createDataFrame([], CHANGES) if log is None else log.withColumn("_row", place)
 
 
 def current_sources(

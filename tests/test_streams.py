@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.catalog import streams
 from shelfmark.functions.text import is_blank
 from shelfmark.model import KB_TABLES, PAGE_RESULTS, CrawlConfig
-from shelfmark.operators import spread
+from shelfmark.operators import spread, store
 from shelfmark.operators.store import append_notebooks, upsert_sources
 from shelfmark.operators.output import write_markdown
 from shelfmark.plans.crawl import run_crawl, saved_progress, write_run
@@ -140,8 +140,12 @@ def test_streamed_texts_are_numbered_by_their_keys_alone(spark, tmp_path, monkey
     spark.createDataFrame(rows, streams.DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     kept, ran = [], spread.durable
     monkeypatch.setattr(spread, "durable", lambda df: kept.append(set(df.columns)) or ran(df))
+    labels, wrote = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df, label: labels.append(label) or wrote(df, label))
     found = streams.stream_upsert(spark, str(tmp_path)).collect()
     assert kept and not any({"title", "content"} & columns for columns in kept)
+    # A copy of each micro-batch, and none of the log.
+    assert labels.count("batch") == 3
     keys = sorted((1 if i % 2 else 2, f"doc://{i}", f"text {i}") for i in range(20))
     assert sorted((r.id, r.notebook_id, r.url, r.content) for r in found) == [(n, *key) for n, key in enumerate(keys, 1)]
 
